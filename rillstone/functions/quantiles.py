@@ -36,10 +36,13 @@ def exact_quantiles(
     cut at approximate quantiles into value ranges, which are ranked by separate tasks; where the cuts fall
     has no influence on the result.
     """
+    if not keys:
+        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, method, skew)
+        return whole.drop("_all")
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    ordinary, heavy = split_hot(counted, keys, find_hot(counted, keys, skew) if keys else None)
+    ordinary, heavy = split_hot(counted, keys, find_hot(counted, keys, skew))
     window = Window.partitionBy(*keys)
     upto = window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ordinary.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(window).alias("_total"))

@@ -233,5 +233,281 @@ SELECT source, 0.0::DOUBLE AS score, count(*) AS n FROM messages GROUP BY source
 }
 
 
+REC = EV + """, rec AS (
+  SELECT event_id AS seq, event_type AS name, CAST(sec // 60 AS BIGINT) AS second, CAST(floor(value * 100) AS DOUBLE) AS value FROM ev)"""
+
+GRID = """, grid AS (
+  SELECT name, unnest(generate_series(a, b)) AS second FROM (SELECT name, min(second) AS a, max(second) AS b FROM rec GROUP BY name))"""
+
+STATISTICS = {
+    "met_count_per_second": _with(
+        REC + GRID,
+        "SELECT g.name, g.second, count(r.seq) AS count FROM grid g LEFT JOIN rec r ON r.name = g.name AND r.second = g.second GROUP BY 1, 2",
+    ),
+    "met_avg_per_second": _with(
+        REC + GRID,
+        """SELECT g.name, g.second, CASE WHEN count(r.seq) = 0 THEN -1 ELSE CAST(sum(CAST(r.value AS BIGINT)) AS BIGINT) // count(r.seq) END AS average
+FROM grid g LEFT JOIN rec r ON r.name = g.name AND r.second = g.second GROUP BY 1, 2""",
+    ),
+    "met_gauge": _with(
+        REC,
+        """, grid AS (
+  SELECT name, unnest(generate_series(a, b)) AS report FROM (
+    SELECT name, min(second // 10) AS a, max(second // 10) AS b FROM rec GROUP BY name))
+SELECT g.name, g.report, coalesce(sum(r.value) / count(r.value), -1) AS gauge
+FROM grid g LEFT JOIN rec r ON r.name = g.name AND r.second // 10 = g.report GROUP BY 1, 2""",
+    ),
+    "met_every_nth": _with(
+        REC,
+        "SELECT seq, name, second, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM rec) WHERE n % 100 = 0",
+    ),
+    "met_rate_limited": "WITH RECURSIVE " + REC + """, placed AS MATERIALIZED (
+  SELECT name, seq, second, row_number() OVER (PARTITION BY name ORDER BY seq) AS i FROM rec
+), walk AS (
+  SELECT name, 0::BIGINT AS i, 0::BIGINT AS seq, false AS taken, 0::BIGINT AS accepted FROM placed GROUP BY name
+  UNION ALL
+  SELECT w.name, p.i, p.seq, w.accepted <= p.second, w.accepted + CASE WHEN w.accepted <= p.second THEN 1 ELSE 0 END
+  FROM walk w JOIN placed p ON p.name = w.name AND p.i = w.i + 1)
+SELECT seq, name FROM walk WHERE taken""",
+    "met_summary": _with(
+        REC,
+        """, sorted AS (
+  SELECT name, list_sort(list(value)) AS v, count(*) AS samples, sum(value) / count(*) AS mean FROM rec WHERE value >= 500 GROUP BY name
+), offered AS (SELECT name, count(*) AS total FROM rec GROUP BY name
+), ranks AS (SELECT name, samples, total, mean, v, p, greatest(1.0::DOUBLE, least(samples::DOUBLE, p * (samples + 1))) AS pos
+  FROM sorted JOIN offered USING (name), (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS p)
+), found AS (SELECT *, v[CAST(floor(pos) AS BIGINT)] + (v[least(samples, CAST(floor(pos) AS BIGINT) + 1)] - v[CAST(floor(pos) AS BIGINT)]) * (pos - floor(pos)) AS q FROM ranks)
+SELECT name, any_value(samples) AS samples, any_value(total) AS total, any_value(mean) AS mean, any_value(v[1]) AS p0,
+  max(CASE WHEN p = 0.05 THEN q END) AS p5, max(CASE WHEN p = 0.25 THEN q END) AS p25, max(CASE WHEN p = 0.5 THEN q END) AS p50,
+  max(CASE WHEN p = 0.75 THEN q END) AS p75, max(CASE WHEN p = 0.95 THEN q END) AS p95, any_value(v[samples]) AS p100
+FROM found GROUP BY name""",
+    ),
+    "met_latency": _with(
+        EV,
+        "SELECT event_id AS seq, CAST(floor(value) AS BIGINT) AS latency, CAST(floor(value) AS BIGINT) + k AS end_latency FROM ev",
+    ),
+    "met_throughput": _with(EV, "SELECT count(*) // (max(sec // 2400) - min(sec // 2400)) AS throughput FROM ev"),
+    "met_mean_rate": _with(
+        EV,
+        """, upto AS (
+  SELECT second, CAST(sum(n) OVER (ORDER BY second) AS BIGINT) AS n, min(second) OVER () AS start
+  FROM (SELECT sec // 2400 AS second, count(*) AS n FROM ev GROUP BY 1))
+SELECT second, CASE WHEN second > start THEN n // (second - start) ELSE 0 END AS rate FROM upto""",
+    ),
+    "met_metric_line": _with(
+        REC + GRID,
+        """SELECT 'source.' || g.name || '.rate ' || count(r.seq) || ' ' || g.second AS line
+FROM grid g LEFT JOIN rec r ON r.name = g.name AND r.second = g.second GROUP BY g.name, g.second""",
+    ),
+    "met_ewma": _with(
+        REC,
+        f""", placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM rec), avgs AS (
+  SELECT a.seq, a.name, sum(b.second * CASE WHEN b.n = 1 THEN 1 ELSE 0.5 END * pow(0.5::DOUBLE, a.n - b.n)) AS average_arrival
+  FROM placed a JOIN placed b ON b.name = a.name AND b.n BETWEEN a.n - 99 AND a.n GROUP BY a.seq, a.name)
+SELECT seq, name, {r('average_arrival', 4)} AS average_arrival FROM avgs""",
+    ),
+}
+
+MET = EV + """, m AS (
+  SELECT event_id AS seq, CAST(user_id % 3 AS INT) AS rep, concat('Storm.node', CAST(user_id % 4 AS VARCHAR)) AS node,
+         CAST(sec // 2400 AS INT) AS t, CAST(floor(value * 100) AS DOUBLE) AS value,
+         CASE k % 4 WHEN 0 THEN 'latency' WHEN 1 THEN 'throughput' WHEN 2 THEN 'sink-throughput' ELSE 'input-queue' END AS parameter,
+         CASE k % 3 WHEN 0 THEN 'OS' WHEN 1 THEN 'CUSTOM-QS' ELSE 'CUSTOM-FCFS' END AS variant,
+         CAST(1000 * (1 + user_id % 5) AS INT) AS rate, 'run' AS experiment
+  FROM ev)"""
+
+RUN = "experiment, variant, parameter, rep"
+REBASED = f""", rebased AS (
+  SELECT * REPLACE (CAST(t - min(t) OVER (PARTITION BY {RUN}) AS INT) AS t) FROM m)"""
+
+
+def _trimmed(table: str) -> str:
+    return f""", lasts AS (SELECT *, max(t) OVER (PARTITION BY {RUN}) AS last FROM {table}), trimmed AS (
+  SELECT * REPLACE (CASE WHEN t < floor(last * 0.3::DOUBLE) OR t > ceil(last - last * 0.2::DOUBLE) THEN NULL ELSE value END AS value) FROM lasts)"""
+
+
+def _nodes(table: str, parameter: str, aggregate: str, more: str = "") -> str:
+    return f"""SELECT parameter, variant, rep, {more} rate, {aggregate} AS value FROM (
+  SELECT parameter, variant, rep, {more} rate, node, sum(value) / count(value) AS value FROM {table}
+  WHERE parameter = '{parameter}' GROUP BY ALL) GROUP BY parameter, variant, rep, {more} rate"""
+
+
+def _interpolated(p: float) -> str:
+    """Linear interpolation between the two ranks around 1 + p (n - 1) of the sorted list v."""
+    low = f"CAST(floor({p}::DOUBLE * (len(v) - 1)) AS BIGINT) + 1"
+    share = f"({p}::DOUBLE * (len(v) - 1) + 1 - floor({p}::DOUBLE * (len(v) - 1) + 1))"
+    return f"(v[{low}] + (v[least(len(v), {low} + 1)] - v[{low}]) * {share})"
+
+
+RATES = [1000, 2000, 3000, 4000, 5000]
+BASE_MEANS = ", means AS (SELECT variant, rate, sum(value) / count(value) AS value FROM m WHERE parameter = 'throughput' GROUP BY 1, 2)"
+
+EXPERIMENTS = {
+    "ana_graphite_flatten": _with(
+        EV,
+        """SELECT event_id AS seq, 'Storm.node' || (user_id % 4) || '.' || event_type AS target, sec AS t,
+  CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(k AS DOUBLE) END AS value FROM ev
+UNION ALL SELECT event_id, 'Storm.node' || (user_id % 4) || '.' || event_type, sec + 1, 1.5::DOUBLE FROM ev""",
+    ),
+    "ana_alias_by_node": _with(MET, "SELECT seq, substr(node, 7) || '.' || variant AS alias FROM m"),
+    "ana_rebase_time": _with(MET + REBASED, "SELECT seq, t FROM rebased"),
+    "ana_trim": _with(MET + REBASED + _trimmed("rebased"), "SELECT seq, t, value FROM trimmed"),
+    "ana_variant_cols": _with(
+        MET, "SELECT seq, variant AS scheduler, CAST(rate AS DOUBLE) AS load, CAST(rep AS DOUBLE) AS parallelism FROM m"
+    ),
+    "ana_prefer_raw": _with(
+        MET, "SELECT seq, CASE WHEN parameter = 'latency' AND rep <> 0 THEN 'latency-ignored' ELSE parameter END AS parameter FROM m"
+    ),
+    "ana_units": _with(
+        MET,
+        """, shifted AS (SELECT * REPLACE (value - 300 AS value) FROM m)
+SELECT seq, parameter, CASE WHEN rep = 2 THEN 'Flink' ELSE 'Storm' END AS spe,
+  CASE WHEN variant = 'CUSTOM-FCFS' AND parameter IN ('throughput', 'sink-throughput') THEN value / 30
+       WHEN parameter = 'latency' AND value < 0 THEN NULL WHEN parameter = 'latency' THEN value / 1000 ELSE value END AS value
+FROM shifted""",
+    ),
+    "ana_latency_percentiles": _with(
+        MET,
+        f""", lists AS (SELECT experiment, rate, variant, list_sort(list(value)) AS v FROM m WHERE parameter = 'latency' GROUP BY 1, 2, 3
+), both_p AS (
+  SELECT experiment, rate, variant, 'latency-sampled-p99' AS parameter, {_interpolated(0.99)} AS value FROM lists
+  UNION ALL SELECT experiment, rate, variant, 'latency-sampled-p999', {_interpolated(0.999)} FROM lists)
+SELECT experiment, rate, variant, parameter, CAST(1 AS INT) AS rep, 'default' AS node, CAST(1 AS INT) AS t, {r('value', 4)} AS value FROM both_p""",
+    ),
+    "ana_two_level_mean": _with(MET, _nodes("m", "latency", r("avg(value)", 4))),
+    "ana_two_level_sum": _with(MET + _trimmed("m"), _nodes("trimmed", "throughput", r("sum(value)", 4))),
+    "ana_two_level_spe": _with(
+        MET,
+        f""", named AS (SELECT * REPLACE (CASE WHEN rep = 2 THEN 'taskmanager.a' ELSE node END AS node),
+  CASE WHEN rep = 2 THEN 'Flink' ELSE 'Storm' END AS spe FROM m)
+{_nodes('named', 'throughput', r('avg(value)', 4), 'spe,')}""",
+    ),
+    "ana_max_latency": _with(
+        MET,
+        f"SELECT 'max-latency' AS parameter, * EXCLUDE (parameter) FROM ({_nodes('m', 'latency', 'max(value)')})",
+    ),
+    "ana_queue_spread": _with(
+        MET, _nodes("m", "input-queue", f"CASE WHEN avg(value) > 0 THEN {r('stddev_pop(value) / avg(value)')} END")
+    ),
+    "ana_ci95": _with(
+        MET,
+        f"""SELECT variant, rate, {r('avg(value)', 4)} AS mean, {r('1.96::DOUBLE * stddev_pop(value) / sqrt(count(value))', 4)} AS ci95
+FROM m WHERE parameter = 'latency' GROUP BY 1, 2""",
+    ),
+    "ana_weighted_latency": _with(
+        MET,
+        f""", sink AS (SELECT * FROM m WHERE parameter = 'sink-throughput'
+), totals AS (SELECT variant, rep, t, rate, sum(value) AS total FROM sink GROUP BY 1, 2, 3, 4
+), firsts AS (SELECT parameter, variant, rep, t, rate, node, arg_min(value, seq) AS value FROM m GROUP BY ALL
+), shares AS (SELECT f.variant, f.rep, f.t, f.rate, f.node, f.value / nullif(o.total, 0) AS share
+  FROM firsts f JOIN totals o USING (variant, rep, t, rate) WHERE f.parameter = 'sink-throughput')
+SELECT f.variant, f.rep, f.t, f.rate, f.node, 'average-latency' AS parameter, {r('f.value * s.share', 4)} AS value
+FROM firsts f LEFT JOIN shares s USING (variant, rep, t, rate, node) WHERE f.parameter = 'latency'""",
+    ),
+    "ana_total_cpu": _with(
+        MET,
+        """, g AS (SELECT variant, rep, t, rate, arg_min(value, seq) AS value FROM m WHERE parameter = 'throughput' GROUP BY ALL
+), s AS (SELECT variant, rep, t, rate, arg_min(value, seq) AS value FROM m WHERE parameter = 'sink-throughput' GROUP BY ALL)
+SELECT m.variant, m.rep, m.t, m.rate, m.node, 'total-cpu' AS parameter, m.value + g.value + s.value AS value
+FROM m LEFT JOIN g USING (variant, rep, t, rate) LEFT JOIN s USING (variant, rep, t, rate) WHERE m.parameter = 'latency'""",
+    ),
+    "ana_pivot": _with(
+        MET + BASE_MEANS,
+        "SELECT variant, "
+        + ", ".join(f'max(CASE WHEN rate = {x} THEN floor(value * 1000 + 0.5) / 1000 END) AS "{x}"' for x in RATES)
+        + " FROM means GROUP BY variant",
+    ),
+    "ana_relative": _with(
+        MET + BASE_MEANS,
+        """SELECT b.variant AS baseline, a.variant, a.rate, CASE WHEN a.variant = b.variant THEN '-'
+  WHEN b.value IS NULL OR b.value = 0 OR a.value IS NULL THEN 'missing'
+  WHEN abs(100 * (a.value - b.value) / b.value) < 100 THEN printf('%+.0f%%', 100 * (a.value - b.value) / b.value)
+  ELSE printf('%+.1fx', a.value / b.value) END AS relative
+FROM means a JOIN means b ON b.rate = a.rate""",
+    ),
+    "ana_rolling": _with(
+        MET,
+        f""", per AS (SELECT parameter, variant, rate, t, avg(value) AS value FROM m GROUP BY 1, 2, 3, 4
+), smooth AS (SELECT * REPLACE (avg(value) OVER (PARTITION BY parameter, variant, rate ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS value) FROM per)
+SELECT parameter, variant, rate, t, {r('value', 4)} AS value FROM smooth""",
+    ),
+    "ana_variant_order": _with(
+        MET, "SELECT DISTINCT variant, CAST(CASE WHEN variant = 'OS' THEN 0 ELSE 1 END AS INT) AS position FROM m WHERE rate BETWEEN 2000 AND 4000"
+    ),
+    "ana_queue_box": _with(
+        MET,
+        f""", queues AS (SELECT rate, variant, node || '-' || (seq % 7) AS node, value FROM m
+  WHERE parameter = 'input-queue' AND seq % 50 > 1
+), means AS (SELECT rate, variant, node, sum(value) / count(*) AS value FROM queues GROUP BY 1, 2, 3
+), lists AS (SELECT rate, variant, list_sort(list(value)) AS v FROM means GROUP BY 1, 2
+), boxes AS (SELECT rate, variant, {_interpolated(0.25)} AS q1, {_interpolated(0.5)} AS median, {_interpolated(0.75)} AS q3 FROM lists
+), marked AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM means JOIN boxes USING (rate, variant))
+SELECT rate, variant, {r('any_value(q1)', 4)} AS q1, {r('any_value(median)', 4)} AS median, {r('any_value(q3)', 4)} AS q3,
+  {r('min(CASE WHEN inside THEN value END)', 4)} AS low, {r('max(CASE WHEN inside THEN value END)', 4)} AS high,
+  CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS outliers
+FROM marked GROUP BY rate, variant""",
+    ),
+    "ana_policy": _with(
+        MET,
+        """SELECT seq, CASE WHEN variant = 'OS' THEN 'OS' ELSE 'CUSTOM' END AS scheduler,
+  CASE variant WHEN 'OS' THEN 'default' WHEN 'CUSTOM-QS' THEN 'QS' ELSE 'FCFS' END AS policy FROM m""",
+    ),
+    "ana_run_summary": _with(
+        MET, "SELECT experiment, variant, count(DISTINCT rep) AS reps, max(t) / 60 AS minutes FROM m GROUP BY 1, 2"
+    ),
+}
+
+
+def _h(op: str) -> str:
+    """Number that decides whether query q keeps a tuple at operator op."""
+    x = f"((((event_id + 1 + q * 7907) % 999983) * (7919 + 104729 * ({op} + 1))) % 999983)"
+    return f"((({x} * {x} % 999983) * {x} + 12345 * {op}) % 999983)"
+
+
+def _chains(values: list[list[float]], source: str = "ev") -> str:
+    """Events per query that pass all operators, from a parameter list of (query, selectivities)."""
+    rows = ", ".join(f"({q}, {', '.join(f'{s!r}::DOUBLE' for s in ops)})" for q, ops in enumerate(values))
+    passed = " AND ".join(f"{_h(str(j))} < s{j} * 999983" for j in range(len(values[0])))
+    names = ", ".join(f"s{j}" for j in range(len(values[0])))
+    return f"""SELECT CAST(q AS INT) AS query_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
+FROM {source}, (VALUES {rows}) params(q, {names}) WHERE {passed} GROUP BY q"""
+
+
+def _synthetic() -> dict[str, str]:
+    from rillstone.plans.catalog import CHAIN_LENGTH, CHAIN_QUERIES, CLASSES, VARIED
+
+    equal = 0.01 ** (1 / 3)
+    high, low = (_chains(CLASSES[c], f"(SELECT * FROM ev WHERE event_type {op} 'error')") for c, op in (("HIGH", "="), ("LOW", "<>")))
+    one = " AND ".join(f"{_h(str(j))} < {equal!r}::DOUBLE * 999983" for j in range(CHAIN_LENGTH))
+    return {
+        "syn_fanout": _with(EV, "SELECT event_id, CAST(q AS INT) AS query_id FROM ev, range(20) t(q)"),
+        "syn_filter_chain": _with(EV, f"SELECT event_id FROM (SELECT event_id, 0 AS q FROM ev) WHERE {one}"),
+        "syn_chain_counts": _with(EV, _chains([[equal] * CHAIN_LENGTH] * CHAIN_QUERIES)),
+        "syn_selectivity": _with(EV, _chains(VARIED)),
+        "syn_multiclass": _with(
+            EV,
+            f"""SELECT 'HIGH' AS class, CAST(3 AS INT) AS priority, * FROM ({high})
+UNION ALL SELECT 'LOW', CAST(1 AS INT), * FROM ({low})""",
+        ),
+        "syn_stress_value": _with(EV, "SELECT event_id, pi() * (CAST(k AS BIGINT) * k * k * k * k)::DOUBLE AS f1 FROM ev"),
+    }
+
+
+LINES = POS + """, lines AS (
+  SELECT seq, concat_ws(',', type, time, vid, speed, xway, lane, direction, segment, position) AS line FROM allpos)"""
+
+SOURCES = {
+    "src_cyclic_replay": _with(
+        LINES,
+        """, placed AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM lines)
+SELECT seq, line, c * n + i AS emission, (c * n + i) * 1000 // 4000 AS ts_ms FROM placed, range(3) t(c)""",
+    ),
+    "src_encode_envelope": _with(LINES, "SELECT seq, (seq * 10 + 1700000000000) || '|' || line AS value FROM lines"),
+    "src_decode_envelope": _with(
+        LINES, "SELECT seq, 1800000000000 AS ts_ms, line, seq * 10 + 1700000000000 AS ts_ext_ms FROM lines"
+    ),
+}
+
+
 def statements() -> dict[str, str]:
-    return {**LINEAR_ROAD, **VOIP}
+    return {**LINEAR_ROAD, **VOIP, **STATISTICS, **EXPERIMENTS, **_synthetic(), **SOURCES}
