@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.skew import DEFAULT_SKEW, Skew, find_hot, row_numbers, split_hot, with_carry
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, with_carry
 
 # A weight is below e^-68 after this many seconds for the slowest decay in use (0.9917 per second).
 BLOCK_SECONDS = 8192
@@ -93,14 +93,14 @@ def decayed_sums(
     seq: str,
     features: Mapping[str, tuple[str, float]],
     skew: Skew = DEFAULT_SKEW,
-    hot: DataFrame | None = None,
+    hot: Hot = FIND,
     block: int = BLOCK_SECONDS,
 ) -> DataFrame:
     """Add, per key, ln(1/beta) * sum of q * beta^(seconds since), over the rows up to and with this one.
 
     ``features`` maps the new column to (quantity column, beta). Rows count in order of (``t``, ``seq``).
     """
-    ordinary, heavy = split_hot(df, keys, find_hot(df, keys, skew) if hot is None else hot)
+    ordinary, heavy = split_hot(df, keys, hot_or_find(df, keys, skew, hot))
     out = decay_plain(ordinary.repartition(*keys), keys, t, seq, features, block)
     if heavy is None:
         return out
@@ -221,13 +221,13 @@ def global_average(
         .groupBy(F.lit(0).cast("long").alias("_blk"))
         .applyInPandas(_literal_average(age), "_seq long, _state double")
     )
-    last = head.agg(F.max_by("_state", "_seq")).first()[0]
     opening = head.select(
         F.col("_seq").alias(seq), F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state")).alias(name)
     )
     tail = slim.filter(F.col("_seq") >= border)
     if tail.isEmpty():
         return opening
+    last = head.agg(F.max_by("_state", "_seq")).first()[0]
     in_block = Window.partitionBy("_blk").orderBy("_seq")
     tail = tail.withColumn("_blk", F.floor(F.col("_seq") / F.lit(block_rows)).cast("long"))
     tail = tail.withColumn("_n", F.row_number().over(in_block).cast("double"))

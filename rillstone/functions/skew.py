@@ -31,6 +31,9 @@ class Skew:
 
 
 DEFAULT_SKEW = Skew()
+FIND = "find"
+Hot = DataFrame | str | None
+"""Hot keys given to an operator: a table, None for "there are none", or FIND to look them up."""
 BROADCAST_ROWS = 100_000
 FNS = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -45,6 +48,10 @@ def find_hot(df: DataFrame, keys: Sequence[str], skew: Skew = DEFAULT_SKEW) -> D
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=largest.schema))
 
 
+def hot_or_find(df: DataFrame, keys: Sequence[str], skew: Skew, hot: Hot) -> DataFrame | None:
+    return find_hot(df, keys, skew) if isinstance(hot, str) else hot
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """``(rows of ordinary keys, rows of hot keys or None)``."""
     if hot is None:
@@ -58,7 +65,7 @@ def _in_pieces(
     keys: Sequence[str],
     seq: str,
     skew: Skew,
-    hot: DataFrame | None,
+    hot: Hot,
     plain: Callable[[DataFrame], DataFrame],
     blocked: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
@@ -66,7 +73,7 @@ def _in_pieces(
     block = F.floor(F.col(seq) / F.lit(skew.block_rows)).cast("long")
     if not keys:
         return blocked(df.withColumn("_blk", block))
-    ordinary, heavy = split_hot(df, keys, find_hot(df, keys, skew) if hot is None else hot)
+    ordinary, heavy = split_hot(df, keys, hot_or_find(df, keys, skew, hot))
     if heavy is None:
         return plain(ordinary)
     return plain(ordinary).unionByName(blocked(heavy.withColumn("_blk", block)))
@@ -78,7 +85,7 @@ def previous(
     seq: str,
     cols: Mapping[str, str],
     skew: Skew = DEFAULT_SKEW,
-    hot: DataFrame | None = None,
+    hot: Hot = FIND,
 ) -> DataFrame:
     """Add the previous row's values of the same key, in ``seq`` order: ``cols`` maps new name to column.
 
@@ -138,7 +145,7 @@ def running(
     seq: str,
     outs: Mapping[str, tuple[str, Column]],
     skew: Skew = DEFAULT_SKEW,
-    hot: DataFrame | None = None,
+    hot: Hot = FIND,
 ) -> DataFrame:
     """Add running aggregates in ``seq`` order: ``outs`` maps new name to ("sum" | "min" | "max", column)."""
     def plain(rows: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def running(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], seq: str, name: str, skew: Skew = DEFAULT_SKEW, hot: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], seq: str, name: str, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND
 ) -> DataFrame:
     """Add the 1-based position of each row within its key, in ``seq`` order."""
     return running(df, keys, seq, {name: ("sum", F.lit(1).cast("long"))}, skew, hot)
@@ -165,7 +172,7 @@ def runs(
     labels: Sequence[str],
     sums: Mapping[str, Column],
     skew: Skew = DEFAULT_SKEW,
-    hot: DataFrame | None = None,
+    hot: Hot = FIND,
 ) -> DataFrame:
     """One row per maximal run of equal ``labels`` among a key's rows in ``seq`` order.
 

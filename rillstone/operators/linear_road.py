@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.skew import DEFAULT_SKEW, Skew, checked_broadcast, previous, row_numbers, runs
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, checked_broadcast, previous, row_numbers, runs
 
 # Fixed values of the benchmark.
 EXIT_LANE = 4
@@ -40,7 +40,9 @@ def on_exit_lane(lane: Column | str = "lane") -> Column:
     return (F.col(lane) if isinstance(lane, str) else lane) == EXIT_LANE
 
 
-def average_speed(positions: DataFrame, semantics: str = "spec", skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def average_speed(
+    positions: DataFrame, semantics: str = "spec", skew: Skew = DEFAULT_SKEW, hot: Hot = FIND
+) -> DataFrame:
     """Integer mean speed of each vehicle for each stay in a segment within a minute.
 
     spec: one row per vehicle, minute and run of consecutive reports in one segment; ``seq`` is the first
@@ -60,6 +62,7 @@ def average_speed(positions: DataFrame, semantics: str = "spec", skew: Skew = DE
         SEGMENT,
         {"speed_sum": F.col("speed").cast("long")},
         skew,
+        hot,
     )
     return stays.select(
         F.col("first_seq").alias("seq"), "vid", "minute", *SEGMENT, F.expr("cast(speed_sum div n as int)").alias("avg_speed")
@@ -86,7 +89,7 @@ def last_average_speed(
 
 
 def running_last_average_speed(
-    speeds: DataFrame, minutes: int = LAV_MINUTES, values: int = LAV_VALUES, skew: Skew = DEFAULT_SKEW
+    speeds: DataFrame, minutes: int = LAV_MINUTES, values: int = LAV_VALUES, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND
 ) -> DataFrame:
     """One LAV per input: the integer mean of the first ``values`` speeds kept for the segment so far.
 
@@ -95,7 +98,7 @@ def running_last_average_speed(
     window sees at most that many per minute; all other rows just look the result up.
     """
     cell = [*SEGMENT, "minute"]
-    placed = row_numbers(speeds, cell, "seq", "_pos", skew)
+    placed = row_numbers(speeds, cell, "seq", "_pos", skew, hot)
     firsts = placed.filter(F.col("_pos") <= values).select(*cell, "_pos", F.col("avg_speed").cast("long").alias("v"))
     cells = firsts.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("_pos", "v"))).alias("own"))
     trailing = Window.partitionBy(*SEGMENT).orderBy("minute").rangeBetween(-(minutes - 1), 0)
@@ -107,7 +110,8 @@ def running_last_average_speed(
         lambda acc, v: F.concat(acc, F.array(v + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")))),
     )
     lookup = cells.select(*cell, sums.alias("sums"), (F.size(kept) - F.size("own")).alias("earlier"))
-    joined = placed.join(checked_broadcast(lookup), cell)
+    # Both sides are already spread by cell, so the join moves the small side only.
+    joined = placed.join(lookup, cell)
     used = F.least(F.col("earlier") + F.col("_pos"), F.lit(values)).cast("int")
     return joined.select(
         "seq",
@@ -155,10 +159,10 @@ def count_progress(positions: DataFrame, threshold: int = CAR_THRESHOLD) -> Data
     )
 
 
-def segment_changes(positions: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def segment_changes(positions: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) -> DataFrame:
     """Reports off the exit lane whose segment differs from the vehicle's last report off the exit lane."""
     driving = positions.filter(~on_exit_lane())
-    lagged = previous(driving, ["vid"], "seq", {"_segment": "segment"}, skew)
+    lagged = previous(driving, ["vid"], "seq", {"_segment": "segment"}, skew, hot)
     return lagged.filter(~F.col("segment").eqNullSafe(F.col("_segment"))).drop("_segment")
 
 
@@ -198,6 +202,7 @@ def toll_notification_pos(
     lav_threshold: int = LAV_THRESHOLD,
     car_threshold: int = CAR_THRESHOLD,
     skew: Skew = DEFAULT_SKEW,
+    hot: Hot = FIND,
 ) -> DataFrame:
     """Toll notification for every segment a vehicle enters off the exit lane.
 
@@ -231,7 +236,7 @@ def toll_notification_pos(
     for part in parts[1:]:
         union = union.unionByName(part)
     state = union.groupBy(*cell).agg(F.max("lav").alias("lav"), F.max("cars").alias("cars"), F.max("blocked").alias("blocked"))
-    entered = segment_changes(positions, skew).join(checked_broadcast(state), cell, "left")
+    entered = segment_changes(positions, skew, hot).join(checked_broadcast(state), cell, "left")
     lav_value = F.coalesce("lav", F.lit(0))
     toll = F.when(F.coalesce("blocked", F.lit(False)), F.lit(0)).otherwise(
         toll_formula(lav_value, F.coalesce("cars", F.lit(0)), lav_threshold, car_threshold)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.decay import decay_hot, decay_plain, decayed_sums, divide, global_average, score
-from rillstone.functions.skew import DEFAULT_SKEW, Skew, find_hot, split_hot
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, find_hot, hot_or_find, split_hot
 
 # Fixed values of the benchmark.
 BETA = 0.9672
@@ -45,9 +45,9 @@ def _flag_hot(calls: DataFrame) -> DataFrame:
     return calls.join(firsts, "call_id", "left").withColumn("new_callee", F.coalesce("_first", F.lit(False))).drop("_first")
 
 
-def new_callee(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: DataFrame | None = None) -> DataFrame:
+def new_callee(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) -> DataFrame:
     """Add ``new_callee``: whether this is the first call of the caller to the callee, established or not."""
-    ordinary, heavy = split_hot(calls, ["caller"], find_hot(calls, ["caller"], skew) if hot is None else hot)
+    ordinary, heavy = split_hot(calls, ["caller"], hot_or_find(calls, ["caller"], skew, hot))
     out = _flag_plain(ordinary.repartition("caller"))
     return out if heavy is None else out.unionByName(_flag_hot(heavy).select(out.columns))
 

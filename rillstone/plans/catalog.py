@@ -54,7 +54,7 @@ LINEAR_ROAD: dict[str, Query] = {
     "lr_average_speed": _lr(lr.average_speed),
     "lr_average_speed_as_run": _lr(lambda p: lr.average_speed(p, "as_run")),
     "lr_lav": _lr(lambda p: lr.last_average_speed(lr.average_speed(p))),
-    "lr_lav_running": _lr(lambda p: lr.running_last_average_speed(lr.average_speed(p))),
+    "lr_lav_running": _lr(lr_plan.running_lav),
     "lr_lav_as_run": _lr(_lav_as_run),
     "lr_count_vehicles": _lr(lr.count_vehicles),
     "lr_count_progress": _lr(lr.count_progress),
