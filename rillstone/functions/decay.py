@@ -158,13 +158,13 @@ def affine_carries(blocks: DataFrame, levels: int = 2) -> DataFrame:
     return grouped.select(F.inline(walked))
 
 
-def _literal_average(age: float):
+def _literal_average(age: float, start: float):
     """The average exactly as defined, sample by sample, for the few rows of the first block."""
     decay = 2.0 / (age + 1.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seq")
-        state, out = 0.0, []
+        state, out = start, []
         for x in pdf["_x"]:
             if state < WARM_UP:
                 state += x
@@ -201,9 +201,12 @@ def block_carries(blocks: DataFrame, state: float, max_blocks: int) -> DataFrame
 def global_average(
     df: DataFrame, seq: str, value: str, name: str = "average", age: float = AVERAGE_AGE,
     block_rows: int = 1_048_576, head_rows: int = 65_536, max_blocks: int = 1_000_000,
+    start: float = 0.0, state: str | None = None,
 ) -> DataFrame:
     """Exponential moving average of ``value`` over all rows in ``seq`` order: columns ``seq`` and ``name``.
 
+    ``start`` is the state before the first row; ``state`` names a column that tells the state after each row.
+
     Samples are added up until the sum reaches 10; a sum of exactly 10 turns into 1 and swallows the next
     sample; afterwards a <- x * d + a * (1 - d) with d = 2 / (age + 1). A state up to 10 reads as 0.
 
@@ -219,10 +222,11 @@ def global_average(
     head = (
         slim.filter(F.col("_seq") < border)
         .groupBy(F.lit(0).cast("long").alias("_blk"))
-        .applyInPandas(_literal_average(age), "_seq long, _state double")
+        .applyInPandas(_literal_average(age, start), "_seq long, _state double")
     )
+    more = [F.col("_state").alias(state)] if state else []
     opening = head.select(
-        F.col("_seq").alias(seq), F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state")).alias(name)
+        F.col("_seq").alias(seq), F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state")).alias(name), *more
     )
     tail = slim.filter(F.col("_seq") >= border)
     if tail.isEmpty():
@@ -236,12 +240,11 @@ def global_average(
     )
     local = tail.withColumn("_w", F.exp(keep * F.col("_n"))).withColumn("_local", F.col("_w") * rise)
     blocks = local.groupBy("_blk").agg(F.min("_w").alias("keep"), F.max_by("_local", "_n").alias("add"))
-    state = F.col("_local") + F.col("carry") * F.col("_w")
+    reached = F.col("_local") + F.col("carry") * F.col("_w")
     fell = F.raise_error(F.lit("the average fell back into its warm-up range")).cast("double")
-    warm = F.when(state > WARM_UP, state).otherwise(fell)
-    later = local.join(block_carries(blocks, float(last), max_blocks), "_blk").select(
-        F.col("_seq").alias(seq), warm.alias(name)
-    )
+    warm = F.when(reached > WARM_UP, reached).otherwise(fell)
+    later = local.join(block_carries(blocks, float(last), max_blocks), "_blk").withColumn("_state", warm)
+    later = later.select(F.col("_seq").alias(seq), F.col("_state").alias(name), *more)
     return opening.unionByName(later)
 
 

@@ -187,7 +187,8 @@ def runs(
         window = Window.partitionBy(*by).orderBy(seq)
         rows = rows.select("*", *[c.alias(f"_s_{n}") for n, c in sums.items()])
         rows = rows.withColumn("_start", (~label.eqNullSafe(F.lag(label).over(window))).cast("int"))
-        return rows.withColumn("_run", F.sum("_start").over(window))
+        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("_run", F.sum("_start").over(upto))
 
     def collapse(rows: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
         return rows.groupBy(*by, "_run").agg(
@@ -210,7 +211,8 @@ def runs(
         order = Window.partitionBy(*keys).orderBy("first_seq")
         same = label.eqNullSafe(F.lag(label).over(order)) & (F.col("_blk") != F.lag("_blk").over(order))
         edges = local.filter(edge).withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int"))
-        edges = edges.withColumn("_run", F.sum("_new").over(order))
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edges = edges.withColumn("_run", F.sum("_new").over(upto))
         joined = edges.groupBy(*keys, "_run").agg(
             *[F.first(c).alias(c) for c in labels],
             F.min("first_seq").alias("first_seq"),
