@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,32 +60,45 @@ def decay_plain(
     return out.withColumns({name: F.col(name) * F.lit(c) for name, c in constants.items()})
 
 
-def decay_hot(
+def cell_sums(
     rows: DataFrame, keys: Sequence[str], t: str, seq: str, features: Mapping[str, tuple[str, float]],
-    skew: Skew = DEFAULT_SKEW, block: int = BLOCK_SECONDS,
+    skew: Skew, left_over: Callable[[DataFrame, Mapping[str, tuple[str, float]]], DataFrame],
 ) -> DataFrame:
-    """Decayed sums for hot keys, in cells of one second and at most ``skew.block_rows`` rows.
+    """Decayed sums in cells of one second and at most ``skew.block_rows`` rows of a key.
 
-    Within a cell nothing decays, so a cell is a plain running sum on top of what the cells before have
-    left. Those are summed up first, and their decayed sums travel to the cell as a carry row.
+    Within a cell nothing decays, so a cell is a plain running sum on top of what the cells before have left
+    (without the leading constant). ``left_over`` works that out from the totals of the cells: it replaces
+    each quantity by it. The results travel to the cells as carry rows.
     """
     rows = rows.withColumn("_sb", F.floor(F.col(seq) / F.lit(skew.block_rows)).cast("long"))
     quantities = {name: f"_q_{name}" for name in features}
     rows = rows.withColumns({quantities[n]: F.col(q).cast("double") for n, (q, _) in features.items()})
     cell = [*keys, t, "_sb"]
     cells = rows.groupBy(*cell).agg(*[F.sum(q).alias(q) for q in quantities.values()])
-    before = (Window.unboundedPreceding, -1)
-    inner = {f"_c_{n}": (quantities[n], beta) for n, (_, beta) in features.items()}
-    carry = _anchored(cells, keys, [t, "_sb"], inner, t, block, before)
-    carry = carry.select(*cell, *[F.col(f"_c_{n}").alias(quantities[n]) for n in features])
+    carry = left_over(cells, {quantities[n]: (quantities[n], beta) for n, (_, beta) in features.items()})
     window = Window.partitionBy(*cell).orderBy("_real", seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = with_carry(rows, carry)
+    both = with_carry(rows, carry.select(*cell, *quantities.values()))
     summed = both.select(
         "*", *[(F.sum(quantities[n]).over(window) * rate_constant(beta)).alias(n) for n, (_, beta) in features.items()]
     )
     return summed.filter("_real").drop("_real", "_sb", *quantities.values())
 
 
+def decay_hot(
+    rows: DataFrame, keys: Sequence[str], t: str, seq: str, features: Mapping[str, tuple[str, float]],
+    skew: Skew = DEFAULT_SKEW, block: int = BLOCK_SECONDS,
+) -> DataFrame:
+    """Decayed sums for hot keys: only the totals of cells are gathered by key and time block."""
+
+    def left_over(cells: DataFrame, quantities: Mapping[str, tuple[str, float]]) -> DataFrame:
+        before = (Window.unboundedPreceding, -1)
+        named = {f"_c{q}": use for q, use in quantities.items()}
+        summed = _anchored(cells, keys, [t, "_sb"], named, t, block, before)
+        return summed.select(*keys, t, "_sb", *[F.col(f"_c{q}").alias(q) for q in quantities])
+
+    return cell_sums(rows, keys, t, seq, features, skew, left_over)
+
+
 def decayed_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.functions.decay import decayed_sums, score
+from rillstone.functions.sketches import probably_new, sketched_sums
 from rillstone.operators import experiments as ex
 from rillstone.operators import linear_road as lr
 from rillstone.operators import parsing, synthetic, voip
@@ -62,6 +63,8 @@ LINEAR_ROAD: dict[str, Query] = {
     "lr_toll_las_as_run": _lr(lambda p: lr.toll_notification_las(_lav_as_run(p))),
     "lr_toll_cv_as_run": _lr(lambda p: lr.toll_notification_cv(lr.count_vehicles(p, "as_run"))),
     "lr_toll_pos_as_run": _lr(lambda p: lr.toll_notification_pos(p, semantics="as_run")),
+    "lr_toll_las": _lr(lambda p: lr.toll_notification_las(lr_plan.running_lav(p), "spec")),
+    "lr_toll_cv": _lr(lambda p: lr.toll_notification_cv(lr.count_vehicles(p).unionByName(lr.count_progress(p)), "spec")),
     "lr_toll": _lr(_toll),
     "lr_toll_accidents": lambda s, d: toll_rows(lr_plan.tolls(fx.positions(s, d), fx.accidents(s, d))),
     "lr_accident_block": lambda s, d: lr.accident_free(fx.positions(s, d), fx.accidents(s, d)).select("seq", "vid"),
@@ -96,7 +99,19 @@ def _score_messages(calls: DataFrame) -> DataFrame:
     return vs_plan.default(calls, "as_run").groupBy("source", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ecr_sketch(calls: DataFrame) -> DataFrame:
+    one = calls.filter("established").withColumn("_one", F.lit(1))
+    rated = sketched_sums(one, ["caller"], "answer_ts", "call_id", "ecr", "_one", voip.BETA)
+    return _rate(rated, "ecr")
+
+
+def _new_callee_bloom(calls: DataFrame) -> DataFrame:
+    return probably_new(calls, ["caller", "callee"], "call_id", "new_callee").select("call_id", "caller", "callee", "new_callee")
+
+
 VOIP: dict[str, Query] = {
+    "vs_new_callee_bloom": _vs(_new_callee_bloom),
+    "vs_ecr_sketch": _vs(_ecr_sketch),
     "vs_parse_cdrs": lambda s, d: parsing.parse_calls(fx.call_lines(s, d)),
     "vs_new_callee": _vs(lambda c: voip.new_callee(c).select("call_id", "caller", "callee", "new_callee")),
     "vs_pre_rcr": _vs(lambda c: voip.pre_rcr(c).select("call_id", "role", "key", "answer_ts")),

@@ -37,6 +37,14 @@ LAV = AVG + """, lavs AS (
                AND s.minute BETWEEN m.minute - 4 AND m.minute
   GROUP BY 1, 2, 3, 4)"""
 
+RUNNING = AVG + """, kept AS (
+  SELECT a.seq, a.minute, a.xway, a.direction, a.segment, b.avg_speed, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS rn
+  FROM speeds a JOIN speeds b ON b.xway = a.xway AND b.direction = a.direction AND b.segment = a.segment
+   AND b.minute BETWEEN a.minute - 4 AND a.minute AND b.seq <= a.seq
+), running AS (
+  SELECT seq, CAST(minute + 1 AS SMALLINT) AS minute, xway, direction, segment, CAST(sum(avg_speed) // count(*) AS INT) AS lav
+  FROM kept WHERE rn <= 11 GROUP BY ALL)"""
+
 TOLL = LAV + """, cells AS (
   SELECT minute, xway, direction, segment, CAST(count(*) AS INT) AS n FROM pos GROUP BY ALL
 ), changes AS (
@@ -129,14 +137,13 @@ LINEAR_ROAD = {
     "lr_average_speed": _with(AVG, "SELECT seq, vid, minute, xway, direction, segment, avg_speed FROM speeds"),
     "lr_average_speed_as_run": _with(POS + AS_RUN_AVG, "SELECT * FROM asrun WHERE vid IS NOT NULL"),
     "lr_lav": _with(LAV, "SELECT minute, xway, direction, segment, lav FROM lavs"),
-    "lr_lav_running": _with(
-        AVG,
-        """, kept AS (
-  SELECT a.seq, a.minute, a.xway, a.direction, a.segment, b.avg_speed, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS rn
-  FROM speeds a JOIN speeds b ON b.xway = a.xway AND b.direction = a.direction AND b.segment = a.segment
-   AND b.minute BETWEEN a.minute - 4 AND a.minute AND b.seq <= a.seq)
-SELECT seq, CAST(minute + 1 AS SMALLINT) AS minute, xway, direction, segment, CAST(sum(avg_speed) // count(*) AS INT) AS lav
-FROM kept WHERE rn <= 11 GROUP BY ALL""",
+    "lr_lav_running": _with(RUNNING, "SELECT seq, minute, xway, direction, segment, lav FROM running"),
+    "lr_toll_las": _with(
+        RUNNING, "SELECT minute, xway, direction, segment, arg_max(lav, seq) AS lav FROM running GROUP BY 1, 2, 3, 4"
+    ),
+    "lr_toll_cv": _with(
+        POS,
+        "SELECT minute, xway, direction, segment, CAST(count(*) AS INT) AS count FROM pos GROUP BY 1, 2, 3, 4 HAVING count(*) > 50",
     ),
     "lr_lav_as_run": _with(
         POS + AS_RUN_AVG,

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,10 +21,6 @@ def builder(app: str = "rillstone") -> SparkSession.Builder:
 
 def local(cores: int | str = 8, memory: str = "8g", app: str = "rillstone") -> SparkSession:
     """Single-machine session for tests and the benchmark."""
-    # Python workers import the package; on a cluster it is shipped with --py-files.
-    root, known = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
     spark = (
         builder(app)
         .master(f"local[{cores}]")
