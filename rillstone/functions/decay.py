@@ -277,9 +277,9 @@ def keyed_average(
     copies = F.when((F.col("_n") - 1) % step >= step - terms, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
     spread = placed.withColumn("_nb", F.explode(copies))
     d = (F.col("_n") - F.col("_nb") * step).cast("double")
-    log_keep = math.log1p(-alpha)
+    keep = F.lit(1.0 - alpha)
     weight = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
     window = Window.partitionBy(*keys, "_nb").orderBy("_n").rowsBetween(-(terms - 1), Window.currentRow)
-    total = F.sum(weight * F.col(value) * F.exp(-log_keep * d)).over(window) * F.exp(log_keep * d)
+    total = F.sum(weight * F.col(value) * F.pow(keep, -d)).over(window) * F.pow(keep, d)
     out = spread.withColumn(name, total).filter(F.col("_nb") == F.col("_own"))
     return out.select(*df.columns, name)

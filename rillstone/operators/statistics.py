@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.decay import keyed_average
 from rillstone.functions.quantiles import exact_quantiles
-from rillstone.functions.skew import DEFAULT_SKEW, Skew, previous, row_numbers, running
+from rillstone.functions.skew import DEFAULT_SKEW, Skew, find_hot, previous, row_numbers, running
 
 SAMPLE_EVERY = 100
 ARRIVAL_ALPHA = 0.5
@@ -75,11 +75,12 @@ def rate_limited(
     """
     if per_second == 0:
         return df
-    placed = row_numbers(df, keys, seq, "_i", skew)
+    hot = find_hot(df, keys, skew) if keys else None
+    placed = row_numbers(df, keys, seq, "_i", skew, hot)
     limit = F.floor(F.col(elapsed) * per_second) + 1 - F.col("_i")
-    bound = running(placed, keys, seq, {"_least": ("min", limit)}, skew)
+    bound = running(placed, keys, seq, {"_least": ("min", limit)}, skew, hot)
     bound = bound.withColumn("_accepted", F.col("_i") + F.least(F.lit(0), F.col("_least")))
-    before = previous(bound, keys, seq, {"_before": "_accepted"}, skew)
+    before = previous(bound, keys, seq, {"_before": "_accepted"}, skew, hot)
     taken = F.col("_accepted") > F.coalesce("_before", F.lit(0))
     return before.filter(taken).select(*df.columns)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.functions.lineage import saved
 from rillstone.functions.skew import DEFAULT_SKEW, Skew, row_numbers
 
 # Fixed values of the call generator: eleven-digit numbers, durations below a day, 5 % not established.
@@ -101,10 +102,11 @@ def replay(
 def replay_stream(lines: DataFrame, rate: int, ramp_up_seconds: int = 0) -> DataFrame:
     """Endless stream of the lines at ``rate`` per second, with their emission time.
 
-    ``lines`` is a static DataFrame; its order is the order of its files and rows.
+    ``lines`` is a static DataFrame; its order is the order of its files and rows. The numbered lines are
+    saved first, because every micro-batch reads them.
     """
     spark = lines.sparkSession
-    placed = indexed(lines.withColumn("_seq", F.monotonically_increasing_id()), "_seq").drop("_seq")
+    placed = saved(indexed(lines.withColumn("_seq", F.monotonically_increasing_id()), "_seq").drop("_seq"))
     n = placed.count()
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rate)
     if ramp_up_seconds:
