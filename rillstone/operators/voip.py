@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.decay import decay_hot, decay_plain, decayed_sums, divide, global_average, score
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, find_hot, hot_or_find, split_hot
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, split_hot
 
 # Fixed values of the benchmark.
 BETA = 0.9672
@@ -53,7 +53,7 @@ def new_callee(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) ->
 
 
 def caller_features(
-    calls: DataFrame, skew: Skew = DEFAULT_SKEW, names: Sequence[str] = tuple(CALLER_FEATURES)
+    calls: DataFrame, skew: Skew = DEFAULT_SKEW, names: Sequence[str] = tuple(CALLER_FEATURES), hot: Hot = FIND
 ) -> DataFrame:
     """Established calls with ``new_callee`` and the caller's decayed rates (all four, or ``names``).
 
@@ -68,7 +68,7 @@ def caller_features(
             {"_one": F.lit(1), "_new": new, "_talk": new * F.col("duration")}
         )
 
-    ordinary, heavy = split_hot(calls, ["caller"], find_hot(calls, ["caller"], skew))
+    ordinary, heavy = split_hot(calls, ["caller"], hot_or_find(calls, ["caller"], skew, hot))
     spread = quantities(_flag_plain(ordinary.repartition("caller")))
     out = decay_plain(spread, ["caller"], "answer_ts", "call_id", features)
     if heavy is not None:
@@ -78,19 +78,19 @@ def caller_features(
     return out.withColumns(only_new).drop("_one", "_new", "_talk")
 
 
-def ecr(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def ecr(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) -> DataFrame:
     """Rate of established calls by the caller."""
-    return _call_rate(calls, "ecr", BETA, skew)
+    return _call_rate(calls, "ecr", BETA, skew, hot)
 
 
 def ecr24(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """Rate of established calls by the caller with the slow decay."""
-    return _call_rate(calls, "ecr24", BETA_24, skew)
+    return _call_rate(calls, "ecr24", BETA_24, skew, FIND)
 
 
-def _call_rate(calls: DataFrame, name: str, beta: float, skew: Skew) -> DataFrame:
+def _call_rate(calls: DataFrame, name: str, beta: float, skew: Skew, hot: Hot) -> DataFrame:
     one = calls.filter("established").withColumn("_one", F.lit(1))
-    return decayed_sums(one, ["caller"], "answer_ts", "call_id", {name: ("_one", beta)}, skew).drop("_one")
+    return decayed_sums(one, ["caller"], "answer_ts", "call_id", {name: ("_one", beta)}, skew, hot).drop("_one")
 
 
 def encr(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.functions.skew import DEFAULT_SKEW, Skew
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, find_hot
 from rillstone.operators import voip
 
 # Message tags of the original job.
@@ -27,16 +27,17 @@ def default(calls: DataFrame, semantics: str = "spec", skew: Skew = DEFAULT_SKEW
     return _rated(new.join(received, "call_id").join(voip.global_acd(calls), "call_id"))
 
 
-def carried_ecr(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def carried_ecr(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) -> DataFrame:
     """Every call with the caller's rate computed up front; null on calls that were not established."""
-    rated = voip.ecr(calls, skew)
+    rated = voip.ecr(calls, skew, hot)
     others = calls.filter("not established").withColumn("ecr", F.lit(None).cast("double"))
     return rated.unionByName(others.select(rated.columns))
 
 
 def reordering(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """The caller's rate is computed first and travels with the call through the other operators."""
-    features = voip.caller_features(carried_ecr(calls, skew), skew, ["ecr24", "encr", "ct24"])
+    hot = find_hot(calls, ["caller"], skew)
+    features = voip.caller_features(carried_ecr(calls, skew, hot), skew, ["ecr24", "encr", "ct24"], hot)
     received = voip.rcr(calls, skew=skew).select("call_id", "rcr")
     new = features.filter("new_callee")
     return _rated(new.join(received, "call_id").join(voip.global_acd(calls), "call_id"))
