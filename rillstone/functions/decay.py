@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, with_carry
+from rillstone.functions.lineage import saved
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, union_all, with_carry
 
 # A weight is below e^-68 after this many seconds for the slowest decay in use (0.9917 per second).
 BLOCK_SECONDS = 8192
@@ -19,6 +20,9 @@ ARRAY_ENTRIES = 1024
 AVERAGE_AGE = 86_400.0
 WARM_UP = 10.0
 
+SAFE = 2 * WARM_UP
+MAX_PARTS = 16
+
 
 def rate_constant(beta: float) -> float:
     """Decay per second as a positive exponent."""
@@ -191,24 +195,47 @@ def _literal_average(age: float, start: float):
     return run
 
 
-def block_carries(blocks: DataFrame, state: float, max_blocks: int) -> DataFrame:
-    """State at the start of each block, given the state before the first one.
+def block_carries(blocks: DataFrame, state: float, max_blocks: int) -> tuple[DataFrame, bool]:
+    """State at the start of each block, given the state before the first one, and whether all stay warm.
 
     The block table has one row per ``block_rows`` rows. Up to ``max_blocks`` of them are folded here and
-    handed on as a broadcast table, beyond that they are combined on the cluster.
+    handed on as a broadcast table, beyond that they are combined on the cluster. ``least`` is the lowest
+    state in a block that is entered with ``SAFE``; entered with more, the block stays above that.
     """
     spark = blocks.sparkSession
     table = blocks.limit(max_blocks + 1).toArrow()
     if table.num_rows > max_blocks:
         seed = spark.createDataFrame([(-1, 0.0, state)], "_blk long, keep double, add double")
-        return affine_carries(blocks.unionByName(seed)).filter("_blk >= 0")
+        linear = blocks.select("_blk", "keep", "add")
+        return affine_carries(linear.unionByName(seed)).filter("_blk >= 0"), False
     pdf = table.to_pandas().sort_values("_blk")
-    carries = []
+    carries, warm = [], bool((pdf["least"] > WARM_UP).all())
     for keep, add in zip(pdf["keep"], pdf["add"]):
         carries.append(state)
+        warm = warm and state >= SAFE
         state = state * keep + add
     rows = pd.DataFrame({"_blk": pdf["_blk"].astype("int64").to_numpy(), "carry": pd.Series(carries, dtype="float64")})
-    return F.broadcast(spark.createDataFrame(rows, "_blk long, carry double"))
+    return F.broadcast(spark.createDataFrame(rows, "_blk long, carry double")), warm
+
+
+def _linear_stretch(tail: DataFrame, decay: float, start: float, block_rows: int, max_blocks: int) -> tuple[DataFrame, bool]:
+    """``_seq _state`` of rows that follow the linear rule from the warm state ``start``, and whether all do."""
+    keep = math.log1p(-decay)
+    in_block = Window.partitionBy("_blk").orderBy("_seq")
+    tail = tail.withColumn("_blk", F.floor(F.col("_seq") / F.lit(block_rows)).cast("long"))
+    tail = tail.withColumn("_n", F.row_number().over(in_block).cast("double"))
+    rise = F.sum(F.col("_x") * decay * F.exp(-keep * F.col("_n"))).over(
+        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = tail.withColumn("_w", F.exp(keep * F.col("_n"))).withColumn("_local", F.col("_w") * rise)
+    blocks = local.groupBy("_blk").agg(
+        F.min("_w").alias("keep"),
+        F.max_by("_local", "_n").alias("add"),
+        F.min(F.col("_local") + F.col("_w") * SAFE).alias("least"),
+    )
+    carries, warm = block_carries(blocks, start, max_blocks)
+    state = (F.col("_local") + F.col("carry") * F.col("_w")).alias("_state")
+    return local.join(carries, "_blk").select("_seq", state), warm
 
 
 def global_average(
@@ -218,47 +245,48 @@ def global_average(
 ) -> DataFrame:
     """Exponential moving average of ``value`` over all rows in ``seq`` order: columns ``seq`` and ``name``.
 
-    ``start`` is the state before the first row; ``state`` names a column that tells the state after each row.
-
     Samples are added up until the sum reaches 10; a sum of exactly 10 turns into 1 and swallows the next
-    sample; afterwards a <- x * d + a * (1 - d) with d = 2 / (age + 1). A state up to 10 reads as 0.
+    sample; afterwards a <- x * d + a * (1 - d) with d = 2 / (age + 1). A state up to 10 reads as 0, and is
+    in the warm-up again. ``seq`` and the values are not negative. ``start`` is the state before the first
+    row; ``state`` names a column that tells the state after each row.
 
-    The first ``head_rows`` sequence numbers follow that rule sample by sample. From then on the rule is
-    linear in the state, so blocks are summed independently and joined through their summaries. ``seq`` is
-    not negative. A state that falls back to 10 after the head would start the warm-up again; that is an error.
+    ``head_rows`` sequence numbers at a time follow that rule sample by sample until the state is warm. From
+    then on the rule is linear in the state, so blocks are summed independently and joined through their
+    summaries. Should the state fall back to 10, the rows from there on are done anew in the same way.
     """
     decay = 2.0 / (age + 1.0)
-    keep = math.log1p(-decay)
     slim = df.select(F.col(seq).cast("long").alias("_seq"), F.col(value).cast("double").alias("_x"))
-    first = slim.agg(F.min("_seq")).first()[0]
-    border = (first or 0) + head_rows
-    head = (
-        slim.filter(F.col("_seq") < border)
-        .groupBy(F.lit(0).cast("long").alias("_blk"))
-        .applyInPandas(_literal_average(age, start), "_seq long, _state double")
-    )
+    rest, parts = slim, []
+    while True:
+        first = rest.agg(F.min("_seq")).first()[0]
+        # A border in terms of the sequence column reaches the scan as a pushed filter.
+        border = (first or 0) + head_rows
+        head = (
+            rest.filter(F.col("_seq") < border)
+            .groupBy(F.lit(0).cast("long").alias("_blk"))
+            .applyInPandas(_literal_average(age, start), "_seq long, _state double")
+        )
+        parts.append(head)
+        tail = slim.filter(F.col("_seq") >= border)
+        if tail.isEmpty():
+            break
+        start, rest = float(head.agg(F.max_by("_state", "_seq")).first()[0]), tail
+        if start > WARM_UP:
+            later, warm = _linear_stretch(tail, decay, start, block_rows, max_blocks)
+            cold = None if warm else later.filter(F.col("_state") <= WARM_UP).agg(F.min_by(F.struct("*"), "_seq")).first()[0]
+            if cold is None:
+                parts.append(later)
+                break
+            parts.append(later.filter(F.col("_seq") <= cold["_seq"]))
+            start, rest = cold["_state"], slim.filter(F.col("_seq") > cold["_seq"])
+            if rest.isEmpty():
+                break
+        if len(parts) >= MAX_PARTS:
+            parts = [saved(union_all(parts))]
+    states = union_all(parts)
+    shown = F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state"))
     more = [F.col("_state").alias(state)] if state else []
-    opening = head.select(
-        F.col("_seq").alias(seq), F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state")).alias(name), *more
-    )
-    tail = slim.filter(F.col("_seq") >= border)
-    if tail.isEmpty():
-        return opening
-    last = head.agg(F.max_by("_state", "_seq")).first()[0]
-    in_block = Window.partitionBy("_blk").orderBy("_seq")
-    tail = tail.withColumn("_blk", F.floor(F.col("_seq") / F.lit(block_rows)).cast("long"))
-    tail = tail.withColumn("_n", F.row_number().over(in_block).cast("double"))
-    rise = F.sum(F.col("_x") * decay * F.exp(-keep * F.col("_n"))).over(
-        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = tail.withColumn("_w", F.exp(keep * F.col("_n"))).withColumn("_local", F.col("_w") * rise)
-    blocks = local.groupBy("_blk").agg(F.min("_w").alias("keep"), F.max_by("_local", "_n").alias("add"))
-    reached = F.col("_local") + F.col("carry") * F.col("_w")
-    fell = F.raise_error(F.lit("the average fell back into its warm-up range")).cast("double")
-    warm = F.when(reached > WARM_UP, reached).otherwise(fell)
-    later = local.join(block_carries(blocks, float(last), max_blocks), "_blk").withColumn("_state", warm)
-    later = later.select(F.col("_seq").alias(seq), F.col("_state").alias(name), *more)
-    return opening.unionByName(later)
+    return states.select(F.col("_seq").alias(seq), shown.alias(name), *more)
 
 
 def keyed_average(

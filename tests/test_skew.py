@@ -139,10 +139,23 @@ def test_global_average_of_nothing(spark):
     assert global_average(spark.createDataFrame([], "seq long, x int"), "seq", "x", "a").count() == 0
 
 
-def test_global_average_that_cools_down_raises(spark):
-    df = spark.createDataFrame([(i, 11 if i == 0 else 0) for i in range(20_000)], "seq long, x int")
-    with pytest.raises(Exception, match="warm-up"):
-        global_average(df, "seq", "x", "a", head_rows=10, block_rows=1000).agg(F.max("a")).collect()
+@pytest.mark.parametrize("blocks", [{"block_rows": 1000}, {"block_rows": 1000, "max_blocks": 2}])
+def test_global_average_that_cools_down(spark, blocks):
+    draw = random.Random(8)
+    values = [11] + [0] * 6000 + [draw.randrange(0, 3) for _ in range(9000)] + [400] * 10
+    df = spark.createDataFrame(list(enumerate(values)), "seq long, x int")
+    got = [r["a"] for r in global_average(df, "seq", "x", "a", head_rows=3000, **blocks).orderBy("seq").collect()]
+    want = literal_average(values, 2 / 86401)
+    assert sum(w == 0 for w in want) > 100 and len(got) == len(want)
+    assert all(math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, want))
+
+
+def test_global_average_before_it_is_warm(spark):
+    values = [0] * 500 + [5] + [0] * 500 + [1_000_000, 20, 30]
+    df = spark.createDataFrame(list(enumerate(values)), "seq long, x int")
+    got = [r["a"] for r in global_average(df, "seq", "x", "a", head_rows=50).orderBy("seq").collect()]
+    want = literal_average(values, 2 / 86401)
+    assert len(got) == len(want) and all(math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, want))
 
 
 def test_keyed_average(spark):
