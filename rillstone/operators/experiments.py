@@ -110,21 +110,19 @@ def prefer_raw(samples: DataFrame, parameters: Sequence[str] = RAW_PARAMETERS) -
     return joined.withColumn("parameter", renamed).select(samples.columns)
 
 
-def to_units(
-    samples: DataFrame,
-    slow_variants: Sequence[str] = (),
-    engines: Mapping[str, str] = ENGINE_NAMES,
-) -> DataFrame:
-    """Per-second throughput for variants that report every 30 s, latency in seconds, negative latency missing.
+def per_second(samples: DataFrame, slow_variants: Sequence[str] = (), seconds: int = SLOW_REPORT_SECONDS) -> DataFrame:
+    """Collected throughput per second, for variants that report it for ``seconds`` at once."""
+    if not slow_variants:
+        return samples
+    slow = F.col("variant").isin(*slow_variants) & F.col("parameter").isin("throughput", "sink-throughput")
+    return samples.withColumn("value", F.when(slow, F.col("value") / seconds).otherwise(F.col("value")))
 
-    Adds ``spe``, the engine: the first part of the node.
-    """
-    slow = F.col("variant").isin(*slow_variants) if slow_variants else F.lit(False)
-    slow = slow & F.col("parameter").isin("throughput", "sink-throughput")
+
+def to_units(samples: DataFrame, engines: Mapping[str, str] = ENGINE_NAMES) -> DataFrame:
+    """Latency in seconds, negative latency missing; adds ``spe``, the engine: the first part of the node."""
     is_latency = F.col("parameter").isin(*LATENCY_PARAMETERS)
     value = (
-        F.when(slow, F.col("value") / SLOW_REPORT_SECONDS)
-        .when(is_latency & (F.col("value") < 0), None)
+        F.when(is_latency & (F.col("value") < 0), None)
         .when(is_latency, F.col("value") / 1000)
         .otherwise(F.col("value"))
     )

@@ -71,26 +71,39 @@ def query_costs(n: int, cost: int, variance_factor: int = 0, seed: int = 0) -> l
     return [cost * 2 ** draw.randint(0, variance_factor) for _ in range(n)]
 
 
+def _table(selectivities: Sequence[Sequence[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(float(s)) for s in ops]) for ops in selectivities])
+
+
+def _passed(df: DataFrame, id_: str, table: Column, length: int) -> DataFrame:
+    """Each row with the queries of ``table`` (selectivities per operator) that it passes."""
+    fanned = df.select("*", F.posexplode(table).alias("query_id", "_ops"))
+    tests = [keeps(F.col(id_), op, F.element_at("_ops", op + 1), F.col("query_id")) for op in range(length)]
+    return fanned.filter(reduce(lambda a, b: a & b, tests)).drop("_ops")
+
+
 def chains(df: DataFrame, id_: str, selectivities: Sequence[Sequence[float]]) -> DataFrame:
     """All filter chains in one pass over the stream; rows are marked with the ``query_id`` they pass.
 
-    The selectivities form one constant array, looked up by query, so the plan does not grow with the
-    number of queries and nothing is shuffled.
+    The selectivities are one constant array, so the plan does not grow with the number of queries and
+    nothing is shuffled.
     """
-    table = F.array(*[F.array(*[F.lit(float(s)) for s in ops]) for ops in selectivities])
-    fanned = fan_out(df, len(selectivities)).withColumn("_ops", F.element_at(table, F.col("query_id") + 1))
-    length = len(selectivities[0])
-    tests = [keeps(F.col(id_), op, F.element_at("_ops", op + 1), F.col("query_id")) for op in range(length)]
-    return fanned.filter(reduce(lambda a, b: a & b, tests)).drop("_ops")
+    return _passed(df, id_, _table(selectivities), len(selectivities[0]))
 
 
 def multi_class(df: DataFrame, id_: str, class_: str, selectivities: dict[str, Sequence[Sequence[float]]]) -> DataFrame:
-    """Chains per class: the rows of a class go to the queries of that class only; adds ``priority``."""
-    parts = []
-    for name, table in selectivities.items():
-        passed = chains(df.filter(F.col(class_) == name), id_, table)
-        parts.append(passed.withColumn("priority", F.lit(PRIORITIES[name])))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Chains per class in one pass: a row goes to the queries of its class only; adds ``priority``.
+
+    All chains have the same length. Rows of other classes go nowhere.
+    """
+    table, priority = None, None
+    for name, ops in selectivities.items():
+        own = F.col(class_) == name
+        table = F.when(own, _table(ops)) if table is None else table.when(own, _table(ops))
+        level = F.lit(PRIORITIES[name])
+        priority = F.when(own, level) if priority is None else priority.when(own, level)
+    length = len(next(iter(selectivities.values()))[0])
+    return _passed(df.withColumn("priority", priority), id_, table, length)
 
 
 def stress_value(f1: Column, f2: Column, cost: int) -> Column:

@@ -13,6 +13,7 @@ from rillstone.operators import experiments as ex
 from rillstone.operators import linear_road as lr
 from rillstone.operators import parsing, synthetic, voip
 from rillstone.operators import statistics as st
+from rillstone.plans import experiments as ex_plan
 from rillstone.plans import linear_road as lr_plan
 from rillstone.plans import voip as vs_plan
 from rillstone.sources import fixtures as fx
@@ -217,7 +218,13 @@ def _raw(ms: DataFrame) -> DataFrame:
 def _units(ms: DataFrame) -> DataFrame:
     node = F.when(F.col("rep") == 2, F.concat(F.lit("taskmanager."), F.col("rate").cast("string"))).otherwise(F.col("node"))
     shifted = ms.withColumns({"node": node, "value": F.col("value") - 300})
-    return ex.to_units(shifted, ["CUSTOM-FCFS"]).select("seq", "parameter", "spe", "value")
+    return ex.to_units(ex.per_second(shifted, ["CUSTOM-FCFS"])).select("seq", "parameter", "spe", "value")
+
+
+def _overview(ms: DataFrame) -> DataFrame:
+    raw = F.when((F.col("parameter") == "latency") & (F.col("rep") == 0), "latency-raw").otherwise(F.col("parameter"))
+    ready = ex_plan.prepared(ms.withColumn("parameter", raw), ["CUSTOM-FCFS"])
+    return ex_plan.overview(ready).select(*TWO_LEVEL, rounded("value", 4))
 
 
 def _percentiles(ms: DataFrame) -> DataFrame:
@@ -262,6 +269,7 @@ EXPERIMENTS: dict[str, Query] = {
     "ana_variant_cols": _ms(_dimensions),
     "ana_prefer_raw": _ms(_raw),
     "ana_units": _ms(_units),
+    "ana_overview": _ms(_overview),
     "ana_latency_percentiles": _ms(_percentiles),
     "ana_two_level_mean": _ms(lambda m: ex.two_level(m, "latency").select(*TWO_LEVEL, rounded("value", 4))),
     "ana_two_level_sum": _ms(lambda m: ex.two_level_sum(ex.trim(m), "throughput").select(*TWO_LEVEL, rounded("value", 4))),

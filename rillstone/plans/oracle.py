@@ -372,6 +372,18 @@ SELECT seq, parameter, CASE WHEN rep = 2 THEN 'Flink' ELSE 'Storm' END AS spe,
   CASE WHEN variant = 'CUSTOM-FCFS' AND parameter IN ('throughput', 'sink-throughput') THEN value / 30
        WHEN parameter = 'latency' AND value < 0 THEN NULL WHEN parameter = 'latency' THEN value / 1000 ELSE value END AS value
 FROM shifted""",
+    ),
+    "ana_overview": _with(
+        MET + ", raw AS (SELECT * REPLACE (CASE WHEN parameter = 'latency' AND rep = 0 THEN 'latency-raw' ELSE parameter END AS parameter) FROM m)"
+        + REBASED.replace("FROM m", "FROM raw") + _trimmed("rebased"),
+        f""", ready AS (
+  SELECT variant, rep, node, rate, CASE parameter WHEN 'latency' THEN 'latency-ignored' WHEN 'latency-raw' THEN 'latency' ELSE parameter END AS parameter,
+    CASE WHEN parameter = 'latency-raw' THEN value / 1000
+         WHEN variant = 'CUSTOM-FCFS' AND parameter IN ('throughput', 'sink-throughput') THEN value / 30 ELSE value END AS value
+  FROM trimmed)
+{_nodes('ready', 'throughput', r('sum(value)', 4))}
+UNION ALL {_nodes('ready', 'latency', r('avg(value)', 4))}
+UNION ALL SELECT 'max-latency' AS parameter, * EXCLUDE (parameter) FROM ({_nodes('ready', 'latency', r('max(value)', 4))})""",
     ),
     "ana_latency_percentiles": _with(
         MET,

@@ -67,7 +67,7 @@ def test_units(spark):
         ("latency", "SLOW", 1, 1, "Storm.x", 1, 500.0),
         ("latency", "OS", 1, 1, "Storm.x", 1, -1.0),
     ]
-    out = ex.to_units(samples(spark, data), ["SLOW"])
+    out = ex.to_units(ex.per_second(samples(spark, data), ["SLOW"]))
     assert [tuple(r) for r in out.orderBy("seq").select("spe", "value").collect()] == [
         ("Flink", 2.0), ("Storm", 60.0), ("Storm", 0.5), ("Storm", None)
     ]
