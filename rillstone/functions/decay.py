@@ -257,10 +257,12 @@ def global_average(
     decay = 2.0 / (age + 1.0)
     slim = df.select(F.col(seq).cast("long").alias("_seq"), F.col(value).cast("double").alias("_x"))
     rest, parts = slim, []
+    low, high = slim.agg(F.min("_seq"), F.max("_seq")).first()
+    if low is None:
+        low = high = 0
     while True:
-        first = rest.agg(F.min("_seq")).first()[0]
         # A border in terms of the sequence column reaches the scan as a pushed filter.
-        border = (first or 0) + head_rows
+        border = low + head_rows
         head = (
             rest.filter(F.col("_seq") < border)
             .groupBy(F.lit(0).cast("long").alias("_blk"))
@@ -268,7 +270,7 @@ def global_average(
         )
         parts.append(head)
         tail = slim.filter(F.col("_seq") >= border)
-        if tail.isEmpty():
+        if high < border:
             break
         start, rest = float(head.agg(F.max_by("_state", "_seq")).first()[0]), tail
         if start > WARM_UP:
@@ -279,8 +281,9 @@ def global_average(
                 break
             parts.append(later.filter(F.col("_seq") <= cold["_seq"]))
             start, rest = cold["_state"], slim.filter(F.col("_seq") > cold["_seq"])
-            if rest.isEmpty():
+            if cold["_seq"] == high:
                 break
+        low = rest.agg(F.min("_seq")).first()[0]
         if len(parts) >= MAX_PARTS:
             parts = [saved(union_all(parts))]
     states = union_all(parts)
