@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm import bpe
+from rillstone.llm import bpe, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that the figures are those of a first run."""
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), token_counts.fresh_cache(spark)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, cache)
+
+
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op4_digest_cache": op4_digest_cache,
+        "op5_weak_toxicity": op5_weak_toxicity,
+    }
 
 
 def statements() -> dict[str, str]:
