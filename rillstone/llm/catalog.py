@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm import bpe, token_counts, toxicity
+from rillstone.llm import bpe, ngram_join, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,21 @@ def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op4_digest_cache": op4_digest_cache,
         "op5_weak_toxicity": op5_weak_toxicity,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
