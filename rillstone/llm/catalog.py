@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm import bpe, ngram_join, substrings, token_counts, toxicity
+from rillstone.llm import bpe, mixing, ngram_join, outliers, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that the figures are those of a first run."""
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), token_counts.fresh_cache(spark)
@@ -39,16 +43,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digits(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_robust_outliers": op2_robust_outliers,
         "op4_digest_cache": op4_digest_cache,
         "op5_weak_toxicity": op5_weak_toxicity,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_substring_dedup": op8_substring_dedup,
+        "op10_raked_mixing": op10_raked_mixing,
     }
 
 
 def statements() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op10_raked_mixing": mixing.statement()}
