@@ -1,8 +1,8 @@
 """Toxicity by weak supervision (operator 5).
 
-1. *Lexicon.* Words and word beginnings that mark toxic texts, found in the labelled rows for learning (equal texts
+1. *Lexicon.* Words that mark toxic texts, found in the labelled rows for learning (equal texts
    count once), beside a short list of English insults.
-2. *Voters.* ``VOTERS`` voters look at a text: parts of the lexicon, beginnings, insults, patterns. Each says yes or no.
+2. *Voters.* ``VOTERS`` voters look at a text: parts of the lexicon, insults, patterns. Each says yes or no.
 3. *Label model.* An exponential family over the votes and the unknown class: a weight for each voter and class (its
    accuracy) and for pairs of voters that agree more than the class explains (their correlation). It is fitted by exact
    likelihood: all rows enter through the count of each vote pattern (at most ``2 ** VOTERS``), labelled rows with
@@ -29,7 +29,7 @@ INSULTS = [
     "loser", "losers", "moron", "moronic", "morons", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless",
 ]
 VOTERS = 14
-PARTS = 6
+PARTS = 8
 """Voters that each hold a part of the learned words."""
 
 
@@ -37,7 +37,7 @@ PARTS = 6
 class Learning:
     """Bounds of what is learned: labelled rows, terms, and what makes a term a mark."""
 
-    labelled_rows: int = 100_000
+    labelled_rows: int = 50_000
     terms: int = 600
     least_toxic: int = 4
     least_share: float = 0.85
@@ -48,78 +48,51 @@ def held_out(key: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words of letters."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")), "")
+    """Lower-case words of letters, and perhaps an empty one at either end."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
 
 
-def beginnings(words: Column) -> Column:
-    """The first four and five letters of words that are longer."""
-    long = F.filter(words, lambda w: F.length(w) > 4)
-    return F.array_distinct(F.concat(F.transform(long, lambda w: F.substring(w, 1, 4)),
-                                     F.transform(F.filter(long, lambda w: F.length(w) > 5), lambda w: F.substring(w, 1, 5))))
+def marks(train: DataFrame, learning: Learning) -> list[str]:
+    """Words that mark toxic texts, the most frequent first; at most ``learning.terms``.
 
-
-def marks(train: DataFrame, learning: Learning) -> tuple[list[str], list[str]]:
-    """``(words, beginnings)`` that mark toxic texts; at most ``learning.terms`` of each.
-
-    ``train`` has ``text, toxic``. A term needs ``least_toxic`` different toxic texts, and a smoothed share of toxic texts
-    of at least ``least_share``. A beginning must also stand in several different words, else its word is enough.
+    ``train`` has ``text, toxic``. A word needs ``least_toxic`` different toxic texts, and a smoothed share of toxic texts
+    of at least ``least_share``.
     """
     once = train.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")).agg(
         F.max("toxic").alias("toxic"), F.first("text").alias("text")
     )
-    words = once.select("toxic", F.explode(words_of(F.col("text"))).alias("word"))
+    words = once.select("toxic", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).filter("word <> ''")
     counted = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     share = (F.col("t") + 0.2) / (F.col("n") + 0.5)
-
-    def best(rows: DataFrame) -> list[str]:
-        rows = rows.filter((F.col("t") >= learning.least_toxic) & (share >= learning.least_share))
-        return [r.word for r in rows.orderBy(F.desc("t"), "word").limit(learning.terms).collect()]
-
-    begun = words.filter(F.length("word") > 4)
-    by_text = once.select("toxic", F.explode(beginnings(words_of(F.col("text")))).alias("word"))
-    several = begun.select("word").distinct()
-    several = several.select(F.explode(beginnings(F.array("word"))).alias("word")).groupBy("word").count().filter("count > 2")
-    starts = by_text.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    return best(counted), best(starts.join(several, "word", "left_semi"))
+    found = counted.filter((F.col("t") >= learning.least_toxic) & (share >= learning.least_share))
+    return [r.word for r in found.orderBy(F.desc("t"), "word").limit(learning.terms).collect()]
 
 
 class Voters:
-    """The voters over the terms in ``words`` and ``starts``."""
+    """The voters over the learned ``words``."""
 
-    def __init__(self, words: list[str], starts: list[str]) -> None:
+    def __init__(self, words: list[str]) -> None:
         self.words = sorted({*words, *INSULTS})
-        self.starts = sorted(starts)
         self.parts = [[w for i, w in enumerate(words) if i % PARTS == k] for k in range(PARTS)]
 
-    @staticmethod
-    def _among(words: Column, terms: list[str]) -> Column:
-        empty = F.array().cast("array<string>")
-        return F.array_intersect(words, F.array(*map(F.lit, terms))) if terms else F.coalesce(empty, words)
-
     def found(self, text: Column) -> list[Column]:
-        """Terms in a text and the few figures that the voters need."""
-        words, plain = words_of(text), F.coalesce(text, F.lit(""))
-        insult = "|".join(INSULTS)
-        return [
-            self._among(words, self.words).alias("hits"),
-            self._among(beginnings(words), self.starts).alias("starts"),
-            plain.rlike(rf"(?i)\b(?:you|are|is)\s+(?:\w+\s+)?(?:{insult})\b").alias("aimed"),
-            plain.rlike(r"[!?]{3,}").alias("shout"),
-            plain.rlike(r"(?:\b\p{Lu}{4,}\b\W+){2,}").alias("capitals"),
-        ]
+        """Terms in a text and the few figures that the voters need; patterns about insults look at texts with terms."""
+        plain = F.coalesce(text, F.lit(""))
+        hits = F.array_intersect(words_of(text), F.array(*map(F.lit, self.words)))
+        aimed = plain.rlike(rf"(?i)\b(?:you|are|is)\s+(?:\w+\s+)?(?:{'|'.join(INSULTS)})\b")
+        one = F.transform(F.array(hits), lambda h: F.struct(h.alias("hits"), ((F.size(h) > 0) & aimed).alias("aimed")))[0]
+        shout = F.contains(plain, F.lit("!!!")) | F.contains(plain, F.lit("???"))
+        return [one.alias("found"), shout.alias("shout"), ((F.upper(plain) == plain) & (plain != "")).alias("capitals")]
 
     def votes(self) -> list[Column]:
         """One Boolean for each voter, from the columns of ``found``."""
-        hits, starts = F.col("hits"), F.col("starts")
+        hits = F.col("found.hits")
 
-        def any_of(column: Column, terms: list[str]) -> Column:
-            return F.arrays_overlap(column, F.array(*map(F.lit, terms))) if terms else F.lit(False)
+        def any_of(terms: list[str]) -> Column:
+            return F.arrays_overlap(hits, F.array(*map(F.lit, terms))) if terms else F.lit(False)
 
-        out = [any_of(hits, part) for part in self.parts]
-        out += [any_of(starts, self.starts[k::2]) for k in range(2)]
-        out += [any_of(hits, INSULTS), F.size(hits) >= 2, F.size(starts) >= 2]
-        out += [F.col("aimed"), F.col("shout"), F.col("capitals")]
+        out = [any_of(part) for part in self.parts]
+        out += [any_of(INSULTS), F.size(hits) >= 2, F.size(hits) >= 3, F.col("found.aimed"), F.col("shout"), F.col("capitals")]
         assert len(out) == VOTERS
         return out
 
@@ -218,8 +191,7 @@ class Model:
         if self.terms:
             pairs = [x for term, weight in self.terms.items() for x in (F.lit(term), F.lit(weight))]
             weights = F.create_map(*pairs)
-            both = F.concat(F.col("hits"), F.transform("starts", lambda s: F.concat(s, F.lit("*"))))
-            total = total + F.aggregate(both, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(weights, t), F.lit(0.0)))
+            total = total + F.aggregate(F.col("found.hits"), F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(weights, t), F.lit(0.0)))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -234,19 +206,19 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Learning = Learning(), s
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(learning.labelled_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = texts.join(F.broadcast(ids), "doc_id").select("toxic", "text")
-    voters = Voters(*marks(train, learning))
+    voters = Voters(marks(train, learning))
     found = texts.select(*voters.found(F.col("text")))
     counts = np.zeros(1 << VOTERS)
     for row in found.select(voters.pattern()).groupBy("pattern").count().collect():
         counts[row.pattern] = row["count"]
-    told = train.select("toxic", *voters.found(F.col("text"))).select("toxic", voters.pattern(), "hits", "starts").toPandas()
+    told = train.select("toxic", *voters.found(F.col("text"))).select("toxic", voters.pattern(), "found.hits").toPandas()
     label = told["toxic"].to_numpy(int)
     if not len(label) or label.min() == label.max():
         return Model(voters, None, [2.0] * VOTERS, {}, -2.0)
     pattern = told["pattern"].to_numpy(int)
     clean, toxic = (np.bincount(pattern[label == k], minlength=1 << VOTERS).astype(float) for k in (0, 1))
     model = LabelModel().fit(counts, clean, toxic)
-    terms = [[*h, *[s + "*" for s in b]] for h, b in zip(told["hits"], told["starts"])]
+    terms = list(told["hits"])
     frequent: dict[str, int] = {}
     for row in terms:
         for term in row:
