@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm import bpe, mixing, ngram_join, outliers, substrings, token_counts, toxicity
+from rillstone.llm import backoff, bpe, graph_search, mixing, ngram_join, outliers, resampling, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_search.neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that the figures are those of a first run."""
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), token_counts.fresh_cache(spark)
@@ -39,10 +44,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Towards the documents that are labelled good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return resampling.resampled(table(spark, sf_dir, "documents"), good)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digits(mixing.mixed(table(spark, sf_dir, "documents")))
 
@@ -51,10 +66,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_robust_outliers": op2_robust_outliers,
+        "op3_graph_neighbours": op3_graph_neighbours,
         "op4_digest_cache": op4_digest_cache,
         "op5_weak_toxicity": op5_weak_toxicity,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_importance_resampling": op7_importance_resampling,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_backoff_scores": op9_backoff_scores,
         "op10_raked_mixing": op10_raked_mixing,
     }
 

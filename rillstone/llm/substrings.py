@@ -131,8 +131,11 @@ def merged(cuts: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
     return first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept``: kept words joined by one space. Other columns of ``docs`` follow it."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, as_is: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept``: kept words joined by one space. Other columns of ``docs`` follow it.
+
+    With ``as_is`` a text of which nothing is removed stays as it is, null included.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text", packed.alias("others"))
@@ -145,8 +148,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n_words, n_removed, kept = [], [], []
-                for data, gone in zip(words.binary(part["text"]).to_pylist(), part["cuts"].to_pylist()):
-                    found = data.split()
+                for data, gone in zip(part["text"].cast(pa.large_binary()).to_pylist(), part["cuts"].to_pylist()):
+                    found = (data or b"").split()
                     n_words.append(len(found))
                     if gone:
                         rest, upto = [], 0
@@ -155,13 +158,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                             upto = end
                         found = rest + found[upto:]
                     n_removed.append(n_words[-1] - len(found))
-                    kept.append(b" ".join(found))
+                    kept.append(data if as_is and not gone else b" ".join(found))
                 columns = [part["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
                 text = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.record_batch([*columns, text, part["others"]], ["doc_id", "n_words", "n_removed", "kept", "others"])
 
     out = joined.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept string, others {kind}")
-    extra = [F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)]
+    extra = [F.col(f"others.c{i}").alias(c) for i, c in enumerate(others) if c not in ("n_words", "n_removed", "kept")]
     return out.select("doc_id", "n_words", "n_removed", "kept", *extra)
 
 

@@ -111,7 +111,7 @@ class LabelModel:
     All ``2 ** VOTERS`` patterns are summed, so Z, the gradient and the posterior are exact.
     """
 
-    def __init__(self, pairs: int = 12, rounds: int = 400, rate: float = 0.08, ridge: float = 2e-3) -> None:
+    def __init__(self, pairs: int = 12, rounds: int = 900, rate: float = 0.08, ridge: float = 2e-4) -> None:
         self.n_pairs, self.rounds, self.rate, self.ridge = pairs, rounds, rate, ridge
 
     def fit(self, counts: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> LabelModel:
@@ -235,10 +235,10 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Learning = Learning(), s
     return Model(voters, model, [float(w) for w in weights[:VOTERS]], single_weights, float(weights[-1]))
 
 
-def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``docs`` columns ``keep`` and ``score``; one pass without shuffle."""
+def scored(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score as ``name``; one pass without shuffle."""
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *model.voters.found(F.col("text")))
-    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], model.score().alias("score"))
+    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], model.score().alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learning: Learning = Learning(), threshold: float = 0.7) -> DataFrame:
