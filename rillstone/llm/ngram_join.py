@@ -8,10 +8,11 @@ Two documents link if the Jaccard similarity of their sets of ``width``-word shi
    of the order's own. Of n shingles the first ``n - ceil(percent n / 100) + 1`` are the prefix: linked sets share a prefix
    shingle under every order.
 3. *Candidates* under the first order are compared in two steps, so that a large group of near copies does not
-   become all of its pairs. First each document is compared with the smallest document of each of its prefix shingles.
-   Then documents that still share a prefix shingle across different components are compared with each other.
-4. *Filters and verification.* A pair must agree in size, and in a prefix shingle under each of the other orders, before
-   its whole sets are intersected.
+   become all of its pairs. First each document is compared with the documents that are the smallest ones of most of its
+   prefix shingles. Then documents that still share prefix shingles across different components are compared with each
+   other.
+4. *Filters and verification.* A pair must agree in size, in as many prefix shingles under the first order as a link
+   needs, and in a prefix shingle under each of the other orders, before its whole sets are intersected.
 
 Pairs within a component that is already known are never formed: no link between different components is lost.
 
@@ -28,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rillstone.llm import shared, words
 from rillstone.llm.components import components
 
 COUNTERS = 1 << 18
 ORDERS = (0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142)
+HEADS = 2
+"""A document is compared with so many of the smallest documents of its prefix shingles; the second step has the rest."""
 U64 = np.uint64
 
 
@@ -162,16 +166,24 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
 
     n_of = sizes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose numbers of shingles allow a link."""
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes, and the number ``shared`` of prefix shingles in common, allow a link.
+
+        Past the prefix that ends first, a set has fewer shingles than a link needs: a good part of the prefix must be
+        in common. Rows with one id may have several sizes; the bounds take the widest.
+        """
         for side in ("a", "b"):
             pairs = pairs.join(n_of.select(F.col("doc_id").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
         fits = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-        return pairs.filter(fits).select("a", "b")
+        rest = F.ceil(F.greatest("high_a", "high_b") * F.lit(percent) / 100) - 1
+        need = F.ceil((F.col("low_a") + F.col("low_b")) * F.lit(percent) / (100 + percent))
+        return pairs.filter(fits & (F.col("shared") + rest >= need)).select("a", "b", "shared")
 
     same = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    stars = bucketed.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = shared.written(sized(of_class(stars)))
+    stars = bucketed.filter("doc_id <> head").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    most = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    stars = plausible(stars).withColumn("_r", F.row_number().over(most)).filter(F.col("_r") <= HEADS)
+    stars = shared.written(of_class(stars.select("a", "b")))
     star_links = shared.written(_linked(stars, rows, width, percent, level))
     found = components(same.unionByName(star_links))
 
@@ -181,8 +193,9 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     labelled = shared.written(labelled.join(several.select("token"), "token", "left_semi"))
     other = labelled.select("token", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
     rest = labelled.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b AND component <> component_b")
-    rest = of_class(rest.select("a", "b").distinct()).join(stars, ["a", "b"], "left_anti")
-    rest_links = shared.written(_linked(shared.written(sized(rest)), rows, width, percent, level))
+    rest = plausible(rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    rest = shared.written(of_class(rest.select("a", "b")).join(stars, ["a", "b"], "left_anti"))
+    rest_links = shared.written(_linked(rest, rows, width, percent, level))
     links = same.unionByName(star_links).unionByName(rest_links)
     found = components(links) if not rest_links.isEmpty() else found
     out = sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
