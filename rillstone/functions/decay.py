@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from rillstone.functions.lineage import saved
 from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, union_all, with_carry
 
-# A weight is below e^-68 after this many seconds for the slowest decay in use (0.9917 per second).
-BLOCK_SECONDS = 8192
+# A weight of e^-68 is no weight: it is below the precision of a sum.
+NO_WEIGHT = 68
 ARRAY_ENTRIES = 1024
 
 # Fixed values of the average: age 86400 samples, warm-up level 10.
@@ -29,6 +29,24 @@ def rate_constant(beta: float) -> float:
     return math.log(1.0 / beta)
 
 
+def block_seconds(beta: float) -> int:
+    """Length of a time block: a power of two of seconds, after which a weight is below e^-68.
+
+    Two blocks are at most e^272 apart, which a double can hold.
+    """
+    if not 0 < beta < 1:
+        raise ValueError(f"a decay per second is between 0 and 1: {beta}")
+    return 1 << max(0, math.ceil(math.log2(NO_WEIGHT / rate_constant(beta))))
+
+
+def by_block(features: Mapping[str, tuple[str, float]]) -> dict[int, dict[str, tuple[str, float]]]:
+    """The features by the length of their time block."""
+    out: dict[int, dict[str, tuple[str, float]]] = {}
+    for name, (q, beta) in features.items():
+        out.setdefault(block_seconds(beta), {})[name] = (q, beta)
+    return out
+
+
 def _anchored(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], features: Mapping[str, tuple[str, float]],
     t: str, block: int, frame: tuple[int, int],
@@ -54,12 +72,15 @@ def _anchored(
 
 
 def decay_plain(
-    rows: DataFrame, keys: Sequence[str], t: str, seq: str, features: Mapping[str, tuple[str, float]],
-    block: int = BLOCK_SECONDS,
+    rows: DataFrame, keys: Sequence[str], t: str, seq: str, features: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
-    """Decayed sums for keys of ordinary size: one exchange on the key, rows are doubled behind it."""
-    frame = (Window.unboundedPreceding, Window.currentRow)
-    out = _anchored(rows, keys, [t, seq], features, t, block, frame)
+    """Decayed sums for keys of ordinary size: one exchange on the key, rows are doubled behind it.
+
+    Features whose blocks differ in length take one window each.
+    """
+    out = rows
+    for block, some in by_block(features).items():
+        out = _anchored(out, keys, [t, seq], some, t, block, (Window.unboundedPreceding, Window.currentRow))
     constants = {name: rate_constant(beta) for name, (_, beta) in features.items()}
     return out.withColumns({name: F.col(name) * F.lit(c) for name, c in constants.items()})
 
@@ -90,14 +111,16 @@ def cell_sums(
 
 def decay_hot(
     rows: DataFrame, keys: Sequence[str], t: str, seq: str, features: Mapping[str, tuple[str, float]],
-    skew: Skew = DEFAULT_SKEW, block: int = BLOCK_SECONDS,
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """Decayed sums for hot keys: only the totals of cells are gathered by key and time block."""
 
     def left_over(cells: DataFrame, quantities: Mapping[str, tuple[str, float]]) -> DataFrame:
         before = (Window.unboundedPreceding, -1)
         named = {f"_c{q}": use for q, use in quantities.items()}
-        summed = _anchored(cells, keys, [t, "_sb"], named, t, block, before)
+        summed = cells
+        for block, some in by_block(named).items():
+            summed = _anchored(summed, keys, [t, "_sb"], some, t, block, before)
         return summed.select(*keys, t, "_sb", *[F.col(f"_c{q}").alias(q) for q in quantities])
 
     return cell_sums(rows, keys, t, seq, features, skew, left_over)
@@ -111,17 +134,16 @@ def decayed_sums(
     features: Mapping[str, tuple[str, float]],
     skew: Skew = DEFAULT_SKEW,
     hot: Hot = FIND,
-    block: int = BLOCK_SECONDS,
 ) -> DataFrame:
     """Add, per key, ln(1/beta) * sum of q * beta^(seconds since), over the rows up to and with this one.
 
     ``features`` maps the new column to (quantity column, beta). Rows count in order of (``t``, ``seq``).
     """
     ordinary, heavy = split_hot(df, keys, hot_or_find(df, keys, skew, hot))
-    out = decay_plain(ordinary.repartition(*keys), keys, t, seq, features, block)
+    out = decay_plain(ordinary.repartition(*keys), keys, t, seq, features)
     if heavy is None:
         return out
-    return out.unionByName(decay_hot(heavy, keys, t, seq, features, skew, block))
+    return out.unionByName(decay_hot(heavy, keys, t, seq, features, skew))
 
 
 def score(ratio: Column, upper: float) -> Column:

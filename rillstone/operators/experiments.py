@@ -27,7 +27,8 @@ PERCENTILES = {"p99": 0.99, "p999": 0.999}
 HELPER_NODES = "system|spout"
 ENGINE_NAMES = {"taskmanager": "Flink"}
 
-RUN = ["experiment", "variant", "parameter", "rep"]
+RUN = ["experiment", "variant", "rate", "parameter", "rep"]
+"""What tells runs apart; further dimensions of an experiment are added to it."""
 GRAPHITE = "array<struct<target:string,datapoints:array<array<double>>>>"
 
 

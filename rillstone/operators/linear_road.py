@@ -33,7 +33,7 @@ def check_semantics(semantics: str) -> None:
 def minute_of(time: Column | str) -> Column:
     """Minute number of a time in seconds; the first minute is 1."""
     seconds = F.col(time) if isinstance(time, str) else time
-    return (F.floor(seconds / 60) + 1).cast("smallint")
+    return (F.floor(seconds / 60) + 1).cast("int")
 
 
 def on_exit_lane(lane: Column | str = "lane") -> Column:
@@ -79,7 +79,7 @@ def last_average_speed(
     input comes back as its own LAV.
     """
     check_semantics(semantics)
-    label = (F.col("minute") + 1).cast("smallint").alias("minute")
+    label = (F.col("minute") + 1).cast("int").alias("minute")
     if semantics == "as_run":
         return speeds.select("seq", label, *SEGMENT, F.col("avg_speed").alias("lav"))
     cells = speeds.groupBy("minute", *SEGMENT).agg(F.sum("avg_speed").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -115,7 +115,7 @@ def running_last_average_speed(
     used = F.least(F.col("earlier") + F.col("_pos"), F.lit(values)).cast("int")
     return joined.select(
         "seq",
-        (F.col("minute") + 1).cast("smallint").alias("minute"),
+        (F.col("minute") + 1).cast("int").alias("minute"),
         *SEGMENT,
         used.alias("_n"),
         F.element_at("sums", used).alias("_s"),
@@ -139,7 +139,7 @@ def count_vehicles(
     lagged = previous(positions.select("seq", "minute"), [], "seq", {"_minute": "minute"}, skew)
     return lagged.select(
         "seq",
-        F.coalesce("_minute", F.lit(-1)).cast("smallint").alias("minute"),
+        F.coalesce("_minute", F.lit(-1)).cast("int").alias("minute"),
         F.expr("cast(null as int) as xway"),
         F.expr("cast(null as smallint) as direction"),
         F.expr("cast(null as smallint) as segment"),
@@ -177,7 +177,7 @@ def blocked_segments(accidents: DataFrame) -> DataFrame:
         F.col("segment").cast("int"), F.col("segment").cast("int") + step * ACCIDENT_SEGMENTS, step
     )
     spread = accidents.select(
-        (F.col("minute") + 1).cast("smallint").alias("minute"), "xway", "direction", F.explode(reach).alias("segment")
+        (F.col("minute") + 1).cast("int").alias("minute"), "xway", "direction", F.explode(reach).alias("segment")
     )
     return spread.withColumn("segment", F.col("segment").cast("smallint")).distinct()
 
@@ -219,7 +219,7 @@ def toll_notification_pos(
     parts = [
         lav.select(*cell, F.col("lav"), F.expr("cast(null as int) as cars"), F.lit(False).alias("blocked")),
         counts.select(
-            (F.col("minute") + 1).cast("smallint").alias("minute"),
+            (F.col("minute") + 1).cast("int").alias("minute"),
             *SEGMENT,
             F.expr("cast(null as int) as lav"),
             F.col("count").alias("cars"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,24 +63,36 @@ def malformed_positions(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.filter(kind.isNull() | ((kind == 0) & broken))
 
 
-def parse_calls(lines: DataFrame, line: str = "line", mode: str = "failfast") -> DataFrame:
-    """Call records from comma-separated lines: numbers, answer time (epoch seconds), duration, established.
-
-    Only the word "true", in any case, means established.
-    """
-    _check_mode(mode)
-    kept = [c for c in lines.columns if c != line]
+def _call_fields(line: str, mode: str) -> list[Column]:
     parts = F.split(line, ",")
     to_time = F.to_timestamp if mode == "failfast" else F.try_to_timestamp
     text = (lambda i: parts[i]) if mode == "failfast" else (lambda i: F.get(parts, F.lit(i)))
-    typed = lines.select(
-        *kept,
+    return [
         text(0).alias("caller"),
         text(1).alias("callee"),
         F.unix_seconds(to_time(text(2), F.lit(CALL_TIME_FORMAT) if mode == "permissive" else CALL_TIME_FORMAT)).alias("answer_ts"),
         _field(parts, 3, "int", mode).alias("duration"),
         (F.lower(text(4)) == "true").alias("established"),
-    )
-    if mode == "permissive":
-        typed = typed.dropna(subset=["caller", "callee", "answer_ts", "duration", "established"])
-    return typed
+    ]
+
+
+CALL_FIELDS = ["caller", "callee", "answer_ts", "duration", "established"]
+
+
+def parse_calls(lines: DataFrame, line: str = "line", mode: str = "failfast") -> DataFrame:
+    """Call records from comma-separated lines: numbers, answer time (epoch seconds), duration, established.
+
+    Only the word "true", in any case, means established. ``malformed_calls`` has the lines that the permissive mode
+    leaves out.
+    """
+    _check_mode(mode)
+    kept = [c for c in lines.columns if c != line]
+    typed = lines.select(*kept, *_call_fields(line, mode))
+    return typed.dropna(subset=CALL_FIELDS) if mode == "permissive" else typed
+
+
+def malformed_calls(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The lines that permissive parsing leaves out, as they are."""
+    fields = _call_fields(line, "permissive")
+    broken = reduce(lambda a, b: a | b, [field.isNull() for field in fields])
+    return lines.filter(broken)

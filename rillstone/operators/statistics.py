@@ -16,13 +16,22 @@ ARRIVAL_ALPHA = 0.5
 SUMMARY = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
+GAP_ROWS = 65_536
+
+
 def fill_gaps(
     df: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], fill: Column, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
-    """Add the times missing between the first and last row of a key, with ``fill`` as their values."""
+    """Add the times missing between the first and last row of a key, with ``fill`` as their values.
+
+    A gap is first cut into stretches of ``GAP_ROWS`` times, so that no row holds a whole gap.
+    """
     lagged = previous(df, keys, t, {"_before": t}, skew)
     start = F.coalesce(F.col("_before") + 1, F.col(t))
-    spread = lagged.withColumn("_t", F.explode(F.sequence(start, F.col(t))))
+    stretches = lagged.withColumn("_from", F.explode(F.sequence(start.cast("long"), F.col(t).cast("long"), F.lit(GAP_ROWS).cast("long"))))
+    end = F.least(F.col("_from") + GAP_ROWS - 1, F.col(t).cast("long"))
+    spread = stretches.withColumn("_t", F.explode(F.sequence(F.col("_from"), end)))
+    spread = spread.withColumn("_t", F.col("_t").cast(df.schema[t].dataType))
     at = F.col("_t") == F.col(t)
     return spread.select(
         *keys, F.col("_t").alias(t), *[F.when(at, F.col(v)).otherwise(fill).alias(v) for v in values]

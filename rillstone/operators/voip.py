@@ -6,6 +6,8 @@ arrival order and unique. All features of a call are joined on ``call_id``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,20 +184,25 @@ def acd(features: DataFrame, averages: DataFrame) -> DataFrame:
 def scores(fofirs: DataFrame, urls: DataFrame, acds: DataFrame, semantics: str = "spec") -> DataFrame:
     """Weighted sum of the three features.
 
-    spec: for calls that have all three as numbers. as_run: one row with score 0 per feature message, which
-    is what the original emits while at most one call per caller and second is scored.
+    spec: for calls that have all three as numbers. as_run: one row per feature message, in order of calls, and of
+    fofir, url, acd within a call. Messages of a caller and second share one entry. While it lacks a feature a message
+    is kept in it and gives 0; once it is full it stays as it is, and all later messages give its sum. The first call
+    to a new callee fills it, as only such calls have a url and an acd.
     """
+    joined = fofirs.join(urls.select("call_id", "url"), "call_id").join(acds.select("call_id", "acd"), "call_id")
+    value = total_score(F.col("fofir"), F.col("url"), F.col("acd"))
     if semantics == "as_run":
+        entry = joined.groupBy("caller", "answer_ts").agg(
+            F.min("call_id").alias("_full"), F.min_by(value, F.col("call_id")).alias("_sum")
+        )
         parts = [(fofirs, "fofir"), (urls, "url"), (acds, "acd")]
-        frames = [
-            df.select("call_id", "caller", "answer_ts", F.lit(name).alias("source"), F.lit(0.0).alias("score"))
-            for df, name in parts
-        ]
-        return frames[0].unionByName(frames[1]).unionByName(frames[2])
+        messages = reduce(
+            DataFrame.unionByName, [df.select("call_id", "caller", "answer_ts", F.lit(name).alias("source")) for df, name in parts]
+        )
+        shown = F.when(F.col("call_id") > F.col("_full"), F.col("_sum")).otherwise(0.0)
+        return messages.join(entry, ["caller", "answer_ts"], "left").select("call_id", "caller", "answer_ts", "source", shown.alias("score"))
     if semantics != "spec":
         raise ValueError(f"unknown semantics: {semantics}")
-    joined = fofirs.join(urls.select("call_id", "url"), "call_id").join(acds.select("call_id", "acd"), "call_id")
-    value = total_score(F.col("fofir"), F.col("url"), F.col("acd"))
     return joined.select("call_id", "caller", "answer_ts", "fofir", "url", "acd", value.alias("score")).filter(
         ~F.isnan("score")
     )

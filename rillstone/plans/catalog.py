@@ -88,6 +88,13 @@ def _decayed_callee(calls: DataFrame) -> DataFrame:
     return rated.select("call_id", "callee", rounded("w"))
 
 
+def _slow_rates(calls: DataFrame) -> DataFrame:
+    """Rates of slow and of fast decay side by side; the slow ones remember the whole stream."""
+    features = {"day": ("duration", 0.99999), "hour": ("duration", 0.9999), "minute": ("duration", voip.BETA)}
+    rated = decayed_sums(calls, ["callee"], "answer_ts", "call_id", features)
+    return rated.select("call_id", "callee", *[rounded(name) for name in features])
+
+
 def _acd(calls: DataFrame) -> DataFrame:
     return _rate(voip.acd(voip.caller_features(calls, names=["ecr24", "ct24"]), voip.global_acd(calls)), "acd")
 
@@ -97,7 +104,7 @@ def _fofir(calls: DataFrame) -> DataFrame:
 
 
 def _score_messages(calls: DataFrame) -> DataFrame:
-    return vs_plan.default(calls, "as_run").groupBy("source", "score").agg(F.count(F.lit(1)).alias("n"))
+    return vs_plan.default(calls, "as_run").select("call_id", "source", rounded("score"))
 
 
 def _ecr_sketch(calls: DataFrame) -> DataFrame:
@@ -118,6 +125,7 @@ VOIP: dict[str, Query] = {
     "vs_pre_rcr": _vs(lambda c: voip.pre_rcr(c).select("call_id", "role", "key", "answer_ts")),
     "vs_global_acd": _vs(lambda c: voip.global_acd(c).select("call_id", rounded("global_acd", 4))),
     "vs_decayed_rate": _vs(_decayed_callee),
+    "vs_slow_rates": _vs(_slow_rates),
     "vs_ecr": _vs(lambda c: _rate(voip.ecr(c), "ecr")),
     "vs_ecr24": _vs(lambda c: _rate(voip.ecr24(c), "ecr24")),
     "vs_encr": _vs(lambda c: _rate(voip.encr(c), "encr")),
@@ -171,8 +179,8 @@ STATISTICS: dict[str, Query] = {
     "met_avg_per_second": _ev(lambda e: st.average_per_second(_recorded(e), "second", "value", ["name"])),
     "met_gauge": _ev(lambda e: st.gauge(_recorded(e), "second", "value", 10, ["name"])),
     "met_every_nth": _ev(lambda e: st.every_nth(_recorded(e), ["name"], "seq").select("seq", "name", "second", "value")),
-    "met_rate_limited": _ev(lambda e: st.rate_limited(_recorded(e), ["name"], "seq", "second", 1).select("seq", "name")),
-    "met_summary": _ev(lambda e: st.summary(_recorded(e).filter("value >= 500"), "name", "value", _recorded(e))),
+    "met_rate_limited": _ev(lambda e: st.rate_limited(_recorded(e).withColumn("hour", F.expr("second div 60")), ["name"], "seq", "hour", 1).select("seq", "name")),
+    "met_summary": _ev(lambda e: st.summary(st.every_nth(_recorded(e), ["name"], "seq", 3), "name", "value", _recorded(e))),
     "met_latency": _ev(_latency),
     "met_throughput": _ev(lambda e: st.throughput(e.withColumn("second", F.expr("sec div 2400")), "second")),
     "met_mean_rate": _ev(lambda e: st.mean_rate(e.withColumn("second", F.expr("sec div 2400")), "second")),

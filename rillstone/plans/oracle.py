@@ -17,7 +17,7 @@ POS = EV + """, allpos AS (
          CAST(k % 5 AS SMALLINT) AS lane, CAST(event_id % 2 AS SMALLINT) AS direction,
          CAST((user_id + sec // 2400 // 180) % 5 AS SMALLINT) AS segment,
          CAST(((user_id + sec // 2400 // 180) % 5) * 5280 + k AS INT) AS position,
-         CAST(sec // 2400 // 60 + 1 AS SMALLINT) AS minute
+         CAST(sec // 2400 // 60 + 1 AS INT) AS minute
   FROM ev), pos AS (SELECT * FROM allpos WHERE type = 0)"""
 
 AVG = POS + """, lagged AS (
@@ -30,7 +30,7 @@ AVG = POS + """, lagged AS (
   FROM marked GROUP BY vid, minute, xway, direction, segment, run)"""
 
 LAV = AVG + """, lavs AS (
-  SELECT CAST(m.minute + 1 AS SMALLINT) AS minute, m.xway, m.direction, m.segment,
+  SELECT CAST(m.minute + 1 AS INT) AS minute, m.xway, m.direction, m.segment,
          CAST(sum(s.avg_speed) // count(*) AS INT) AS lav
   FROM (SELECT DISTINCT minute, xway, direction, segment FROM speeds) m
   JOIN speeds s ON s.xway = m.xway AND s.direction = m.direction AND s.segment = m.segment
@@ -42,7 +42,7 @@ RUNNING = AVG + """, kept AS (
   FROM speeds a JOIN speeds b ON b.xway = a.xway AND b.direction = a.direction AND b.segment = a.segment
    AND b.minute BETWEEN a.minute - 4 AND a.minute AND b.seq <= a.seq
 ), running AS (
-  SELECT seq, CAST(minute + 1 AS SMALLINT) AS minute, xway, direction, segment, CAST(sum(avg_speed) // count(*) AS INT) AS lav
+  SELECT seq, CAST(minute + 1 AS INT) AS minute, xway, direction, segment, CAST(sum(avg_speed) // count(*) AS INT) AS lav
   FROM kept WHERE rn <= 11 GROUP BY ALL)"""
 
 TOLL = LAV + """, cells AS (
@@ -132,7 +132,7 @@ SCORED = f"""call_id, caller, answer_ts, {r('fofir')} AS fofir, {r('url')} AS ur
 
 LINEAR_ROAD = {
     "lr_parse_positions": _with(POS, f"SELECT {POSITION} FROM pos"),
-    "lr_minute": _with(POS, "SELECT seq, CAST(time // 60 + 1 AS SMALLINT) AS minute FROM pos"),
+    "lr_minute": _with(POS, "SELECT seq, CAST(time // 60 + 1 AS INT) AS minute FROM pos"),
     "lr_exit_lane": _with(POS, "SELECT seq, vid, lane FROM pos WHERE lane = 4"),
     "lr_average_speed": _with(AVG, "SELECT seq, vid, minute, xway, direction, segment, avg_speed FROM speeds"),
     "lr_average_speed_as_run": _with(POS + AS_RUN_AVG, "SELECT * FROM asrun WHERE vid IS NOT NULL"),
@@ -147,7 +147,7 @@ LINEAR_ROAD = {
     ),
     "lr_lav_as_run": _with(
         POS + AS_RUN_AVG,
-        "SELECT seq, CAST(minute + 1 AS SMALLINT) AS minute, xway, direction, segment, avg_speed AS lav FROM asrun WHERE vid IS NOT NULL",
+        "SELECT seq, CAST(minute + 1 AS INT) AS minute, xway, direction, segment, avg_speed AS lav FROM asrun WHERE vid IS NOT NULL",
     ),
     "lr_count_vehicles": _with(
         POS,
@@ -159,7 +159,7 @@ LINEAR_ROAD = {
 SELECT DISTINCT minute, {NO_CELL} FROM pos WHERE minute NOT IN (SELECT minute FROM full_cells)""",
     ),
     "lr_count_as_run": _with(
-        POS, f"SELECT seq, CAST(coalesce(lag(minute) OVER (ORDER BY seq), -1) AS SMALLINT) AS minute, {NO_CELL} FROM pos"
+        POS, f"SELECT seq, CAST(coalesce(lag(minute) OVER (ORDER BY seq), -1) AS INT) AS minute, {NO_CELL} FROM pos"
     ),
     "lr_toll_las_as_run": _with(POS, f"SELECT seq, {NOTHING} FROM pos WHERE seq > (SELECT min(seq) FROM pos)"),
     "lr_toll_cv_as_run": _with(POS, f"SELECT seq, {NOTHING} FROM pos"),
@@ -205,6 +205,15 @@ UNION ALL SELECT call_id, 'callee', callee, answer_ts FROM cdr""",
         f"""SELECT a.call_id, a.callee, {r('sum(b.duration * ln(1 / 0.9672) * pow(0.9672, a.answer_ts - b.answer_ts))')} AS w
 FROM cdr a JOIN cdr b ON b.callee = a.callee
  AND (b.answer_ts < a.answer_ts OR (b.answer_ts = a.answer_ts AND b.call_id <= a.call_id))
+GROUP BY a.call_id, a.callee""",
+    ),
+    "vs_slow_rates": _with(
+        CDR,
+        f"""SELECT a.call_id, a.callee, {r('sum(b.duration * ln(1 / 0.99999) * pow(0.99999, a.answer_ts - b.answer_ts))')} AS day,
+  {r('sum(b.duration * ln(1 / 0.9999) * pow(0.9999, a.answer_ts - b.answer_ts))')} AS hour,
+  {r('sum(b.duration * ln(1 / 0.9672) * pow(0.9672, a.answer_ts - b.answer_ts))')} AS minute
+FROM cdr a JOIN cdr b ON b.callee = a.callee
+ AND (b.answer_ts < a.answer_ts OR (b.answer_ts = a.answer_ts AND b.call_id <= a.call_id))
 GROUP BY a.call_id, a.callee""",
     ),
     "vs_ecr": _with(RATES, f"SELECT call_id, caller, {r('ecr')} AS ecr FROM rates"),
@@ -232,10 +241,13 @@ FROM rates r JOIN received v USING (call_id)""",
     "vs_variant_forwarding": _with(RATIOS, f"SELECT {SCORED} FROM ratios"),
     "vs_score_top": _with(RATIOS, f"SELECT {SCORED} FROM ratios ORDER BY score DESC, call_id LIMIT 100"),
     "vs_score_as_run": _with(
-        NEW,
-        """, messages AS (
-  SELECT 'fofir' AS source FROM est UNION ALL SELECT 'url' FROM est WHERE new_callee UNION ALL SELECT 'acd' FROM est WHERE new_callee)
-SELECT source, 0.0::DOUBLE AS score, count(*) AS n FROM messages GROUP BY source""",
+        RATIOS,
+        f""", messages AS (
+  SELECT call_id, caller, answer_ts, 'fofir' AS source FROM est UNION ALL SELECT call_id, caller, answer_ts, 'url' FROM est WHERE new_callee
+  UNION ALL SELECT call_id, caller, answer_ts, 'acd' FROM est WHERE new_callee
+), sums AS (SELECT *, fofir * 2 + url * 3 + acd * 3 AS score FROM ratios)
+SELECT m.call_id, m.source, {r("coalesce((SELECT arg_min(s.score, s.call_id) FROM sums s WHERE s.caller = m.caller AND s.answer_ts = m.answer_ts AND s.call_id < m.call_id), 0)")} AS score
+FROM messages m""",
     ),
 }
 
@@ -269,7 +281,7 @@ FROM grid g LEFT JOIN rec r ON r.name = g.name AND r.second // 10 = g.report GRO
         "SELECT seq, name, second, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM rec) WHERE n % 100 = 0",
     ),
     "met_rate_limited": "WITH RECURSIVE " + REC + """, placed AS MATERIALIZED (
-  SELECT name, seq, second, row_number() OVER (PARTITION BY name ORDER BY seq) AS i FROM rec
+  SELECT name, seq, second // 60 AS second, row_number() OVER (PARTITION BY name ORDER BY seq) AS i FROM rec
 ), walk AS (
   SELECT name, 0::BIGINT AS i, 0::BIGINT AS seq, false AS taken, 0::BIGINT AS accepted FROM placed GROUP BY name
   UNION ALL
@@ -279,7 +291,8 @@ SELECT seq, name FROM walk WHERE taken""",
     "met_summary": _with(
         REC,
         """, sorted AS (
-  SELECT name, list_sort(list(value)) AS v, count(*) AS samples, sum(value) / count(*) AS mean FROM rec WHERE value >= 500 GROUP BY name
+  SELECT name, list_sort(list(value)) AS v, count(*) AS samples, sum(value) / count(*) AS mean
+  FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM rec) WHERE n % 3 = 0 GROUP BY name
 ), offered AS (SELECT name, count(*) AS total FROM rec GROUP BY name
 ), ranks AS (SELECT name, samples, total, mean, v, p, greatest(1.0::DOUBLE, least(samples::DOUBLE, p * (samples + 1))) AS pos
   FROM sorted JOIN offered USING (name), (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS p)
@@ -317,13 +330,13 @@ SELECT seq, name, {r('average_arrival', 4)} AS average_arrival FROM avgs""",
 
 MET = EV + """, m AS (
   SELECT event_id AS seq, CAST(user_id % 3 AS INT) AS rep, concat('Storm.node', CAST(user_id % 4 AS VARCHAR)) AS node,
-         CAST(sec // 2400 AS INT) AS t, CAST(floor(value * 100) AS DOUBLE) AS value,
+         CAST(sec // 2400 + 300 * (user_id % 5) AS INT) AS t, CAST(floor(value * 100) AS DOUBLE) AS value,
          CASE k % 4 WHEN 0 THEN 'latency' WHEN 1 THEN 'throughput' WHEN 2 THEN 'sink-throughput' ELSE 'input-queue' END AS parameter,
          CASE k % 3 WHEN 0 THEN 'OS' WHEN 1 THEN 'CUSTOM-QS' ELSE 'CUSTOM-FCFS' END AS variant,
          CAST(1000 * (1 + user_id % 5) AS INT) AS rate, 'run' AS experiment
   FROM ev)"""
 
-RUN = "experiment, variant, parameter, rep"
+RUN = "experiment, variant, rate, parameter, rep"
 REBASED = f""", rebased AS (
   SELECT * REPLACE (CAST(t - min(t) OVER (PARTITION BY {RUN}) AS INT) AS t) FROM m)"""
 

@@ -24,11 +24,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str, all_types: bool = False) -> DataFrame:
-    """Position reports; with ``all_types`` the reports that are not of type 0 are kept and marked."""
-    report = "k <> 99" if not all_types else "true"
-    return (
+    """Position reports; with ``all_types`` the reports that are not of type 0 are kept as well."""
+    reports = (
         events(spark, sf_dir)
-        .filter(report)
         .selectExpr(
             "event_id as seq",
             "cast(case when k = 99 then 2 else 0 end as smallint) as type",
@@ -40,9 +38,10 @@ def positions(spark: SparkSession, sf_dir: str, all_types: bool = False) -> Data
             "cast(event_id % 2 as smallint) as direction",
             "cast((user_id + sec div 2400 div 180) % 5 as smallint) as segment",
             "cast(((user_id + sec div 2400 div 180) % 5) * 5280 + k as int) as position",
-            "cast(sec div 2400 div 60 + 1 as smallint) as minute",
+            "cast(sec div 2400 div 60 + 1 as int) as minute",
         )
     )
+    return reports if all_types else reports.filter("type = 0")
 
 
 def position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,10 @@ def position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with a stopped, failing vehicle, one row per minute and segment."""
+    """Segments with a stopped, failing vehicle, one row per minute and segment.
+
+    The shared tables hold no accidents: events of type "error" with the number 0 stand in for them.
+    """
     stopped = events(spark, sf_dir).filter("event_type = 'error' and k = 0").select(F.col("event_id").alias("seq"))
     return (
         positions(spark, sf_dir)
@@ -86,12 +88,15 @@ def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of an experiment: four measures, three variants, five rates, four nodes, three repetitions."""
+    """Samples of an experiment: four measures, three variants, five rates, four nodes, three repetitions.
+
+    Runs of a higher rate begin 300 seconds later each, so that runs must be told apart by their rate.
+    """
     return events(spark, sf_dir).selectExpr(
         "event_id as seq",
         "cast(user_id % 3 as int) as rep",
         "concat('Storm.node', cast(user_id % 4 as string)) as node",
-        "cast(sec div 2400 as int) as t",
+        "cast(sec div 2400 + 300 * (user_id % 5) as int) as t",
         "cast(floor(value * 100) as double) as value",
         "case k % 4 when 0 then 'latency' when 1 then 'throughput' when 2 then 'sink-throughput' else 'input-queue' end as parameter",
         "case k % 3 when 0 then 'OS' when 1 then 'CUSTOM-QS' else 'CUSTOM-FCFS' end as variant",

@@ -97,7 +97,7 @@ def average_speed(positions: DataFrame) -> DataFrame:
     reports = positions.select("vid", "seq", "minute", *SEGMENT, "speed", "event_time")
     return reports.groupBy("vid").transformWithStateInPandas(
         statefulProcessor=Stays(),
-        outputStructType="seq long, vid int, minute smallint, xway int, direction smallint, segment smallint, "
+        outputStructType="seq long, vid int, minute int, xway int, direction smallint, segment smallint, "
         "avg_speed int, event_time timestamp",
         outputMode="Append",
         timeMode="EventTime",
@@ -113,7 +113,7 @@ def last_average_speed(speeds: DataFrame, minutes: int = LAV_MINUTES) -> DataFra
     )
     end = F.floor((F.unix_seconds(F.col("w.end")) - ROAD_START) / 60)
     return sums.filter(F.col("last") == end).select(
-        (F.col("last") + 1).cast("smallint").alias("minute"), *SEGMENT, F.expr("cast(s div n as int)").alias("lav")
+        (F.col("last") + 1).cast("int").alias("minute"), *SEGMENT, F.expr("cast(s div n as int)").alias("lav")
     )
 
 
@@ -122,7 +122,7 @@ def count_vehicles(positions: DataFrame, threshold: int = CAR_THRESHOLD) -> Data
     cells = positions.groupBy(F.window("event_time", "1 minute").alias("w"), *SEGMENT).agg(
         F.count(F.lit(1)).cast("int").alias("count")
     )
-    minute = (F.floor((F.unix_seconds(F.col("w.start")) - ROAD_START) / 60) + 1).cast("smallint")
+    minute = (F.floor((F.unix_seconds(F.col("w.start")) - ROAD_START) / 60) + 1).cast("int")
     return cells.filter(F.col("count") > threshold).select(minute.alias("minute"), *SEGMENT, "count")
 
 
@@ -151,7 +151,7 @@ def segment_changes(positions: DataFrame) -> DataFrame:
     driving = positions.filter(~on_exit_lane()).select("seq", "vid", "minute", *SEGMENT, "event_time")
     return driving.groupBy("vid").transformWithStateInPandas(
         statefulProcessor=SegmentEntries(),
-        outputStructType="seq long, vid int, minute smallint, xway int, direction smallint, segment smallint, "
+        outputStructType="seq long, vid int, minute int, xway int, direction smallint, segment smallint, "
         "event_time timestamp",
         outputMode="Append",
         timeMode="EventTime",
@@ -171,7 +171,7 @@ def assess_tolls(
     ``lav`` and ``counts`` are the tables that :func:`last_average_speed` and :func:`count_vehicles` append
     to; they are read anew in every micro-batch. Entries must follow the watermark of those tables.
     """
-    previous = counts.select((F.col("minute") + 1).cast("smallint").alias("minute"), *SEGMENT, F.col("count").alias("cars"))
+    previous = counts.select((F.col("minute") + 1).cast("int").alias("minute"), *SEGMENT, F.col("count").alias("cars"))
     cell = ["minute", *SEGMENT]
     joined = entries.join(lav, cell, "left").join(previous, cell, "left")
     lav_value = F.coalesce("lav", F.lit(0))

@@ -1,8 +1,9 @@
 """Call scoring on unbounded streams of call records.
 
 One keyed operator per caller holds the known callees and the four decayed rates, another per number holds
-the rate of received calls; both are joined by call and time. Rates decay in arrival order across
-micro-batches; within a micro-batch calls are put in order of answer time and ``call_id``.
+the rate of received calls; both are joined by call and time. Rates are held at
+the latest answer time seen: a call that comes late is added with the weight it has by then, and reads the rates of that
+time. Within a micro-batch calls are put in order of answer time and ``call_id``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rillstone.functions.decay import BLOCK_SECONDS, global_average, rate_constant
+from rillstone.functions.decay import block_seconds, global_average, rate_constant
 from rillstone.operators.voip import BETA, BETA_24, pre_rcr
 
 LATENESS = "10 minutes"
@@ -49,16 +50,16 @@ class CallerRates(StatefulProcessor):
         t, ecr, ecr24, encr, ct24 = self.rates.get() if self.rates.exists() else (None, 0.0, 0.0, 0.0, 0.0)
         out = []
         for now, new, duration in zip(calls["answer_ts"], calls["new_callee"], calls["duration"]):
-            gap = 0 if t is None else int(now) - t
-            keep, keep24 = math.exp(-fast * gap), math.exp(-slow * gap)
-            t = int(now)
-            ecr, ecr24 = ecr * keep + fast, ecr24 * keep24 + slow
-            encr, ct24 = encr * keep + (fast if new else 0.0), ct24 * keep24 + (slow * duration if new else 0.0)
+            last, t = (int(now) if t is None else t), max(int(now), int(now) if t is None else t)
+            keep, keep24 = math.exp(-fast * (t - last)), math.exp(-slow * (t - last))
+            late, late24 = math.exp(-fast * (t - int(now))), math.exp(-slow * (t - int(now)))
+            ecr, ecr24 = ecr * keep + fast * late, ecr24 * keep24 + slow * late24
+            encr, ct24 = encr * keep + (fast * late if new else 0.0), ct24 * keep24 + (slow * late24 * duration if new else 0.0)
             out.append((ecr, ecr24, encr if new else math.nan, ct24 if new else math.nan))
         self.rates.update((t, ecr, ecr24, encr, ct24))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((t + BLOCK_SECONDS) * 1000)
+        self.handle.registerTimer((t + block_seconds(BETA_24)) * 1000)
         features = pd.DataFrame(out, columns=["ecr", "ecr24", "encr", "ct24"], index=calls.index)
         yield pd.concat([calls[["call_id", "caller", "answer_ts", "new_callee"]], features, calls[["event_time"]]], axis=1)
 
@@ -99,14 +100,14 @@ class ReceivedRate(StatefulProcessor):
         t, rate = self.rate.get() if self.rate.exists() else (None, 0.0)
         read = []
         for now, adds in zip(events["answer_ts"], events["adds"]):
-            gap = 0 if t is None else int(now) - t
-            rate, t = rate * math.exp(-decay * gap), int(now)
+            last, t = (int(now) if t is None else t), max(int(now), int(now) if t is None else t)
+            rate *= math.exp(-decay * (t - last))
             read.append(rate)
-            rate += decay if adds else 0.0
+            rate += decay * math.exp(-decay * (t - int(now))) if adds else 0.0
         self.rate.update((t, rate))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((t + BLOCK_SECONDS) * 1000)
+        self.handle.registerTimer((t + block_seconds(BETA)) * 1000)
         reads = events.assign(rcr=read)[~events["adds"]]
         if len(reads):
             yield reads[["call_id", "rcr", "event_time"]]

@@ -151,3 +151,12 @@ def test_boxes_and_summary(spark):
     row = ex.queue_boxes(table).first()
     assert [row[c] for c in ("q1", "median", "q3", "low", "high", "outliers")] == [2.0, 3.0, 4.0, 1.0, 4.0, 1]
     assert tuple(ex.run_summary(table).select("reps", "minutes").first()) == (2, 4.0)
+
+
+def test_runs_of_two_rates_are_told_apart(spark):
+    """Runs of the same repetition whose rates begin at different times are rebased and trimmed each on its own."""
+    data = [("latency", "OS", rate, 1, "n", start + t, float(t)) for rate, start in ((1000, 0), (2000, 500)) for t in range(11)]
+    rebased = ex.rebase_time(samples(spark, data))
+    assert {r["t"] for r in rebased.filter("rate = 2000").collect()} == set(range(11))
+    kept = {(r["rate"], r["t"]) for r in ex.trim(rebased).filter("value is not null").collect()}
+    assert kept == {(rate, t) for rate in (1000, 2000) for t in range(3, 9)}

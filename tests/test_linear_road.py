@@ -142,3 +142,8 @@ def test_parse_positions(spark):
     assert [r[0] for r in parsing.malformed_positions(mixed).orderBy("line").collect()] == LINES[3:4] + LINES[2:3] + LINES[4:]
     with pytest.raises(ValueError):
         parsing.parse_positions(good, mode="lenient")
+
+
+def test_minutes_of_a_long_stream(spark):
+    far = spark.createDataFrame([(2_000_000,), (3_000_000_00,)], "time long").select(lr.minute_of("time").alias("m"))
+    assert [r["m"] for r in far.collect()] == [33_334, 5_000_001]

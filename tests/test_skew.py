@@ -193,3 +193,24 @@ def test_checked_broadcast(spark):
         assert big.join(sk.checked_broadcast(small, limit), "k").count() == 1000
     plan = big.join(sk.checked_broadcast(small, 100), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_slow_and_mixed_decay_against_brute_force(spark):
+    """History has its weight for as long as the decay says, whatever the other features of the same call are."""
+    draw, betas = random.Random(5), [0.5, 0.9672, 0.9999, 0.99999]
+    data = [(i, draw.choice("aab"), draw.randrange(0, 400_000), draw.randrange(0, 5)) for i in range(150)]
+    df = spark.createDataFrame(data, "seq long, key string, t long, q int")
+    features = {f"w{k}": ("q", beta) for k, beta in enumerate(betas)}
+    for skew in (PLAIN, sk.Skew(min_rows=1, max_keys=10, block_rows=16)):
+        got = {r["seq"]: r for r in decayed_sums(df, ["key"], "t", "seq", features, skew).collect()}
+        for seq, key, t, _ in data:
+            before = [(u, q) for s, k, u, q in data if k == key and (u, s) <= (t, seq)]
+            for k, beta in enumerate(betas):
+                want = sum(q * math.log(1 / beta) * beta ** (t - u) for u, q in before)
+                assert math.isclose(got[seq][f"w{k}"], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_two_calls_far_apart(spark):
+    df = spark.createDataFrame([(0, "k", 0, 1), (1, "k", 16_384, 1)], "seq long, key string, t long, q int")
+    last = decayed_sums(df, ["key"], "t", "seq", {"w": ("q", 0.9999)}).filter("seq = 1").first()["w"]
+    assert math.isclose(last, math.log(1 / 0.9999) * (1 + 0.9999**16_384), rel_tol=1e-9)

@@ -81,3 +81,12 @@ def test_generated_calls(spark):
     assert df.exceptAll(src.generate_calls(spark, 50, 5000, seed=3)).count() == 0
     with pytest.raises(ValueError):
         src.generate_calls(spark, 1, 5)
+
+
+def test_kept_and_malformed_calls_are_all_lines(spark):
+    good = "1,2,2021-03-01T10:00:00.000+01:00,120,true"
+    bad = ["", "1,2", "1,2,yesterday,120,true", "1,2,2021-03-01T10:00:00.000+01:00,long,true", good.rsplit(",", 1)[0]]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate([good, *bad, good])], "id int, line string")
+    kept = {r["id"] for r in parsing.parse_calls(lines, mode="permissive").collect()}
+    left = {r["id"] for r in parsing.malformed_calls(lines).collect()}
+    assert kept == {0, 6} and left == {1, 2, 3, 4, 5}

@@ -108,3 +108,10 @@ def test_classes_stay_apart(spark):
     out = syn.multi_class(df, "id", "class", {"HIGH": [[1.0]], "LOW": [[1.0], [1.0]]})
     got = {(r["class"], r["priority"], r["query_id"]): r["count"] for r in out.groupBy("class", "priority", "query_id").count().collect()}
     assert got == {("HIGH", 3, 0): 500, ("LOW", 1, 0): 500, ("LOW", 1, 1): 500}
+
+
+def test_a_gap_longer_than_a_stretch(spark):
+    ends = spark.createDataFrame([("k", 5), ("k", 5 + 3 * st.GAP_ROWS)], "name string, second long")
+    filled = st.count_per_second(ends, "second", ["name"])
+    assert filled.count() == 3 * st.GAP_ROWS + 1
+    assert filled.agg(F.sum("count"), F.min("second"), F.max("second")).first() == (2, 5, 5 + 3 * st.GAP_ROWS)

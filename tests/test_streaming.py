@@ -156,3 +156,18 @@ def test_latency_sink_and_listener(spark, records, tmp_path):
         assert got.filter("end_latency - latency <> 5").count() == 0
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_a_late_call_counts_with_its_age(spark, tmp_path):
+    """A call that comes a batch late decays until then, and is forgotten like the others afterwards."""
+    batches = [[(1, 1000)], [(2, 500)], [(3, 1010)]]
+    for i, batch in enumerate(batches):
+        data = [(c, "a", f"b{c}", t, 1, True) for c, t in batch]
+        frame = spark.createDataFrame(data, "call_id long, caller string, callee string, answer_ts long, duration int, established boolean")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = svs.caller_features(svs.with_event_time(read(spark, frame.schema, tmp_path / "in")))
+    got = {r["call_id"]: r["ecr"] for r in run(stream, tmp_path / "out", tmp_path / "cp").collect()}
+    fast = math.log(1 / voip.BETA)
+    assert math.isclose(got[1], fast)
+    assert math.isclose(got[2], fast * (1 + voip.BETA**500))
+    assert math.isclose(got[3], fast * (1 + voip.BETA**10 + voip.BETA**510), rel_tol=1e-9)
