@@ -114,7 +114,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level)
     right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             keep = np.zeros(batch.num_rows, bool)
             second = words.documents(batch["text_b"], lower=True)
             ahead: list[np.ndarray] = []

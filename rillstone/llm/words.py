@@ -124,6 +124,7 @@ def documents(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterat
             hashes = _hashed(part, first, end, table) if len(part) else np.zeros(0, U64)
             yield row, stop, np.split(hashes, np.searchsorted(first, starts[1:-1]))
         row = stop
+    pa.default_memory_pool().release_unused()
 
 
 def grams(words: np.ndarray, n: int, powers: np.ndarray) -> np.ndarray:
