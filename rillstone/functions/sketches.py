@@ -1,157 +1,63 @@
-"""Bounded-memory stand-ins for exact keyed state: a rotating pair of Bloom filters and decaying counters.
+"""Hashed stand-ins for exact keyed state, written as relations: a Bloom filter and decayed counters.
 
-Keys are hashed to ``buckets``; each bucket has its own sketch of 1/buckets of the size and is one ordered
-pass over the rows of the bucket, batch by batch. What a hot key would send to its bucket is collapsed first.
+A key is hashed to a few slots of a table whose width follows the number of different keys. A slot is a group of rows, so
+both sketches are aggregates and joins, and no task holds a table.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.functions.decay import cell_sums, rate_constant
+from rillstone.functions.decay import decayed_sums
 from rillstone.functions.skew import DEFAULT_SKEW, Skew
 
-# Expected keys, error rate, counters per key and counters that share a timer.
-EXPECTED = 180_000
-ERROR_RATE = 0.05
-COUNTERS_PER_KEY = 10
-COUNTERS_PER_TIMER = 16
-COUNTER_HASHES = 7
+BITS_PER_KEY = 8
+HASHES = 5
+COUNTERS_PER_KEY = 8
+COUNTER_ROWS = 3
 
 
-def bloom_size(expected: int, error_rate: float) -> tuple[int, int]:
-    """Number of bits and of hashes."""
-    hashes = math.ceil(-math.log2(error_rate))
-    return math.ceil(hashes / math.log(2) * expected), hashes
+def _hash(keys: Sequence[str], part: int) -> Column:
+    """48 bits of the keys' MD5, which other engines compute alike."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1 + 12 * part, 12), 16, 10).cast("long")
 
 
-def slots(hashed: np.ndarray, hashes: int, size: int) -> np.ndarray:
-    """``hashes`` slots per key, combined from the two halves of its 64-bit hash."""
-    low, high = hashed & 0xFFFFFFFF, (hashed >> 32) & 0xFFFFFFFF
-    return (low[:, None] + np.arange(hashes)[None, :] * high[:, None]) % size
-
-
-def _ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int) -> DataFrame:
-    hashed = df.withColumn("_hash", F.xxhash64(*keys))
-    placed = hashed.withColumn("_bucket", F.pmod(F.xxhash64("_hash"), F.lit(buckets)).cast("int"))
-    return placed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", *order)
-
-
-class RotatingBloom:
-    """Two filters: one answers, the other learns; they change places when the first is full, then it starts anew."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        self.answers, self.learns = np.zeros(bits, bool), np.zeros(bits, bool)
-        self.filled = {id(self.answers): 0, id(self.learns): 0}
-
-    def _add(self, target: np.ndarray, at: np.ndarray) -> None:
-        for slot in at:
-            if not target[slot]:
-                target[slot] = True
-                self.filled[id(target)] += 1
-
-    def is_new(self, at: np.ndarray) -> bool:
-        self._add(self.learns, at)
-        new = not self.answers[at].all()
-        if new:
-            self._add(self.answers, at)
-        if self.filled[id(self.answers)] > self.bits / math.sqrt(2):
-            self.answers, self.learns = self.learns, self.answers
-            self.learns[:] = False
-            self.filled[id(self.learns)] = 0
-        return new
+def slots(keys: Sequence[str], count: int, width: int) -> Column:
+    """``count`` slots below ``width``, from two hashes."""
+    return F.array(*[F.pmod(_hash(keys, 0) + i * _hash(keys, 1), F.lit(width)) for i in range(count)])
 
 
 def probably_new(
-    df: DataFrame, keys: Sequence[str], seq: str, name: str = "new", expected: int = EXPECTED,
-    error_rate: float = ERROR_RATE, buckets: int = 64, skew: Skew = DEFAULT_SKEW,
+    df: DataFrame, keys: Sequence[str], seq: str, name: str = "new", bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES
 ) -> DataFrame:
-    """Add whether the keys are seen for the first time, up to the filter's errors.
+    """Add whether a Bloom filter that learns every row sees the keys for the first time.
 
-    Of equal keys within a block of ``seq`` only the first is looked up; the others are not new.
+    A slot is set at the smallest ``seq`` of all keys that own it. So the first row of a key is taken for known exactly
+    if each of its slots was set before; the other rows of the key are known. ``seq`` is unique.
     """
-    bits, hashes = bloom_size(max(1, math.ceil(expected / buckets)), error_rate)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, bloom = None, None
-        for batch in batches:
-            found = []
-            for b, at in zip(batch["_bucket"], slots(batch["_hash"].to_numpy(), hashes, bits)):
-                if b != bucket:
-                    bucket, bloom = b, RotatingBloom(bits)
-                found.append(bloom.is_new(at))
-            yield batch.loc[found, ["_first"]]
-
-    block = F.floor(F.col(seq) / F.lit(skew.block_rows))
-    probes = df.groupBy(*keys, block.alias("_blk")).agg(F.min(seq).alias("_first")).drop("_blk")
-    fresh = _ordered_buckets(probes, keys, ["_first"], buckets).mapInPandas(scan, "_first long")
-    fresh = fresh.select(F.col("_first").alias(seq), F.lit(True).alias("_new"))
-    return df.join(fresh, seq, "left").withColumn(name, F.coalesce("_new", F.lit(False))).drop("_new")
-
-
-class DecayingCounters:
-    """Counters that decay when they are touched; neighbours share the time of the last touch."""
-
-    def __init__(self, counters: int, beta: float) -> None:
-        words = max(1, (counters + 20) // COUNTERS_PER_TIMER)
-        self.beta = beta
-        self.size = words * COUNTERS_PER_TIMER
-        self.values = np.zeros(self.size)
-        self.touched = np.zeros(words)
-
-    def estimate(self, at: np.ndarray, now: int) -> float:
-        smallest = math.inf
-        for slot in at:
-            word = slot // COUNTERS_PER_TIMER
-            self.values[slot] *= self.beta ** (now - self.touched[word])
-            self.touched[word] = now
-            smallest = min(smallest, self.values[slot])
-        return smallest
-
-    def add(self, at: np.ndarray, now: int, amount: float) -> float:
-        """Raise the smallest counters only; returns the estimate before."""
-        before = self.estimate(at, now)
-        self.values[at] = np.maximum(self.values[at], before + amount)
-        return before
+    first = df.groupBy(*keys).agg(F.min(seq).alias("_first"))
+    width = max(1, bits_per_key * first.count())
+    owned = first.select("_first", F.explode(slots(keys, hashes, width)).alias("_slot"))
+    since = owned.groupBy("_slot").agg(F.min("_first").alias("_set"))
+    fresh = owned.join(since, "_slot").filter("_set = _first").select(F.col("_first").alias(seq)).distinct()
+    return df.join(fresh.withColumn("_new", F.lit(True)), seq, "left").withColumn(name, F.coalesce("_new", F.lit(False))).drop("_new")
 
 
 def sketched_sums(
     df: DataFrame, keys: Sequence[str], t: str, seq: str, name: str, quantity: str, beta: float,
-    expected: int = EXPECTED, buckets: int = 64, skew: Skew = DEFAULT_SKEW,
+    counters_per_key: int = COUNTERS_PER_KEY, rows: int = COUNTER_ROWS, skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Decayed sums of one quantity from counters of fixed size instead of one state per key.
+    """Add the smallest of ``rows`` decayed counters of the keys; other keys in the same counters make it too large.
 
-    Equal keys within a second reach the counters as one total.
+    Each counter is a decayed sum like any other, with its hot ones split. ``seq`` is unique.
     """
-    counters = math.ceil(expected / buckets) * COUNTERS_PER_KEY
-    size = DecayingCounters(counters, beta).size
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, sketch = None, None
-        for batch in batches:
-            before = []
-            places = slots(batch["_hash"].to_numpy(), COUNTER_HASHES, size)
-            for b, at, now, amount in zip(batch["_bucket"], places, batch["_t"], batch["_amount"]):
-                if b != bucket:
-                    bucket, sketch = b, DecayingCounters(counters, beta)
-                before.append(sketch.add(at, now, amount))
-            yield batch[["_cell"]].assign(_left=before)
-
-    def left_over(cells: DataFrame, quantities) -> DataFrame:
-        (column,) = quantities
-        cell = F.struct(*keys, t, "_sb")
-        slim = cells.select(*keys, cell.alias("_cell"), F.col(t).alias("_t"), "_sb", F.col(column).alias("_amount"))
-        kind = slim.schema["_cell"].dataType.simpleString()
-        placed = _ordered_buckets(slim, keys, ["_t", "_sb"], buckets).select("_bucket", "_hash", "_cell", "_t", "_amount")
-        left = placed.mapInPandas(scan, f"_cell {kind}, _left double")
-        return left.select("_cell.*", F.col("_left").alias(column))
-
-    summed = cell_sums(df, keys, t, seq, {"_sum": (quantity, beta)}, skew, left_over)
-    return summed.withColumnRenamed("_sum", name)
+    width = max(1, counters_per_key * df.select(*keys).distinct().count())
+    places = F.posexplode(slots(keys, rows, width)).alias("_row", "_slot")
+    counters = df.select(seq, t, quantity, places)
+    rated = decayed_sums(counters, ["_row", "_slot"], t, seq, {"_sum": (quantity, beta)}, skew)
+    least = rated.groupBy(seq).agg(F.min("_sum").alias(name))
+    return df.join(least, seq)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.quantiles import exact_quantiles
-from rillstone.functions.skew import DEFAULT_SKEW, Skew, checked_broadcast
+from rillstone.functions.skew import DEFAULT_SKEW, Skew
 
 # Fixed values of the analysis.
 WARM_UP_SHARE = 0.3
@@ -72,7 +72,7 @@ def group_series(*frames: DataFrame) -> DataFrame:
 def rebase_time(samples: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Time since the first sample of the run."""
     first = samples.groupBy(*keys).agg(F.min("t").alias("_first"))
-    joined = samples.join(checked_broadcast(first), list(keys))
+    joined = samples.join(first, list(keys))
     return joined.withColumn("t", F.col("t") - F.col("_first")).select(samples.columns)
 
 
@@ -81,7 +81,7 @@ def trim(
 ) -> DataFrame:
     """Blank the values of the first and last part of each run."""
     last = samples.groupBy(*keys).agg(F.max("t").alias("_last"))
-    joined = samples.join(checked_broadcast(last), list(keys))
+    joined = samples.join(last, list(keys))
     start = F.floor(F.col("_last") * F.lit(warm_up))
     end = F.ceil(F.col("_last") - F.col("_last") * F.lit(cool_down))
     kept = F.when((F.col("t") >= start) & (F.col("t") <= end), F.col("value"))

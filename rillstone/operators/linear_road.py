@@ -236,7 +236,7 @@ def toll_notification_pos(
     for part in parts[1:]:
         union = union.unionByName(part)
     state = union.groupBy(*cell).agg(F.max("lav").alias("lav"), F.max("cars").alias("cars"), F.max("blocked").alias("blocked"))
-    entered = segment_changes(positions, skew, hot).join(checked_broadcast(state), cell, "left")
+    entered = segment_changes(positions, skew, hot).join(state, cell, "left")
     lav_value = F.coalesce("lav", F.lit(0))
     toll = F.when(F.coalesce("blocked", F.lit(False)), F.lit(0)).otherwise(
         toll_formula(lav_value, F.coalesce("cars", F.lit(0)), lav_threshold, car_threshold)

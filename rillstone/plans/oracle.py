@@ -114,6 +114,11 @@ def r(column: str, digits: int = 6) -> str:
     return f"floor(({column}) * {scale}.0::DOUBLE + 0.5) / {scale}.0::DOUBLE"
 
 
+def _slots(key: str, count: int, width: str) -> str:
+    part = [f"('0x' || substr(md5({key}), {at}, 12))::BIGINT" for at in (1, 13)]
+    return ", ".join(f"({part[0]} + {i} * {part[1]}) % {width}" for i in range(count))
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -206,6 +211,23 @@ UNION ALL SELECT call_id, 'callee', callee, answer_ts FROM cdr""",
 FROM cdr a JOIN cdr b ON b.callee = a.callee
  AND (b.answer_ts < a.answer_ts OR (b.answer_ts = a.answer_ts AND b.call_id <= a.call_id))
 GROUP BY a.call_id, a.callee""",
+    ),
+    "vs_new_callee_bloom": _with(
+        CDR,
+        f""", pairs AS (SELECT caller, callee, min(call_id) AS first FROM cdr GROUP BY 1, 2
+), owned AS (SELECT first, unnest([{_slots("concat_ws('|', caller, callee)", 5, "(SELECT 8 * count(*) FROM pairs)")}]) AS slot FROM pairs
+), known AS (SELECT o.first FROM (SELECT DISTINCT first, slot FROM owned) o GROUP BY o.first
+  HAVING bool_and(EXISTS (SELECT 1 FROM owned e WHERE e.slot = o.slot AND e.first < o.first)))
+SELECT call_id, caller, callee, call_id IN (SELECT first FROM pairs) AND call_id NOT IN (SELECT first FROM known) AS new_callee FROM cdr""",
+    ),
+    "vs_ecr_sketch": _with(
+        NEW,
+        f""", counters AS (SELECT call_id, answer_ts, unnest([0, 1, 2]) AS line,
+    unnest([{_slots("caller", 3, "(SELECT 8 * count(DISTINCT caller) FROM est)")}]) AS slot FROM est
+), rated AS (SELECT a.call_id, a.line, sum(ln(1 / 0.9672) * pow(0.9672, a.answer_ts - b.answer_ts)) AS rate
+  FROM counters a JOIN counters b ON b.line = a.line AND b.slot = a.slot
+   AND (b.answer_ts < a.answer_ts OR (b.answer_ts = a.answer_ts AND b.call_id <= a.call_id)) GROUP BY ALL)
+SELECT call_id, caller, {r('(SELECT min(rate) FROM rated x WHERE x.call_id = est.call_id)')} AS ecr FROM est""",
     ),
     "vs_slow_rates": _with(
         CDR,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,13 +22,14 @@ def builder(app: str = "rillstone") -> SparkSession.Builder:
 
 
 def local(cores: int | str = 8, memory: str = "8g", app: str = "rillstone") -> SparkSession:
-    """Single-machine session for tests and the benchmark."""
+    """Single-machine session for tests and the benchmark, with a checkpoint folder of its own."""
     spark = (
         builder(app)
         .master(f"local[{cores}]")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

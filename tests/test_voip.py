@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import sketches
-from rillstone.functions.decay import score
-from rillstone.functions.skew import Skew
+from rillstone.functions.decay import decayed_sums, score
 from rillstone.operators import parsing, voip
 from rillstone.plans import voip as plan
 from rillstone.sources import fixtures as fx
@@ -127,31 +126,34 @@ def test_parse_calls(spark):
         parsing.parse_calls(bad).collect()
 
 
-def test_bloom_never_forgets_between_rotations_and_rarely_confuses(spark):
-    n = 4000
-    df = spark.range(2 * n).select(F.col("id").alias("seq"), (F.col("id") % n).alias("a"), F.lit("x").alias("b"))
-    got = sketches.probably_new(df, ["a", "b"], "seq", expected=4 * n, buckets=4, skew=Skew(block_rows=512))
-    again = got.filter(F.col("seq") >= n).filter("new").count()
-    missed = got.filter(F.col("seq") < n).filter("not new").count()
-    assert again == 0 and missed <= 0.05 * n
-
-
-def test_bloom_size_and_rotation():
-    bits, hashes = sketches.bloom_size(180_000, 0.05)
-    assert (bits, hashes) == (1_298_426, 5)
-    bloom = sketches.RotatingBloom(64)
-    import numpy as np
-
-    draw = np.random.default_rng(1)
-    for _ in range(500):
-        bloom.is_new(draw.integers(0, 64, 5))
-    assert bloom.answers.sum() <= 64 / math.sqrt(2) + 5
-
-
-@pytest.mark.parametrize("skew", [Skew(), Skew(block_rows=16)])
-def test_sketched_rate_is_near_the_exact_one(spark, tiny, skew):
-    one = fx.calls(spark, tiny).filter("established").withColumn("_one", F.lit(1))
-    got = sketches.sketched_sums(one, ["caller"], "answer_ts", "call_id", "s", "_one", voip.BETA, buckets=4, skew=skew)
-    both = voip.ecr(fx.calls(spark, tiny)).join(got.select("call_id", "s"), "call_id")
-    assert both.filter(F.abs(F.col("s") - F.col("ecr")) > 0.01 * F.col("ecr")).count() <= 0.05 * both.count()
-    assert both.count() == one.count()
+def test_a_known_key_is_never_new_again(spark):
+    n = 3000
+    rows = [(i, i % 1000, "x") for i in range(n)]
+    df = spark.createDataFrame(rows, "seq long, a int, b string")
+    got = {r["seq"]: r["new"] for r in sketches.probably_new(df, ["a", "b"], "seq").collect()}
+    assert len(got) == n and not any(got[i] for i in range(1000, n))
+    assert sum(got[i] for i in range(1000)) > 950, "few keys are taken for known"
+
+
+def test_filter_is_the_bit_table(spark):
+    """The relational form answers as a table of bits that is filled row by row."""
+    rows = [(i, f"k{(i * i) % 211}") for i in range(400)]
+    df = spark.createDataFrame(rows, "seq long, a string").repartition(3)
+    width = 2 * len({k for _, k in rows})
+    places = {r["a"]: r["s"] for r in df.select("a", sketches.slots(["a"], 3, width).alias("s")).collect()}
+    bits, want = [False] * width, {}
+    for seq, key in rows:
+        want[seq] = not all(bits[s] for s in places[key])
+        for s in places[key]:
+            bits[s] = True
+    got = {r["seq"]: r["new"] for r in sketches.probably_new(df, ["a"], "seq", bits_per_key=2, hashes=3).collect()}
+    assert got == want and not all(want[min(s for s, k in rows if k == key)] for key in places), "some answers are wrong by design"
+
+
+def test_sketched_rate_is_above_and_near_the_exact_one(spark, tiny):
+    one = fx.calls(spark, tiny).withColumn("_one", F.lit(1.0))
+    got = {r["call_id"]: r["s"] for r in sketches.sketched_sums(one, ["caller"], "answer_ts", "call_id", "s", "_one", voip.BETA).collect()}
+    exact = decayed_sums(one, ["caller"], "answer_ts", "call_id", {"s": ("_one", voip.BETA)})
+    want = {r["call_id"]: r["s"] for r in exact.collect()}
+    assert got.keys() == want.keys() and all(got[k] >= want[k] - 1e-12 for k in want)
+    assert sum(got[k] - want[k] < 1e-9 for k in want) > 0.95 * len(want)
