@@ -51,6 +51,31 @@ def read_reports(spark: SparkSession, root: str, parameter: str) -> DataFrame:
     return raw.select(rep.alias("rep"), "node", "t", "value")
 
 
+def read_experiments(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All analysis inputs ``<root>/<experiment>_<variant>/<parameter>.csv`` with rep, node, time and value, all lines.
+
+    The variant is split at its dots into the dimensions of ``schema``; the first keeps its text, the others are
+    numbers. ``run_keys(schema)`` tells the runs apart.
+    """
+    raw = spark.read.csv(f"{root}/*_*/*.csv", schema="rep int, node string, t bigint, value double")
+    path = F.col("_metadata.file_path")
+    named = raw.select(
+        F.regexp_extract(path, r"([^/_]+)_[^/]*/[^/]+$", 1).alias("experiment"),
+        F.regexp_extract(path, r"[^/_]+_([^/]*)/[^/]+$", 1).alias("variant"),
+        F.regexp_extract(path, r"/([^/.]+)[^/]*$", 1).alias("parameter"),
+        "rep",
+        "node",
+        "t",
+        "value",
+    )
+    return variant_columns(named, schema)
+
+
+def run_keys(schema: str) -> list[str]:
+    """What tells the runs of ``read_experiments`` apart."""
+    return ["experiment", *dict.fromkeys(["variant", *schema.split(".")]), "parameter", "rep"]
+
+
 def graphite_flatten(df: DataFrame, json: str = "json") -> DataFrame:
     """One row per data point of Graphite JSON series; values that are null stay null."""
     kept = [c for c in df.columns if c != json]
@@ -163,10 +188,12 @@ def two_level(
     nodes: Column | None = None,
     spe: bool = False,
     name: str | None = None,
+    samples_of_node: Column | None = None,
 ) -> DataFrame:
-    """Mean per node and repetition, then ``nodes`` (default: the mean) over the nodes of the repetition."""
+    """``samples_of_node`` per node and repetition, then ``nodes`` over the nodes of the repetition; both default to means."""
     groups = ["parameter", "variant", "rep", *(["spe"] if spe else []), *by]
-    means = get(samples, parameter=parameter).groupBy(*groups, "node").agg(F.avg("value").alias("value"))
+    first = F.avg("value") if samples_of_node is None else samples_of_node
+    means = get(samples, parameter=parameter).groupBy(*groups, "node").agg(first.alias("value"))
     out = means.groupBy(*groups).agg((F.avg("value") if nodes is None else nodes).alias("value"))
     return out if name is None else out.withColumn("parameter", F.lit(name))
 
@@ -192,9 +219,9 @@ def percent_difference(value: Column, reference: Column) -> Column:
 
 
 def confidence_95(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean and half-width of its 95 % confidence interval."""
+    """Mean and half-width of its 95 % confidence interval; missing values count in the number of samples only."""
     return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), (F.lit(Z_95) * F.stddev_pop(value) / F.sqrt(F.count(value))).alias("ci95")
+        F.avg(value).alias("mean"), (F.lit(Z_95) * F.stddev_pop(value) / F.sqrt(F.count(F.lit(1)))).alias("ci95")
     )
 
 
@@ -298,6 +325,6 @@ def scheduler_policy(samples: DataFrame, plain: str = "OS") -> DataFrame:
     return samples.withColumns({"scheduler": scheduler, "policy": F.replace(policy, F.lit(plain), F.lit("default"))})
 
 
-def run_summary(samples: DataFrame, by: Sequence[str] = ("experiment", "variant")) -> DataFrame:
-    """Number of repetitions and length in minutes."""
+def run_summary(samples: DataFrame, by: Sequence[str] = ("experiment", "variant", "rate")) -> DataFrame:
+    """Number of repetitions and length in minutes, by all dimensions."""
     return samples.groupBy(*by).agg(F.countDistinct("rep").alias("reps"), (F.max("t") / 60).alias("minutes"))

@@ -507,7 +507,7 @@ FROM marked GROUP BY rate, variant""",
   CASE variant WHEN 'OS' THEN 'default' WHEN 'CUSTOM-QS' THEN 'QS' ELSE 'FCFS' END AS policy FROM m""",
     ),
     "ana_run_summary": _with(
-        MET, "SELECT experiment, variant, count(DISTINCT rep) AS reps, max(t) / 60 AS minutes FROM m GROUP BY 1, 2"
+        MET, "SELECT experiment, variant, rate, count(DISTINCT rep) AS reps, max(t) / 60 AS minutes FROM m GROUP BY 1, 2, 3"
     ),
 }
 

@@ -160,3 +160,22 @@ def test_runs_of_two_rates_are_told_apart(spark):
     assert {r["t"] for r in rebased.filter("rate = 2000").collect()} == set(range(11))
     kept = {(r["rate"], r["t"]) for r in ex.trim(rebased).filter("value is not null").collect()}
     assert kept == {(rate, t) for rate in (1000, 2000) for t in range(3, 9)}
+
+
+def test_experiment_folder(spark, tmp_path):
+    for folder, start in (("lr_OS.1000", 0), ("lr_OS.2000", 70)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "latency.csv").write_text("".join(f"1,node,{start + t},{t}.5\n" for t in range(11)))
+    read = ex.read_experiments(spark, str(tmp_path), "variant.rate")
+    assert {tuple(r) for r in read.select("experiment", "variant", "rate", "parameter").distinct().collect()} == {
+        ("lr", "OS", 1000.0, "latency"), ("lr", "OS", 2000.0, "latency")
+    }
+    timed = ex.trim(ex.rebase_time(read, ex.run_keys("variant.rate")), ex.run_keys("variant.rate"))
+    assert {(r["rate"], r["t"]) for r in timed.filter("value is not null").collect()} == {(q, t) for q in (1000.0, 2000.0) for t in range(3, 9)}
+    summary = {(r["rate"], r["reps"]) for r in ex.run_summary(timed).collect()}
+    assert summary == {(1000.0, 1), (2000.0, 1)}
+
+
+def test_missing_values_count_as_samples(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("a", None)], "k string, value double")
+    assert ex.confidence_95(rows, ["k"]).first()["ci95"] == pytest.approx(1.96 * 1 / 2)

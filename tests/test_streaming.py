@@ -151,9 +151,12 @@ def test_latency_sink_and_listener(spark, records, tmp_path):
         query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         query.awaitTermination(240)
         assert query.exception() is None
-        got = spark.read.parquet(str(tmp_path / "lat"))
+        got = spark.read.parquet(str(tmp_path / "lat" / "latencies"))
         assert got.count() == calls.count()
         assert got.filter("end_latency - latency <> 5").count() == 0
+        means = spark.read.parquet(str(tmp_path / "lat" / "statistics"))
+        assert means.agg(F.sum("count")).first()[0] == calls.count()
+        assert means.filter("mean_end_latency - mean_latency <> 5").count() == 0
     finally:
         spark.streams.removeListener(listener)
 
