@@ -153,6 +153,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     every = rows.groupBy("key").agg(*_sums(x))
     classic = every.select("key", F.lit(0).alias("start"), F.col("n").alias("size"), *_estimate(F.col("n"), *from_sums, 1.0))
     middle = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)])
+    middle = shared.checkpointed(middle)
     away = rows.join(middle, "key").groupBy("key").agg(
         F.first("size").alias("size"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
         *[F.percentile_approx(F.abs(x[i] - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(P)],
@@ -175,17 +176,23 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance``."""
-    levels = {"group": F.array("lang", "source"), "lang": F.array("lang"), "all": F.array().cast("array<string>")}
+    levels = {"group": F.array("lang", "source"), "lang": F.array("lang")}
+    everything = F.array().cast("array<string>")
     rows = statistics(docs)
     rows = shared.written(rows.select("*", *[c.cast("double").alias(f"x{i}") for i, c in enumerate(vector())]))
-    keys = F.explode(F.array(*levels.values())).alias("key")
+    keys = F.explode(F.array(*levels.values(), everything)).alias("key")
     model = shared.written(estimates(rows.filter("NOT base_failed").select(keys, *[f"x{i}" for i in range(P)])))
     model = model.filter(F.col("size") >= LEAST)
     fields = [c for c in model.columns if c != "key"]
     for level, key in levels.items():
         one = model.select(F.col("key").alias(f"key_{level}"), F.struct(*fields).alias(f"model_{level}"))
         rows = rows.withColumn(f"key_{level}", key).join(one, f"key_{level}", "left")
-    rows = rows.withColumn("model", F.coalesce(*[f"model_{level}" for level in levels])).select("*", "model.*")
+    # The estimate of all rows is one row; as literals it needs no join.
+    last = model.filter(F.size("key") == 0).select(*fields).first()
+    types = {f: model.schema[f].dataType for f in fields}
+    whole = F.struct(*[F.lit(None if last is None else last[f]).cast(types[f]).alias(f) for f in fields])
+    whole = F.when(F.lit(last is not None), whole)
+    rows = rows.withColumn("model", F.coalesce(*[f"model_{level}" for level in levels], whole)).select("*", "model.*")
     distance = _distance([F.col(f"x{i}") for i in range(P)])
     kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
