@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillstone.llm import backoff, bpe, graph_search, mixing, ngram_join, outliers, resampling, substrings, token_counts, toxicity
+from rillstone.llm.statements import statements
+
+__all__ = ["queries", "statements"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +59,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.scored(table(spark, sf_dir, "documents"))
+    """Rounded to six digits, as sums in another order differ in the last ones."""
+    scores = backoff.scored(table(spark, sf_dir, "documents"))
+    rounded = [(F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6).alias(c) for c in ("score", "mean_score")]
+    return scores.select("doc_id", "n_words", *rounded)
 
 
 def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +82,3 @@ def queries() -> dict[str, Query]:
         "op9_backoff_scores": op9_backoff_scores,
         "op10_raked_mixing": op10_raked_mixing,
     }
-
-
-def statements() -> dict[str, str]:
-    """DuckDB SQL of the queries that SQL can express."""
-    return {"op10_raked_mixing": mixing.statement()}

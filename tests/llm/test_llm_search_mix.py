@@ -72,8 +72,9 @@ def test_search_with_equal_and_odd_vectors(spark):
     assert graph_search.neighbours(table.filter("false"), table).count() == 0
 
 
-def test_mixing_matches_sql(spark, tiny):
-    assert compare(catalog.op10_raked_mixing(spark, tiny), connect(tiny), mixing.statement()) is None
+@pytest.mark.parametrize("name", sorted(catalog.statements()))
+def test_query_matches_sql(spark, tiny, name):
+    assert compare(catalog.queries()[name](spark, tiny), connect(tiny), catalog.statements()[name]) is None
 
 
 def test_marginals_meet_their_targets(spark):
