@@ -17,8 +17,6 @@ makes its block larger; an empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
