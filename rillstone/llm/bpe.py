@@ -106,7 +106,7 @@ class Vocabulary:
 class Transducer:
     """Bytes in, tokens out; determinised as it goes, with at most ``max_states`` states at a time."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 120_000) -> None:
         self.vocabulary, self.max_states = vocabulary, max_states
         self._clear()
 
@@ -173,7 +173,7 @@ class Transducer:
 class Pieces(dict):
     """Tokens of pieces, kept for short pieces until the table is full; a whole piece that is a token is that token."""
 
-    def __init__(self, ids: dict[bytes, int], limit: int = 800_000) -> None:
+    def __init__(self, ids: dict[bytes, int], limit: int = 400_000) -> None:
         self.ids, self.limit = ids, limit
         self.transducer = Transducer(Vocabulary(ids))
 
