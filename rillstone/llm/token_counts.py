@@ -6,7 +6,8 @@ of each distinct text that is left, one document is encoded, and its count is ap
 
 Cases: null and empty texts have no bytes and no tokens; equal texts are encoded once and all get the count; long texts
 are encoded piece by piece; an empty table gives no rows; other columns are not read. Two jobs may append the same
-digest at a time: readers take one row for each digest.
+digest at a time: readers take one row for each digest. Rows without id are counted like all others, also where no row
+with an id has their text.
 """
 
 from __future__ import annotations
@@ -138,12 +139,19 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, cache: str, limit: in
         missing = distinct.filter("n_tokens IS NULL").select("digest", "doc_id")
     missing = shared.written(missing)
     # Equal ids may stand on unequal texts: the digest is part of the key, and one of equal rows is enough.
-    chosen = rows.select("doc_id", digest, "text").join(missing, ["doc_id", "digest"])
+    texts = rows.select("doc_id", digest, "text")
+    chosen = texts.join(missing, ["doc_id", "digest"])
+    # A text that stands only in rows without id has no id to be named by: one row of each such text.
+    unnamed = texts.filter("doc_id IS NULL").dropDuplicates(["digest"])
+    unnamed = unnamed.join(missing.filter("doc_id IS NULL").select("digest"), "digest")
+    chosen = chosen.unionByName(unnamed.select(*chosen.columns))
     fresh = shared.written(counted(chosen, path, pattern).dropDuplicates(["digest"]))
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
     answers = fresh if answers is None else answers.unionByName(fresh)
     sizes = rows.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
-    out = sizes.join(answers, "digest")
+    # Every text has an answer by now; should one be missing, the query fails instead of dropping the row.
+    found = F.coalesce(F.col("n_tokens"), F.raise_error(F.lit("a text without a token count")).cast("long"))
+    out = sizes.join(answers, "digest", "left").withColumn("n_tokens", found)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

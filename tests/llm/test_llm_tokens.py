@@ -141,3 +141,15 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert after.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert after.count() == after.select("digest").distinct().count()
     assert token_counts.stored(spark, marked, "another version").count() == 0
+
+
+def test_texts_that_stand_only_under_null_ids_are_counted(spark, tokenizer, tmp_path):
+    """Once as misses, once as hits, and with a hit of another text beside them."""
+    texts = [(None, "only without an id"), (None, "only without an id"), (None, "also without one"), (None, None), (1, "with an id"), (None, "with an id")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    want = sorted((str(i), len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False))) for i, t in texts)
+    cache = str(tmp_path / "cache")
+    count(spark, docs.filter("text = 'also without one'"), cache)
+    for _ in range(2):
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in count(spark, docs, cache).collect()) == want
+        assert spark.read.parquet(cache).count() == 4
