@@ -39,8 +39,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose tokens are raked to the target shares of sources, languages and topics."""
-    return mixing.sampled(docs)
+    """A sample of documents whose tokens, without weights, have the target shares of sources, languages and topics.
+
+    It is the largest that can have them: the value that is rarest against its target keeps all its documents.
+    """
+    return mixing.sampled(docs, unweighted=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Iterative proportional fitting: the tokens of each (source, language, topic) cell are scaled in turn so that their sums
 by source, by language and by topic meet the targets, round after round. The scaled share of a cell over its own share is
 the factor of its documents; a document is kept with probability ``min(1, rate * factor)`` and carries the weight
-``factor / probability``, so that weighted tokens of the sample meet the targets on average. The draw is a hash of the
+``factor / probability``, so that weighted tokens of the sample meet the targets on average. Where weights cannot be passed
+on, ``bounded`` gives probabilities with which the bare tokens of the sample meet them. The draw is a hash of the
 document's id, so it repeats.
 
 Targets are shares of the observed tokens raised to a power: 1 leaves a marginal as it is, 0 makes it uniform over the
@@ -24,6 +25,8 @@ from rillstone.llm import shared
 
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 ROUNDS = 8
+TRIALS = 8
+CLOSE = 0.01
 SPACES = " \t\n\u000b\f\r"
 
 
@@ -55,12 +58,8 @@ TOPIC_SQL = """CASE WHEN contains(lower(t), 'licensed under') OR contains(lower(
       WHEN (length(t) - length(translate(t, '0123456789', ''))) * 50 > length(t) THEN 'figures' ELSE 'prose' END"""
 
 
-def raked(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (the names in ``powers`` and ``tokens``) with ``factor``; cells without tokens are left out.
-
-    What is summed by value are cells, at most one for each combination of values, never documents. Every few rounds
-    are written to the shared folder, so plans stay short.
-    """
+def _raked(cells: DataFrame, powers: dict[str, float], rounds: int) -> tuple[DataFrame, int]:
+    """``cells`` with the goals of their values and ``factor``, and the tokens of all cells."""
     def summed(by: list[str]) -> Column:
         return F.sum("share").over(Window.partitionBy(*by))
 
@@ -77,7 +76,58 @@ def raked(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROU
             cells = cells.withColumn("share", F.col("share") * (F.col(f"goal_{name}") / summed([name])))
         if k % 4 == 3 or k == rounds - 1:
             cells = shared.checkpointed(cells)
-    return cells.select(*powers, "tokens", (F.col("share") * F.lit(total) / F.col("tokens")).alias("factor"))
+    goals = [f"goal_{name}" for name in powers]
+    return cells.select(*powers, *goals, "tokens", (F.col("share") * F.lit(total) / F.col("tokens")).alias("factor")), total
+
+
+def raked(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (the names in ``powers`` and ``tokens``) with ``factor``; cells without tokens are left out.
+
+    What is summed by value are cells, at most one for each combination of values, never documents. Every few rounds
+    are written to the shared folder, so plans stay short.
+    """
+    return _raked(cells, powers, rounds)[0].select(*powers, "tokens", "factor")
+
+
+def bounded(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` with ``probability``: the shares of a sample without weights meet the targets on average.
+
+    A value with the share s and the target g lets no sample keep more than s / g of all tokens. ``TRIALS`` shares to keep,
+    from the one at which no factor is above 1 up to the least s / g, are raked at the same time under the bound
+    ``probability <= 1``: a step scales the cells of a value by the number that brings the sum of ``min(1, scaled)`` to
+    the goal. Of the shares whose sums all come within ``CLOSE`` of their goals the largest is taken; if none does (targets
+    that contradict each other), the one that comes closest.
+    """
+    cells, total = _raked(cells.withColumn("tokens", F.col("tokens").cast("long")), powers, rounds)
+    cells = shared.checkpointed(cells)
+    bounds = [F.sum("tokens").over(Window.partitionBy(name)) / (F.col(f"goal_{name}") * F.lit(float(total or 1))) for name in powers]
+    largest, most = cells.select("factor", F.least(*bounds).alias("bound")).agg(F.max("factor"), F.min("bound")).first()
+    if largest is None:
+        return cells.select(*powers, F.lit(1.0).alias("probability"))
+    least = min(1.0, 1 / largest)
+    rates = [least * (max(least, most) / least) ** (k / (TRIALS - 1)) for k in range(TRIALS)]
+    cells = cells.select("*", F.posexplode(F.array(*map(F.lit, rates))).alias("trial", "rate"))
+    cells = cells.withColumn("scaled", F.col("rate") * F.col("factor"))
+
+    def aim(name: str) -> Column:
+        return F.col("rate") * F.col(f"goal_{name}") * F.lit(float(total))
+
+    for k in range(rounds):
+        for name in powers:
+            value = Window.partitionBy("trial", name)
+            smaller = value.orderBy("scaled", *powers).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            # With the larger cells kept whole, the others need this factor; the largest such number is the right one.
+            whole = F.sum("tokens").over(value) - F.sum("tokens").over(smaller)
+            scale = F.try_divide(aim(name) - whole, F.sum(F.col("tokens") * F.col("scaled")).over(smaller))
+            cells = cells.withColumn("_scale", scale).withColumn("scaled", F.col("scaled") * F.max("_scale").over(value))
+        if k % 2 == 1 or k == rounds - 1:
+            cells = shared.checkpointed(cells.drop("_scale"))
+    cells = cells.withColumn("probability", F.least(F.lit(1.0), "scaled"))
+    kept = F.col("tokens") * F.col("probability")
+    missed = [F.abs(F.sum(kept).over(Window.partitionBy("trial", name)) / aim(name) - 1) for name in powers]
+    errors = dict(cells.select("trial", F.greatest(*missed).alias("missed")).groupBy("trial").agg(F.max("missed")).collect())
+    best = max(k for k, missed_by in errors.items() if missed_by <= max(CLOSE, min(errors.values())))
+    return cells.filter(F.col("trial") == best).select(*powers, "probability")
 
 
 def draw(key: Column, seed: str) -> Column:
@@ -102,14 +152,23 @@ def mixed(docs: DataFrame, rate: float = 1.0, seed: str = "mix", powers: dict[st
     )
 
 
-def sampled(docs: DataFrame, rate: float = 1.0, seed: str = "mix", powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. The cell of a row, not its id, decides its probability."""
+def sampled(
+    docs: DataFrame, rate: float = 1.0, seed: str = "mix", powers: dict[str, float] = POWERS, rounds: int = ROUNDS, unweighted: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. The cell of a row, not its id, decides its probability.
+
+    The rows are those that ``mixed`` keeps, and need its weights. With ``unweighted`` the probabilities are those of
+    ``bounded`` (times ``rate``, at most 1), so that the kept rows meet the targets as they are.
+    """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in ("source", "lang")]
     cell = [named[0].alias("source"), named[1].alias("lang"), topic(F.col("text")).alias("topic")]
     cells = docs.select(*cell, n_words(F.col("text")).alias("n")).groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
-    factors = raked(cells, powers, rounds)
+    if unweighted:
+        limits, p = bounded(cells, powers, rounds), min(1.0, rate) * F.col("probability")
+    else:
+        limits, p = raked(cells, powers, rounds), F.least(F.lit(1.0), rate * F.col("factor"))
     # Cells are few, but not bounded; their draw limits come back by a join on the cell, whose large values AQE splits.
-    limits = factors.select(F.struct("source", "lang", "topic").alias("_cell"), F.least(F.lit(1.0), rate * F.col("factor")).alias("_p"))
+    limits = limits.select(F.struct("source", "lang", "topic").alias("_cell"), p.alias("_p"))
     marked = docs.withColumn("_cell", F.struct(*cell)).join(shared.written(limits), "_cell", "left")
     return marked.filter(draw(F.col("doc_id"), seed) < F.coalesce("_p", F.lit(1.0))).select(*docs.columns)
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from check import compare, connect
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpora  # noqa: E402
@@ -108,6 +109,52 @@ def test_mixing_of_odd_rows(spark):
     assert kept.count() == sum(r.kept for r in rows)
 
 
+def test_kept_tokens_of_the_mixing_stage_meet_the_targets(spark):
+    """Without weights, and with factors above 1: the stage passes on nothing but documents."""
+    rnd = random.Random(8)
+    says = {"prose": "plain words", "legal": "all rights reserved", "contact": "write a@b"}
+    rows = []
+    for i in range(12_000):
+        source, lang = rnd.choices(["hot", "s1", "s2"], [90, 7, 3])[0], rnd.choices(["en", "de", None], [70, 25, 5])[0]
+        text = " ".join([says[rnd.choices(list(says), [93, 5, 2])[0]], *["w"] * rnd.randrange(20)])
+        rows.append((i, text, lang, source, len(text)))
+    docs = spark.createDataFrame(rows, corpora.SCHEMA).repartition(4)
+
+    def shares(frame):
+        parts = frame.select("source", F.coalesce("lang", F.lit("none")).alias("lang"), mixing.topic(F.col("text")).alias("topic"), mixing.n_words(F.col("text")).alias("n"))
+        found = {}
+        for r in parts.collect():
+            for name in mixing.POWERS:
+                found[name, r[name]] = found.get((name, r[name]), 0) + r.n
+        return {k: v / sum(x for o, x in found.items() if o[0] == k[0]) for k, v in found.items()}, sum(v for k, v in found.items() if k[0] == "topic")
+
+    (before, n_before), (after, n_after) = shares(docs), shares(corpus_pipeline.mix(spark, docs, ""))
+    raised = {k: v ** mixing.POWERS[k[0]] for k, v in before.items()}
+    target = {k: v / sum(x for o, x in raised.items() if o[0] == k[0]) for k, v in raised.items()}
+    assert min(before[k] / target[k] for k in target) < 0.5, "some factors are above 1"
+    assert all(abs(after[k] - target[k]) < 0.015 for k in target), {k: (before[k], after[k], target[k]) for k in target}
+    assert n_after / n_before == pytest.approx(min(before[k] / target[k] for k in target), rel=0.05), "no more is lost than must be"
+
+
+def test_bounded_probabilities_meet_every_target(spark):
+    rnd = random.Random(3)
+    cells = [(f"s{a}", f"l{b}", f"t{c}", rnd.randrange(1, 1000) * (500 if a + b == 0 else 1)) for a in range(6) for b in range(3) for c in range(4)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint").repartition(4)
+    factors = mixing.raked(frame).agg(F.max("factor")).first()[0]
+    p = {(r.source, r.lang, r.topic): r.probability for r in mixing.bounded(frame).collect()}
+    assert len(p) == len(cells) and all(0 < x <= 1 for x in p.values())
+    kept = sum(c[3] * p[c[:3]] for c in cells)
+    assert kept > 1.1 * sum(c[3] for c in cells) / factors, "more than with the rate that fits the largest factor"
+    for at in range(3):
+        tokens, found = {}, {}
+        for c in cells:
+            tokens[c[at]] = tokens.get(c[at], 0) + c[3]
+            found[c[at]] = found.get(c[at], 0) + c[3] * p[c[:3]] / kept
+        whole = sum(v**0.7 for v in tokens.values())
+        assert all(found[k] == pytest.approx(v**0.7 / whole, rel=0.03) for k, v in tokens.items())
+    assert mixing.bounded(frame.filter("false")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tiny):
     docs, out = spark.read.parquet(f"{tiny}/documents.parquet"), []
