@@ -112,12 +112,14 @@ def version_of(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
-    """Counts in the cache for one tokenizer version, one for each digest; None before anything was written."""
+def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """Counts in the cache for one tokenizer version, one for each digest; no rows before anything was written."""
     try:
         rows = spark.read.schema(CACHE).parquet(cache)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], CACHE)
     return rows.filter(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
@@ -130,13 +132,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, cache: str, limit: in
     # One document for each distinct text; row numbers would need an order, so a document is named by its id.
     distinct = rows.select("doc_id", digest).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     known = stored(spark, cache, version)
-    answers = None
-    if known is None:
-        missing = distinct
-    else:
-        distinct = shared.checkpointed(distinct.join(known, "digest", "left"))
-        answers = distinct.filter("n_tokens IS NOT NULL").select("digest", "n_tokens")
-        missing = distinct.filter("n_tokens IS NULL").select("digest", "doc_id")
+    distinct = shared.checkpointed(distinct.join(known, "digest", "left"))
+    answers = distinct.filter("n_tokens IS NOT NULL").select("digest", "n_tokens")
+    missing = distinct.filter("n_tokens IS NULL").select("digest", "doc_id")
     missing = shared.written(missing)
     # Equal ids may stand on unequal texts: the digest is part of the key, and one of equal rows is enough.
     texts = rows.select("doc_id", digest, "text")
@@ -147,7 +145,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, cache: str, limit: in
     chosen = chosen.unionByName(unnamed.select(*chosen.columns))
     fresh = shared.written(counted(chosen, path, pattern).dropDuplicates(["digest"]))
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    answers = fresh if answers is None else answers.unionByName(fresh)
+    answers = answers.unionByName(fresh)
     sizes = rows.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
     # Every text has an answer by now; should one be missing, the query fails instead of dropping the row.
     found = F.coalesce(F.col("n_tokens"), F.raise_error(F.lit("a text without a token count")).cast("long"))

@@ -153,3 +153,14 @@ def test_texts_that_stand_only_under_null_ids_are_counted(spark, tokenizer, tmp_
     for _ in range(2):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in count(spark, docs, cache).collect()) == want
         assert spark.read.parquet(cache).count() == 4
+
+
+def test_query_has_hits_and_misses(spark, tiny, monkeypatch):
+    known, encoded, stored, counted = [], [], token_counts.stored, token_counts.counted
+    monkeypatch.setattr(token_counts, "stored", lambda *a: known.append(stored(*a)) or known[-1])
+    monkeypatch.setattr(token_counts, "counted", lambda texts, *a: encoded.append(texts.select("digest").distinct().count()) or counted(texts, *a))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert catalog.op4_digest_cache(spark, tiny).count() == docs.count()
+    even, every = docs.filter("doc_id % 2 = 0").select("text").distinct().count(), docs.select("text").distinct().count()
+    assert encoded == [even, every - even] and 0 < even < every
+    assert known[0].count() == 0
