@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import backoff, bpe, graph_search, mixing, ngram_join, outliers, resampling, substrings, token_counts, toxicity
+from rillstone.llm import backoff, bpe, graph_search, mixing, ngram_join, outliers, resampling, spelling, substrings, token_counts, toxicity
 from rillstone.llm.statements import statements
 
 __all__ = ["queries", "statements"]
@@ -71,6 +71,10 @@ def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digits(mixing.mixed(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -83,4 +87,5 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_backoff_scores": op9_backoff_scores,
         "op10_raked_mixing": op10_raked_mixing,
+        "op11_spelling_variants": op11_spelling_variants,
     }

