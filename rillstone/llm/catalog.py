@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import backoff, bpe, graph_search, mixing, ngram_join, outliers, resampling, spelling, substrings, token_counts, toxicity
+from rillstone.llm import backoff, bpe, graph_search, licenses, mixing, ngram_join, outliers, resampling, spelling, substrings, token_counts, toxicity
 from rillstone.llm.statements import statements
 
 __all__ = ["queries", "statements"]
@@ -75,6 +75,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -88,4 +92,5 @@ def queries() -> dict[str, Query]:
         "op9_backoff_scores": op9_backoff_scores,
         "op10_raked_mixing": op10_raked_mixing,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_license_diagonals": op12_license_diagonals,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillstone.llm import mixing
+from rillstone.llm import licenses, mixing
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWERED = f"translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}')"
@@ -80,10 +80,11 @@ def _checksums(table: str, out: str) -> str:
 
 SPELLING_VARIANTS = f"""WITH RECURSIVE r AS MATERIALIZED (
   SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n
-  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
 ), {_checksums("r", "hashed")}, v AS MATERIALIZED (
-  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
-  FROM r JOIN hashed USING (s) GROUP BY ALL HAVING length(word) >= 7 AND sum(n) >= 2
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+    FROM r JOIN hashed USING (s)) GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2
 ), cut AS MATERIALIZED (
   SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM v)
 ), near AS MATERIALIZED (
@@ -99,6 +100,38 @@ SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0)::B
 FROM v LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)"""
 
 
+def _scan() -> str:
+    """Places of the templates' runs, merged by diagonal, as plain joins on the words themselves."""
+    templates = [*licenses.PHRASES, *licenses.NOTICES]
+    rows = ", ".join(f"({n}, {n < len(licenses.PHRASES)}, '{t.label}', string_split('{t.words}', ' '), {t.k}, {t.shift}, {t.least}::DOUBLE)" for n, t in enumerate(templates))
+    return f"""WITH t(template, base, label, ws, k, shift, least) AS MATERIALIZED (VALUES {rows}
+), g AS MATERIALIZED (SELECT *, array_to_string(ws[j + 1 : j + k], ' ') AS gram FROM (SELECT *, unnest(generate_series(0, len(ws) - k)) AS j FROM t)
+), l AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), places AS MATERIALIZED (SELECT doc_id, ws, unnest(generate_series(0, len(ws) - 1)) AS i FROM l
+), votes AS MATERIALIZED (
+  SELECT DISTINCT doc_id, template, base, label, len(g.ws) AS size, g.k, shift, least, i, j, i - j AS diagonal
+  FROM (SELECT doc_id, i, k, array_to_string(ws[i + 1 : i + k], ' ') AS gram FROM places, (SELECT DISTINCT k FROM t)) JOIN g USING (gram, k)
+), parted AS (
+  SELECT *, sum(CASE WHEN diagonal - before <= shift THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal, i) AS span
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, i) AS before FROM votes)
+), sizes AS (
+  SELECT doc_id, template, span, count(DISTINCT w) AS covered
+  FROM (SELECT doc_id, template, span, unnest(generate_series(j, j + k - 1)) AS w FROM parted) GROUP BY ALL
+), spans AS (
+  SELECT doc_id, template, span, any_value(base) AS base, any_value(label) AS label, min(i) AS f, max(i + k) AS e, any_value(size) AS size,
+    any_value(least) AS least FROM parted GROUP BY doc_id, template, span
+), judged AS (
+  SELECT *, covered / size AS score, covered / size >= least AND e - f <= {licenses.STRETCH} * size AS good FROM spans JOIN sizes USING (doc_id, template, span)
+), found AS (
+  SELECT doc_id, count(*) FILTER (base AND good) AS n_base, min(f) FILTER (base AND good) AS first_word, max(f) FILTER (base AND good) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base AND good)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (good)), ',') AS labels, max(score) AS score
+  FROM judged GROUP BY doc_id)
+SELECT l.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM l LEFT JOIN found USING (doc_id)"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op6_ngram_jaccard": NGRAM_JACCARD,
@@ -106,4 +139,5 @@ def statements() -> dict[str, str]:
         "op9_backoff_scores": BACKOFF_SCORES,
         "op10_raked_mixing": mixing.statement(),
         "op11_spelling_variants": SPELLING_VARIANTS,
+        "op12_license_diagonals": _scan(),
     }
