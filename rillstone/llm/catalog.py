@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import backoff, bpe, graph_search, licenses, mixing, ngram_join, outliers, resampling, spelling, substrings, token_counts, toxicity
+from rillstone.llm import backoff, bpe, graph_search, licenses, mixing, ngram_join, outliers, repair, resampling, spelling, substrings, token_counts, toxicity
 from rillstone.llm.statements import statements
 
 __all__ = ["queries", "statements"]
@@ -79,6 +79,10 @@ def op12_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -93,4 +97,5 @@ def queries() -> dict[str, Query]:
         "op10_raked_mixing": op10_raked_mixing,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_license_diagonals": op12_license_diagonals,
+        "op13_conversation_repair": op13_conversation_repair,
     }
