@@ -6,6 +6,8 @@ walks the trie of the vocabulary and, where a token ends, may go back to the roo
 it. ``Transducer`` determinises it as bytes come in: a state is the set of live paths, as the tokens not yet given out
 and the place in the trie; a token goes out once all live paths agree on it, which takes a bounded lookahead. States
 and steps are kept in a table that is emptied when it is full, so its size is bounded and its content has no effect.
+Pieces are kept with their ids in decimals and their decoded bytes, in two generations: a full one becomes the older one,
+and what is met again moves to the younger one.
 
 Decoding. ``Utf8Stream`` takes tokens as they come and gives out text. Bytes of an unfinished code point wait in a
 state machine; ill-formed bytes become U+FFFD, as ``bytes.decode(errors="replace")`` has it.
@@ -20,6 +22,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from rillstone.llm.splitting import Splitter, tiktoken_class
 
 ROOT = 0
+TOKENS, DECIMALS, BYTES = (itemgetter(k) for k in range(3))
 Path = tuple[tuple[int, ...], int]
 
 
@@ -106,8 +110,9 @@ class Vocabulary:
 class Transducer:
     """Bytes in, tokens out; determinised as it goes, with at most ``max_states`` states at a time."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 120_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000) -> None:
         self.vocabulary, self.max_states = vocabulary, max_states
+        self.neighbours: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -115,7 +120,8 @@ class Transducer:
         self.number = {start: 0}
         self.states = [start]
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.neighbours: dict[int, bool] = {}
+        if len(self.neighbours) > self.max_states:
+            self.neighbours.clear()
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         (paths, given), vocabulary = self.states[state], self.vocabulary
@@ -171,21 +177,29 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Tokens of pieces, kept for short pieces until the table is full; a whole piece that is a token is that token."""
+    """``(tokens, their ids with a comma after each, their bytes)`` of pieces; short ones are kept.
+
+    A whole piece that is a token is that token. Once ``limit`` pieces are held they become the older generation, of which only
+    what is met again is kept on.
+    """
 
-    def __init__(self, ids: dict[bytes, int], limit: int = 400_000) -> None:
-        self.ids, self.limit = ids, limit
+    def __init__(self, ids: dict[bytes, int], limit: int = 250_000) -> None:
+        self.ids, self.limit, self.older = ids, limit, {}
         self.transducer = Transducer(Vocabulary(ids))
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ids.get(data)
-        tokens = (whole,) if whole is not None else tuple(self.transducer.encode(data))
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        entry = self.older.pop(piece, None)
+        if entry is None:
+            data = piece.encode()
+            whole = self.ids.get(data)
+            tokens = (whole,) if whole is not None else tuple(self.transducer.encode(data))
+            entry = (tokens, b"%d," * len(tokens) % tokens, b"".join(map(self.transducer.vocabulary.bytes_of.__getitem__, tokens)))
         if len(piece) <= 48:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = tokens
-        return tokens
+            self[piece] = entry
+        return entry
 
 
 class Encoder:
@@ -196,12 +210,17 @@ class Encoder:
 
     def stream(self, text: str, batch: int = 65_536) -> Iterator[list[int]]:
         """Runs of tokens, each from at most ``batch`` pieces."""
-        tokens_of = self.pieces.__getitem__
+        for entries in self.entries(text, batch):
+            yield list(chain.from_iterable(map(TOKENS, entries)))
+
+    def entries(self, text: str, batch: int = 65_536) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
+        """Runs of at most ``batch`` pieces, as the table of pieces has them."""
+        entry_of = self.pieces.__getitem__
         if len(text) <= batch:
-            yield list(chain.from_iterable(map(tokens_of, self.splitter.pieces(text))))
+            yield list(map(entry_of, self.splitter.pieces(text)))
             return
         found = self.splitter.stream(text)
-        while part := list(chain.from_iterable(map(tokens_of, islice(found, batch)))):
+        while part := list(map(entry_of, islice(found, batch))):
             yield part
 
 
@@ -230,7 +249,10 @@ class Utf8Stream:
         self.bytes_of, self.waiting = bytes_of, b""
 
     def push(self, tokens: Iterable[int]) -> str:
-        data = self.waiting + b"".join(map(self.bytes_of.__getitem__, tokens))
+        return self.push_bytes(b"".join(map(self.bytes_of.__getitem__, tokens)))
+
+    def push_bytes(self, data: bytes) -> str:
+        data = self.waiting + data
         done = len(data) - self._unfinished(data)
         self.waiting = data[done:]
         return data[:done].decode("utf-8", "replace")
@@ -304,7 +326,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, bytes_of = encoder(path, pattern)
-        decimal = {i: str(i) for i in bytes_of}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -312,10 +333,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 for text in part["text"].to_pylist():
                     n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
                     stream = Utf8Stream(bytes_of)
-                    for tokens in found.stream(text or ""):
-                        ids.update((("," if n and tokens else "") + ",".join(map(decimal.__getitem__, tokens))).encode())
-                        n += len(tokens)
-                        back.update(stream.push(tokens).encode())
+                    for entries in found.entries(text or ""):
+                        decimals = b"".join(map(DECIMALS, entries))
+                        ids.update((b"," if n and decimals else b"") + decimals[:-1])
+                        n += decimals.count(b",")
+                        back.update(stream.push_bytes(b"".join(map(BYTES, entries))).encode())
                     back.update(stream.end().encode())
                     counts.append(n)
                     ids_digests.append(ids.hexdigest())
