@@ -9,8 +9,8 @@ Counts of buckets are added up inside each task first, so what is shuffled does
 is found through counts of the sums' 2^-``BITS`` steps: only the rows of one step are ranked.
 
 Cases: null and empty texts have no n-grams and importance 0; a null label is no label; without target texts all
-importances are 0; equal rows (same id and text) get equal sums, and ties go to smaller ids, then to any of equal rows; an
-empty table gives no rows; other columns are not read.
+importances are 0; equal rows (same id and text) get equal sums and are counted before they are ranked; ties go to
+smaller ids; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from rillstone.llm import shared, words
 BUCKETS = 10_000
 LENGTH = 100
 BITS = 12
+TARGETS = 50_000
+"""The target model is fitted on so many labelled texts at most."""
+COPIES = 1000
 U64 = np.uint64
 
 
@@ -110,20 +113,32 @@ def top_share(rows: DataFrame, share: float) -> DataFrame:
             above += row.n
         else:
             return rows.withColumn("kept", F.lit(True)).drop("_step")
+    # Equal rows of the step are counted first, so what is put in order is as long as the step has different rows.
     edge = rows.filter(F.col("_step") == low[0])
-    ranked = edge.withColumn("_rank", F.row_number().over(Window.partitionBy("_step").orderBy(F.desc("key"), "doc_id")))
-    ranked = ranked.withColumn("kept", F.col("_rank") <= need - above).drop("_rank")
+    names = [c for c in edge.columns if c != "_step"]
+    kinds = edge.groupBy(*names, "_step").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_step").orderBy(F.desc("key"), *[c for c in names if c != "key"])
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kinds = kinds.withColumn("_keep", F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(need - above) - upto + F.col("_n"))))
+    parts = F.array(F.struct(F.lit(True).alias("kept"), F.col("_keep").alias("_n")), F.struct(F.lit(False).alias("kept"), (F.col("_n") - F.col("_keep")).alias("_n")))
+    ranked = kinds.select(*names, F.inline(parts)).filter("_n > 0")
+    # In two steps, so that no array is as long as a row has copies.
+    ranked = ranked.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES))).alias("_k"))
+    times = F.least(F.lit(COPIES), F.col("_n") - F.col("_k") * COPIES).cast("int")
+    ranked = ranked.select(*names, "kept", F.explode(F.array_repeat(F.lit(1), times)).alias("_one")).drop("_one")
     rest = rows.filter(F.col("_step") != low[0]).withColumn("kept", F.col("_step") > low[0])
-    return rest.unionByName(ranked).drop("_step")
+    return rest.drop("_step").unionByName(ranked)
 
 
-def resampled(docs: DataFrame, target_ids: DataFrame, share: float = 0.85, seed: int = 7) -> DataFrame:
-    """``doc_id, n_grams, importance, key, kept``; ``target_ids`` has the ``doc_id`` of the target texts, once each.
+def resampled(docs: DataFrame, target_ids: DataFrame, share: float = 0.85, seed: int = 7, targets: int = TARGETS) -> DataFrame:
+    """``doc_id, n_grams, importance, key, kept``; ``target_ids`` has the ``doc_id`` of the target texts.
 
-    Target texts come from ``docs``: ids are joined, and the larger side is shuffled by id.
+    Target texts come from ``docs``. The target model is fitted on ``targets`` labelled ids at most, by hash of the id, so that
+    they can be broadcast and no text is shuffled; the model of all texts has no such bound.
     """
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(targets).withColumn("target", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left")
     ratio = ratios(rows.select(F.coalesce("target", F.lit(False)).alias("target"), "text"))
     scores = importances(docs, ratio).withColumn("key", F.col("importance") + gumbel(F.col("doc_id"), seed))
     return top_share(shared.written(scores), share)
