@@ -111,14 +111,16 @@ def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = all_runs.join(same, ["low", "span"], "left")
     whole = placed.filter("doc_id > first").select("doc_id", "row", "start", "n")
     open_runs = placed.filter("first IS NULL OR doc_id = first")
-    wanted = open_runs.groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "start", "n")).alias("wanted"))
-    windows = _windows_of(known.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted"), length)
+    # Sets and not lists, and one row of equal ones: copies of a row neither add entries nor windows.
+    wanted = open_runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "start", "n")).alias("wanted"))
+    asked = known.join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    windows = _windows_of(asked.select("doc_id", "row", "text", "wanted"), length)
     counted = windows.groupBy("low", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b"))
     counted = shared.written(counted.filter("first < b").select("low", "window", "first"))
     single = windows.join(counted, ["low", "window"]).filter("doc_id > first")
     single = single.select("doc_id", "row", "start", F.lit(1).alias("n"))
     cuts = whole.unionByName(single)
-    return cuts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    return cuts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
 
 
 def merged(cuts: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
