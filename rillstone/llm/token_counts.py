@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, cache: str, limit: in
     missing = shared.written(missing)
     # Equal ids may stand on unequal texts: the digest is part of the key, and one of equal rows is enough.
     texts = rows.select("doc_id", digest, "text")
-    chosen = texts.join(missing, ["doc_id", "digest"])
+    chosen = texts.join(missing, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     # A text that stands only in rows without id has no id to be named by: one row of each such text.
     unnamed = texts.filter("doc_id IS NULL").dropDuplicates(["digest"])
     unnamed = unnamed.join(missing.filter("doc_id IS NULL").select("digest"), "digest")
