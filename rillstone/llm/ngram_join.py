@@ -2,8 +2,8 @@
 
 Two documents link if the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` / 100.
 
-1. *Sets.* One pass gives each document's number of shingles and a 128-bit digest of its set, and a table of 2^18 counters
-   of all shingles. Documents with equal sets are one class and need no comparison.
+1. *Sets.* One pass gives each document's number of shingles and a 128-bit digest of its set, and a table of counters
+   of all shingles, one for 64 shingles, 2^24 at most (16 MB of levels in each task). Documents with equal sets are one class and need no comparison.
 2. *Orders.* An order sorts shingles by the level of their counter, so that frequent ones come last, and then by a hash
    of the order's own. Of n shingles the first ``n - ceil(percent n / 100) + 1`` are the prefix: linked sets share a prefix
    shingle under every order.
@@ -34,15 +34,23 @@ from pyspark.sql.window import Window
 from rillstone.llm import shared, words
 from rillstone.llm.components import components
 
-COUNTERS = 1 << 18
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 24
+SHINGLES_PER_COUNTER = 64
+CHARS_PER_WORD = 6
 ORDERS = (0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142)
 HEADS = 2
 """A document is compared with so many of the smallest documents of its prefix shingles; the second step has the rest."""
 U64 = np.uint64
 
 
-def counter(tokens: np.ndarray) -> np.ndarray:
-    return (words.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(46)).astype(np.int64)
+def counters(chars: int) -> int:
+    """How many counters a corpus of so many characters gets: a power of two that follows its number of shingles."""
+    wanted = chars // CHARS_PER_WORD // SHINGLES_PER_COUNTER
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(wanted - 1, 0).bit_length()))
+
+
+def counter(tokens: np.ndarray, size: int) -> np.ndarray:
+    return (words.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(65 - size.bit_length())).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -56,31 +64,32 @@ def prefix(tokens: np.ndarray, order: int, level: np.ndarray, percent: int) -> n
     """The first tokens of a set under an order; as many as a linked set cannot do without."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
-    key = (words.mix(tokens ^ U64(order)) >> U64(6)) | (level[counter(tokens)].astype(U64) << U64(58))
+    key = (words.mix(tokens ^ U64(order)) >> U64(6)) | (level[counter(tokens, len(level))].astype(U64) << U64(58))
     return tokens if size >= n else tokens[np.argpartition(key, size - 1)[:size]]
 
 
-def _sets(rows: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, width: int, size: int) -> DataFrame:
     """One row for each text (``doc_id, n, a, b``), and after each task its counters (``a`` counter, ``n`` count)."""
     schema = "kind tinyint, doc_id bigint, n bigint, a bigint, b bigint"
     names = ["kind", "doc_id", "n", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(size, np.uint32)
         for batch in batches:
             for at, stop, texts in words.documents(batch["text"], lower=True):
                 sets = [words.shingles(h, width) for h in texts]
                 n = np.array([len(s) for s in sets], np.int64)
                 a = np.array([words.mix(s).sum() for s in sets], U64)
                 b = np.array([words.mix(s ^ U64(ORDERS[1])).sum() for s in sets], U64)
-                counts += np.bincount(counter(np.concatenate(sets)), minlength=COUNTERS)
+                met, times = np.unique(counter(np.concatenate(sets), size), return_counts=True)
+                counts[met] += times.astype(np.uint32)
                 columns = [pa.array(np.zeros(len(n), np.int8)), batch["doc_id"].slice(at, stop - at)]
                 columns += [pa.array(x) for x in (n, a.view(np.int64), b.view(np.int64))]
                 yield pa.record_batch(columns, names)
         used = np.flatnonzero(counts)
         if len(used):
             none = pa.nulls(len(used), pa.int64())
-            yield pa.record_batch([pa.array(np.ones(len(used), np.int8)), none, pa.array(counts[used]), pa.array(used), none], names)
+            yield pa.record_batch([pa.array(np.ones(len(used), np.int8)), none, pa.array(counts[used].astype(np.int64)), pa.array(used), none], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -110,8 +119,11 @@ def _prefixes(rows: DataFrame, width: int, percent: int, level) -> DataFrame:  #
 
 def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level) -> DataFrame:  # noqa: ANN001
     """Those of ``pairs`` (``a, b``) whose texts link."""
-    left = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+
+    def held(side: str) -> DataFrame:
+        """The different texts of the documents on one side: of equal rows, one."""
+        own = rows.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"), F.xxhash64("text").alias("row"))
+        return own.join(pairs.select(side).distinct(), side, "left_semi").dropDuplicates([side, "row"]).drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
@@ -131,7 +143,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level)
                 ahead = ahead[stop - at :]
             yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    texts = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "text_a", "text_b")
     return texts.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -139,10 +151,11 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     """``doc_id, n_shingles, component_id`` of each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = shared.written(_sets(rows, width))
-    counts = np.zeros(COUNTERS)
-    for row in sets.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).collect():
-        counts[row.a] = row.n
+    size = counters(rows.agg(F.sum(F.length("text"))).first()[0] or 0)
+    sets = shared.written(_sets(rows, width, size))
+    counts = np.zeros(size)
+    for batch in sets.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[batch["a"].to_numpy()] = batch["n"].to_numpy()
     level = spark.sparkContext.broadcast(levels(counts))
     sizes = sets.filter("kind = 0").select("doc_id", "n", "a", "b")
 
