@@ -3,7 +3,7 @@
 Vectors get one more component that brings all to the same length, so that nearness by angle, by distance and by inner
 product with a query are the same. A graph is built in batches: a greedy beam search on the graph so far proposes
 neighbours of the new points, relaxed pruning keeps those that no kept one is ``ALPHA`` times nearer to, and the reverse
-edges are pruned in the same way. Queries search every shard with a beam, in blocks; the best of all shards are merged.
+edges are pruned in the same way. Queries search every shard with a beam, in groups; the best of all shards are merged.
 
 Equal vectors are one point with the ``k + 1`` smallest ids that hold it, which is all that ``k`` neighbours of a query can
 need; equal queries are searched once. The score of a neighbour is computed anew in double precision, ties go to the
@@ -33,6 +33,7 @@ ALPHA = 1.2
 SHARD_ROWS = 20_000
 LEAST_SHARDS = 8
 QUERY_BLOCK = 256
+QUERY_GROUP = 16_384
 
 
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -136,7 +137,7 @@ def _with(points: np.ndarray, which: np.ndarray, pool: np.ndarray, degree: int,
 
 def _packed(column: pa.Array, width: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def _graphs(width: int, longest: float):  # noqa: ANN202
@@ -152,23 +153,28 @@ def _graphs(width: int, longest: float):  # noqa: ANN202
 
 
 def _search(width: int, longest: float, k: int, beam: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, width)
-                links = np.frombuffer(row["links"], np.int32).reshape(len(ids), -1)
-                asked = np.array(row["asked"], np.int64)
-                wanted = np.array(row["wanted"], np.float32).reshape(-1, width)
-                flat = np.hstack([wanted, np.zeros((len(wanted), 1), np.float32)])
-                found = beam_search(lifted(vectors, longest), links, row["entry"], flat, max(beam, k))
-                exact = (vectors[found].astype(np.float64) * wanted.astype(np.float64)[:, None]).sum(2)
+    def run(key: tuple, graph: pa.Table, queries: pa.Table) -> pa.Table:
+        """A group of queries on one graph, in blocks; the search is in single precision, scores and their order in double."""
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked, wanted = queries["asked"].to_numpy(), _packed(queries["wanted"], width)
+        for row in graph.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
+            links = np.frombuffer(row["links"], np.int32).reshape(len(ids), -1)
+            points = lifted(vectors, longest)
+            for at in range(0, len(asked), QUERY_BLOCK):
+                own = wanted[at : at + QUERY_BLOCK]
+                flat = np.hstack([own, np.zeros((len(own), 1))]).astype(np.float32)
+                found = beam_search(points, links, row["entry"], flat, max(beam, k))
+                exact = (vectors[found] * own[:, None]).sum(2)
                 exact[found < 0] = -np.inf
                 order = np.lexsort((np.where(found < 0, 0, ids[found]), -exact), 1)[:, :k]
                 found, exact = np.take_along_axis(found, order, 1), np.take_along_axis(exact, order, 1)
                 real = found >= 0
-                query = np.repeat(asked[:, None], found.shape[1], 1)
-                yield pa.record_batch([pa.array(query[real]), pa.array(ids[found[real]]), pa.array(exact[real])], ["asked", "point", "score"])
+                query = np.repeat(asked[at : at + QUERY_BLOCK, None], found.shape[1], 1)
+                parts.append((query[real], ids[found[real]], exact[real]))
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        return pa.table(dict(zip(("asked", "point", "score"), map(np.concatenate, zip(*(parts or none))))))
 
     return run
 
@@ -178,7 +184,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BE
 
     ``table`` has ``vec_id, embedding``, ``queries`` has ``vec_id``. A query is never its own neighbour.
     """
-    vector = F.col("embedding").cast("array<float>")
+    vector = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     finite = "forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     rows = rows.filter(f"vec_id IS NOT NULL AND size(vector) > 0 AND {finite} AND exists(vector, x -> x <> 0)")
@@ -187,7 +193,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BE
     if width is None:
         return table.sparkSession.createDataFrame([], result)
     width = width.width
-    rows = rows.filter(F.size("vector") == width).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
+    rows = rows.filter(F.size("vector") == width).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     rows = shared.written(rows.distinct())
     # The smallest ids of each vector: first of each part of its rows, then of what the parts have left.
     part = Window.partitionBy("vector", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
@@ -204,12 +210,14 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BE
     asking = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id")
     asking = shared.written(asking.join(points.select("vector", "point"), "vector").select("vec_id", "point"))
     wanted = points.join(asking.select("point").distinct(), "point", "left_semi").select("point", "vector")
-    blocks = wanted.groupBy(F.pmod(F.xxhash64("point"), F.lit(size.n // 20 // QUERY_BLOCK + 1)).alias("block")).agg(
-        F.collect_list("point").alias("asked"), F.flatten(F.collect_list("vector")).alias("wanted")
-    )
-    blocks = blocks.select("block", "asked", "wanted", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = blocks.join(graphs, "shard").repartition(2 * shards, "shard", "block")
-    found = pairs.select("entry", "ids", "vectors", "links", "asked", "wanted").mapInArrow(
+    wanted = shared.written(wanted)
+    # A graph travels once for each group of queries, and not for each block; a group of a graph is one task's work.
+    groups = wanted.count() // QUERY_GROUP + 1
+    group = F.pmod(F.xxhash64("point"), F.lit(groups)).cast("int").alias("group")
+    each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = wanted.select(F.col("point").alias("asked"), F.col("vector").alias("wanted"), group, each_shard)
+    graphs = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    found = graphs.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInArrow(
         _search(width, size.longest, k + 1, beam), "asked long, point long, score double"
     )
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "point")
