@@ -73,7 +73,7 @@ def test_every_order_keeps_links():
     """Linked sets share a prefix shingle under each order."""
     import numpy as np
 
-    rnd, level = np.random.default_rng(4), np.zeros(ngram_join.COUNTERS, np.uint8)
+    rnd, level = np.random.default_rng(4), np.zeros(ngram_join.counters(0), np.uint8)
     for n in [1, 2, 3, 4, 7, 20, 101]:
         a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
         changed = n // 8

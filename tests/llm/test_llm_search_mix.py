@@ -63,7 +63,7 @@ def test_search_with_equal_and_odd_vectors(spark):
     found = {}
     for r in graph_search.neighbours(table, table.filter("vec_id % 20 = 0")).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
-    ids, vectors = [r[0] for r in good], np.float32([r[1] for r in good]).astype(float)
+    ids, vectors = [r[0] for r in good], np.array([r[1] for r in good], float)
     assert set(found) == {i for i in ids if i % 20 == 0}
     for query, got in found.items():
         assert [g[1] for g in sorted(got)] == [w[0] for w in nearest(ids, vectors, query)]
