@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillstone.operators.linear_road import (
+    ACCIDENT_SEGMENTS,
     CAR_THRESHOLD,
     LAV_MINUTES,
     LAV_THRESHOLD,
@@ -24,6 +25,8 @@ from rillstone.operators.linear_road import (
 )
 
 LATENESS = "60 seconds"
+# A vehicle's segment is kept for so many seconds of event time without a report.
+IDLE = 6 * 3600
 # Event time of second 0. A stream starts with the watermark at 1970, and rows at the watermark are late.
 ROAD_START = 946_684_800
 STAY = "minute int, xway int, direction int, segment int, first_seq long, speed_sum long, n long"
@@ -113,8 +116,9 @@ def last_average_speed(speeds: DataFrame, minutes: int = LAV_MINUTES) -> DataFra
     )
     end = F.floor((F.unix_seconds(F.col("w.end")) - ROAD_START) / 60)
     return sums.filter(F.col("last") == end).select(
-        (F.col("last") + 1).cast("int").alias("minute"), *SEGMENT, F.expr("cast(s div n as int)").alias("lav")
-    )
+        (F.col("last") + 1).cast("int").alias("minute"), *SEGMENT, F.expr("cast(s div n as int)").alias("lav"),
+        F.window_time("w").alias("event_time"),
+    )
 
 
 def count_vehicles(positions: DataFrame, threshold: int = CAR_THRESHOLD) -> DataFrame:
@@ -123,34 +127,50 @@ def count_vehicles(positions: DataFrame, threshold: int = CAR_THRESHOLD) -> Data
         F.count(F.lit(1)).cast("int").alias("count")
     )
     minute = (F.floor((F.unix_seconds(F.col("w.start")) - ROAD_START) / 60) + 1).cast("int")
-    return cells.filter(F.col("count") > threshold).select(minute.alias("minute"), *SEGMENT, "count")
+    return cells.filter(F.col("count") > threshold).select(minute.alias("minute"), *SEGMENT, "count", F.window_time("w").alias("event_time"))
 
 
 class SegmentEntries(StatefulProcessor):
-    """Reports whose segment differs from the vehicle's report before."""
+    """Reports whose segment differs from the vehicle's report before.
+
+    A vehicle that does not report for ``idle`` seconds of event time is forgotten: its next report is an entry.
+    """
+
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.segment = handle.getValueState("segment", "segment int")
+        self.handle = handle
+        self.segment = handle.getValueState("segment", "segment int, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         reports = pd.concat(list(rows)).sort_values("seq")
         before = reports["segment"].shift()
+        seen = reports["event_time"].astype("datetime64[ms]").astype("int64")
+        last = seen.shift()
         if self.segment.exists():
-            before.iloc[0] = self.segment.get()[0]
-        self.segment.update((int(reports["segment"].iloc[-1]),))
-        entered = reports[reports["segment"] != before]
+            before.iloc[0], last.iloc[0] = self.segment.get()
+        self.segment.update((int(reports["segment"].iloc[-1]), int(seen.iloc[-1])))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(seen.max()), timerValues.getCurrentWatermarkInMs()) + self.idle * 1000)
+        entered = reports[(reports["segment"] != before) | (seen - last > self.idle * 1000)]
         if len(entered):
             yield entered
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.segment.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def segment_changes(positions: DataFrame) -> DataFrame:
-    """Reports off the exit lane with which a vehicle enters a segment."""
+def segment_changes(positions: DataFrame, idle: int = IDLE) -> DataFrame:
+    """Reports off the exit lane with which a vehicle enters a segment; see :class:`SegmentEntries` for ``idle``."""
     driving = positions.filter(~on_exit_lane()).select("seq", "vid", "minute", *SEGMENT, "event_time")
     return driving.groupBy("vid").transformWithStateInPandas(
-        statefulProcessor=SegmentEntries(),
+        statefulProcessor=SegmentEntries(idle),
         outputStructType="seq long, vid int, minute int, xway int, direction smallint, segment smallint, "
         "event_time timestamp",
         outputMode="Append",
@@ -177,3 +197,100 @@ def assess_tolls(
     lav_value = F.coalesce("lav", F.lit(0))
     toll = toll_formula(lav_value, F.coalesce("cars", F.lit(0)), lav_threshold, car_threshold)
     return joined.select("seq", "vid", lav_value.cast("int").alias("speed"), toll.alias("toll"))
+
+
+def with_accident_time(accidents: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Accidents (``minute`` and segment) with the end of their minute as event time, and the watermark."""
+    end = F.timestamp_seconds(F.col("minute") * 60 + ROAD_START)
+    return accidents.withColumn("event_time", end).withWatermark("event_time", lateness)
+
+
+def blocked_segments(accidents: DataFrame) -> DataFrame:
+    """Segments and minutes without tolls, each once: an accident blocks its segment and the four before it in the next minute."""
+    step = F.when(F.col("direction") == 0, F.lit(-1)).otherwise(F.lit(1))
+    segment = F.col("segment").cast("int")
+    reach = F.sequence(segment, segment + step * ACCIDENT_SEGMENTS, step).cast("array<smallint>")
+    minute = (F.col("minute") + 1).cast("int").alias("minute")
+    spread = accidents.select(minute, "xway", "direction", F.explode(reach).alias("segment"), "event_time")
+    return spread.dropDuplicates(["minute", *SEGMENT, "event_time"])
+
+
+def _in_minute(entries: DataFrame, state: DataFrame, *values: str) -> DataFrame:
+    """``entries`` with the state of their minute and segment, null where there is none.
+
+    The state of a minute has a time from one microsecond before its start on. So an entry waits until the watermark has passed
+    it: by then the state of its minute is final, and only then it goes on without a partner.
+    """
+    right = state.select(*[F.col(c).alias(f"_{c}") for c in ("minute", *SEGMENT)], *values, F.col("event_time").alias("_time"))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("minute", *SEGMENT)]
+    same += [F.col("event_time") >= F.col("_time"), F.col("event_time") <= F.col("_time") + F.expr("interval 60 seconds")]
+    on = same[0]
+    for more in same[1:]:
+        on = on & more
+    return entries.join(right, on, "left_outer").drop(*[f"_{c}" for c in ("minute", *SEGMENT)], "_time")
+
+
+def tolls(
+    positions: DataFrame,
+    accidents: DataFrame | None = None,
+    lav_threshold: int = LAV_THRESHOLD,
+    car_threshold: int = CAR_THRESHOLD,
+    idle: int = IDLE,
+) -> DataFrame:
+    """Toll notifications end to end from one stream of reports, and one of accidents if there is one.
+
+    ``seq vid speed toll event_time`` for each segment a vehicle enters, once the watermark has passed the entry. Nothing is read
+    but the streams: LAV and counts are windows over the same reports, and meet the entries in outer joins with a time
+    range. An accident that comes late, but within the watermark, still waives the tolls it should.
+    """
+    entries = segment_changes(positions, idle)
+    rated = _in_minute(entries, last_average_speed(average_speed(positions)), "lav")
+    counts = count_vehicles(positions, car_threshold).withColumns({"minute": (F.col("minute") + 1).cast("int"), "cars": F.col("count")})
+    rated = _in_minute(rated, counts, "cars")
+    blocked = F.lit(False)
+    if accidents is not None:
+        rated = _in_minute(rated, blocked_segments(accidents).withColumn("blocked", F.lit(True)), "blocked")
+        blocked = F.coalesce("blocked", F.lit(False))
+    lav = F.coalesce("lav", F.lit(0))
+    due = toll_formula(lav, F.coalesce("cars", F.lit(0)), lav_threshold, car_threshold)
+    return rated.select("seq", "vid", lav.cast("int").alias("speed"), F.when(blocked, 0).otherwise(due).cast("int").alias("toll"), "event_time")
+
+
+class OwedToll(StatefulProcessor):
+    """The toll a vehicle owes: its last one, cleared by a zero toll or by an exit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owed = handle.getValueState("owed", "seq long, toll int")
+        self.latest = handle.getValueState("latest", "seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Of all batches of rows only the last message counts.
+        seq, toll = max(max(zip(part["seq"], part["toll"])) for part in rows)
+        if self.latest.exists() and self.latest.get()[0] > seq:
+            return
+        self.latest.update((int(seq),))
+        if toll > 0:
+            self.owed.update((int(seq), int(toll)))
+        elif self.owed.exists():
+            self.owed.clear()
+        else:
+            return
+        yield pd.DataFrame({"vid": [int(key[0])], "seq": [int(seq)], "toll": [int(toll)]})
+
+    def close(self) -> None:
+        pass
+
+
+def last_toll(messages: DataFrame) -> DataFrame:
+    """``vid seq toll`` whenever the toll that a vehicle owes changes; 0 when it owes nothing any more (update mode).
+
+    ``messages`` are tolls (``vid seq toll``) and exits, which are tolls of 0: see :func:`exits`.
+    """
+    return messages.select("vid", "seq", "toll").groupBy("vid").transformWithStateInPandas(
+        statefulProcessor=OwedToll(), outputStructType="vid int, seq long, toll int", outputMode="Update", timeMode="None"
+    )
+
+
+def exits(positions: DataFrame) -> DataFrame:
+    """Reports on the exit lane as messages for :func:`last_toll`."""
+    return positions.filter(on_exit_lane()).select("vid", "seq", F.lit(0).alias("toll"))
