@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rillstone.functions.decay import block_seconds, global_average, rate_constant
-from rillstone.operators.voip import BETA, BETA_24, pre_rcr
+from rillstone.functions.decay import AVERAGE_AGE, WARM_UP, block_seconds, global_average, rate_constant
+from rillstone.operators.voip import BETA, BETA_24, acd_score, fofir_score, pre_rcr, total_score, url_score
 
 LATENESS = "10 minutes"
+# Seconds for which a caller's callee stays known; a multiple of it is never the time of another timer.
+CALLEE_MEMORY = 90 * 86_400
 RATES = "answer_ts long, ecr double, ecr24 double, encr double, ct24 double"
 
 
@@ -29,20 +31,36 @@ def with_event_time(calls: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 class CallerRates(StatefulProcessor):
-    """Known callees and decayed rates of one caller. Rates without weight left are dropped by a timer."""
+    """Known callees and decayed rates of one caller.
+
+    A callee is known if the caller has called it in the ``memory`` seconds before, by answer time; after that it is new
+    again. Two kinds of timers bound the state: one drops rates without weight, one at each multiple of ``memory`` drops
+    callees that are no longer known.
+    """
+
+    def __init__(self, memory: int) -> None:
+        self.memory = memory
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.callees = handle.getMapState("callees", "callee string", "known boolean")
+        self.callees = handle.getMapState("callees", "callee string", "seen long")
         self.rates = handle.getValueState("rates", RATES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows)).sort_values("call_id")
-        first = ~calls.duplicated("callee")
-        known = [bool(self.callees.containsKey((c,))) if f else True for c, f in zip(calls["callee"], first)]
-        for callee in calls["callee"][[not k for k in known]]:
-            self.callees.updateValue((callee,), (True,))
-        calls["new_callee"] = [not k for k in known]
+        # One look-up and one update for each callee of the batch; within it, the call before tells.
+        at, by_callee = calls["answer_ts"].astype("int64"), calls.groupby("callee", sort=False)["answer_ts"]
+        before, latest = by_callee.shift(), by_callee.cummax().astype("int64")
+        first, last = before.isna(), ~calls.duplicated("callee", keep="last")
+        seen = {c: self.callees.getValue((c,))[0] for c in calls["callee"][first] if self.callees.containsKey((c,))}
+        kept = calls["callee"].map(seen).astype("float64")
+        highest = pd.concat([by_callee.cummax().groupby(calls["callee"]).shift(), kept], axis=1).max(axis=1)
+        calls["new_callee"] = ~(highest >= at - self.memory)
+        for callee, ts in zip(calls["callee"][last], latest[last]):
+            self.callees.updateValue((callee,), (max(int(ts), seen.get(callee, 0)),))
+        sweep = self.memory * 1000
+        now = max(int(at.max()) * 1000, timerValues.getCurrentWatermarkInMs())
+        self.handle.registerTimer((now // sweep + 1) * sweep)
         calls = calls[calls["established"]].sort_values(["answer_ts", "call_id"])
         if not len(calls):
             return
@@ -57,27 +75,40 @@ class CallerRates(StatefulProcessor):
             encr, ct24 = encr * keep + (fast * late if new else 0.0), ct24 * keep24 + (slow * late24 * duration if new else 0.0)
             out.append((ecr, ecr24, encr if new else math.nan, ct24 if new else math.nan))
         self.rates.update((t, ecr, ecr24, encr, ct24))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((t + block_seconds(BETA_24)) * 1000)
+        for timer in list(self.handle.listTimers()):
+            if timer % sweep:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer((t + block_seconds(BETA_24)) * 1000 + 1)
         features = pd.DataFrame(out, columns=["ecr", "ecr24", "encr", "ct24"], index=calls.index)
         yield pd.concat([calls[["call_id", "caller", "answer_ts", "new_callee"]], features, calls[["event_time"]]], axis=1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.rates.clear()
+        at, sweep = expiredTimerInfo.getExpiryTimeInMs(), self.memory * 1000
+        if at % sweep:
+            self.rates.clear()
+            return iter(())
+        pairs = [(key_of[0], seen[0]) for key_of, seen in self.callees.iterator()]
+        gone = [callee for callee, seen in pairs if seen + self.memory < at // 1000]
+        for callee in gone:
+            self.callees.removeKey((callee,))
+        if len(gone) < len(pairs):
+            self.handle.registerTimer(at + sweep)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def caller_features(calls: DataFrame) -> DataFrame:
-    """Established calls with ``new_callee`` and the caller's rates; encr and ct24 are NaN on other calls."""
+def caller_features(calls: DataFrame, memory: int = CALLEE_MEMORY) -> DataFrame:
+    """Established calls with ``new_callee`` and the caller's rates; encr and ct24 are NaN on other calls.
+
+    A callee is known for ``memory`` seconds, see :class:`CallerRates`.
+    """
     return (
         calls.select("call_id", "caller", "callee", "answer_ts", "duration", "established", "event_time")
         .groupBy("caller")
         .transformWithStateInPandas(
-            statefulProcessor=CallerRates(),
+            statefulProcessor=CallerRates(memory),
             outputStructType="call_id long, caller string, answer_ts long, new_callee boolean, ecr double, ecr24 double, "
             "encr double, ct24 double, event_time timestamp",
             outputMode="Append",
@@ -135,10 +166,98 @@ def rcr(calls: DataFrame) -> DataFrame:
 
 def rated_calls(calls: DataFrame) -> DataFrame:
     """Established calls with the caller's rates and the received rate, joined by call and time."""
-    received = rcr(calls).withColumnsRenamed({"call_id": "_id", "event_time": "_time"})
-    features = caller_features(calls)
+    return _joined(caller_features(calls), rcr(calls))
+
+
+class GlobalAverage(StatefulProcessor):
+    """Moving average over all calls in order of answer time and ``call_id``.
+
+    Calls wait in a list until the watermark has passed their time, so late ones within it still take their place; what
+    is released together is put in order, and the average goes on from one number. One instance sees every call,
+    as an average of all calls in their order must, but of each only three numbers, and of no batch more than one.
+    """
+
+    def __init__(self, age: float) -> None:
+        self.decay = 2.0 / (age + 1.0)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.average = handle.getValueState("average", "state double")
+        self.waiting = handle.getListState("waiting", "call_id long, duration double, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            at = part["event_time"].astype("datetime64[ms]").astype("int64")
+            self.waiting.appendList(list(zip(part["call_id"].astype("int64").tolist(), part["duration"].astype("float64").tolist(), at.tolist())))
+        return self._released(timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._released(timerValues.getCurrentWatermarkInMs())
+
+    def _released(self, watermark: int) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["call_id", "duration", "at"])
+        ready = held["at"] <= watermark
+        rest = held[~ready]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(rest):
+            self.handle.registerTimer(int(rest["at"].min()))
+        if not ready.any():
+            return
+        if len(rest):
+            self.waiting.put(list(rest.itertuples(index=False, name=None)))
+        else:
+            self.waiting.clear()
+        due = held[ready].sort_values(["at", "call_id"])
+        state, out = self.average.get()[0] if self.average.exists() else 0.0, []
+        for x in due["duration"]:
+            if state < WARM_UP:
+                state += x
+            elif state == WARM_UP:
+                state = state / WARM_UP
+            else:
+                state = x * self.decay + state * (1.0 - self.decay)
+            out.append(state if state > WARM_UP else 0.0)
+        self.average.update((float(state),))
+        yield pd.DataFrame({"call_id": due["call_id"].to_numpy(), "global_acd": out, "event_time": pd.to_datetime(due["at"].to_numpy(), unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def global_acd(calls: DataFrame, age: float = AVERAGE_AGE) -> DataFrame:
+    """``call_id global_acd event_time`` of every call, once the watermark has passed it."""
+    slim = calls.select(F.lit(0).alias("all"), "call_id", F.col("duration").cast("double").alias("duration"), "event_time")
+    return slim.groupBy("all").transformWithStateInPandas(
+        statefulProcessor=GlobalAverage(age), outputStructType="call_id long, global_acd double, event_time timestamp",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="event_time",
+    )
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one call from both sides, whose state goes once the watermark has passed the call."""
+    right = right.withColumnsRenamed({"call_id": "_id", "event_time": "_time"})
     same = (F.col("call_id") == F.col("_id")) & (F.col("event_time") == F.col("_time"))
-    return features.join(received, same).drop("_id", "_time")
+    return left.join(right, same).drop("_id", "_time")
+
+
+def scores(calls: DataFrame, memory: int = CALLEE_MEMORY) -> DataFrame:
+    """``call_id caller answer_ts fofir url acd score event_time`` of established calls to new callees, end to end.
+
+    Rates, received rates and the average of all calls are three stateful operators over one stream, joined by call and
+    time; a score comes out once the watermark has passed its call. Scores that are not numbers are left out.
+    """
+    new = caller_features(calls, memory).filter("new_callee")
+    rated = _joined(_joined(new, rcr(calls)), global_acd(calls))
+    ratios = rated.select(
+        "call_id", "caller", "answer_ts",
+        fofir_score(F.col("ecr"), F.col("rcr")).alias("fofir"),
+        url_score(F.col("encr"), F.col("ecr")).alias("url"),
+        acd_score(F.col("ct24"), F.col("ecr24"), F.col("global_acd")).alias("acd"),
+        "event_time",
+    )
+    value = total_score(F.col("fofir"), F.col("url"), F.col("acd"))
+    return ratios.withColumn("score", value).filter(~F.isnan("score"))
 
 
 class GlobalAverageSink:
