@@ -181,6 +181,16 @@ def relative_deviation(value: str) -> Column:
     return F.when(F.avg(value) > 0, F.stddev_pop(value) / F.avg(value))
 
 
+def exact_sum(value: str = "value") -> Column:
+    """Sum to nine decimals that does not depend on the order of the rows; values that are not finite are left out."""
+    return F.sum(F.col(value).try_cast("decimal(28,9)")).cast("double")
+
+
+def exact_mean(value: str = "value") -> Column:
+    """Mean by :func:`exact_sum`; null without values."""
+    return F.try_divide(exact_sum(value), F.count(F.col(value).try_cast("decimal(28,9)")))
+
+
 def two_level(
     samples: DataFrame,
     parameter: str,
@@ -190,17 +200,17 @@ def two_level(
     name: str | None = None,
     samples_of_node: Column | None = None,
 ) -> DataFrame:
-    """``samples_of_node`` per node and repetition, then ``nodes`` over the nodes of the repetition; both default to means."""
+    """``samples_of_node`` per node and repetition, then ``nodes`` over the nodes of the repetition; both default to exact means."""
     groups = ["parameter", "variant", "rep", *(["spe"] if spe else []), *by]
-    first = F.avg("value") if samples_of_node is None else samples_of_node
+    first = exact_mean() if samples_of_node is None else samples_of_node
     means = get(samples, parameter=parameter).groupBy(*groups, "node").agg(first.alias("value"))
-    out = means.groupBy(*groups).agg((F.avg("value") if nodes is None else nodes).alias("value"))
+    out = means.groupBy(*groups).agg((exact_mean() if nodes is None else nodes).alias("value"))
     return out if name is None else out.withColumn("parameter", F.lit(name))
 
 
 def two_level_sum(samples: DataFrame, parameter: str, by: Sequence[str] = ("rate",)) -> DataFrame:
     """Sum of the node means; null only if all of them are missing."""
-    return two_level(samples, parameter, by, F.sum("value"))
+    return two_level(samples, parameter, by, exact_sum())
 
 
 def max_node(samples: DataFrame, parameter: str, name: str, by: Sequence[str] = ("rate",)) -> DataFrame:

@@ -63,6 +63,22 @@ def malformed_positions(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.filter(kind.isNull() | ((kind == 0) & broken))
 
 
+def sorted_positions(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Every line once, with its ``outcome``: ``kept`` (fields set), ``malformed`` or ``other`` (another type; both with null fields).
+
+    One parse gives what :func:`parse_positions` keeps and :func:`malformed_positions` sets aside.
+    """
+    parts = F.split(line, ",")
+    kind = _field(parts, 0, "smallint", "permissive")
+    fields = {n: _field(parts, i, t, "permissive") for i, (n, t) in enumerate(POSITION_FIELDS)}
+    broken = reduce(lambda a, b: a | b, [c.isNull() for c in fields.values()])
+    outcome = F.when(kind.isNull() | ((kind == 0) & broken), "malformed").when(kind == 0, "kept").otherwise("other")
+    rows = lines.withColumn("_parsed", F.struct(outcome.alias("outcome"), *[c.alias(n) for n, c in fields.items()]))
+    is_kept = F.col("_parsed.outcome") == "kept"
+    out = [F.when(is_kept, F.col(f"_parsed.{n}")).alias(n) for n in fields]
+    return rows.select(*lines.columns, F.col("_parsed.outcome").alias("outcome"), *out).withColumn("minute", minute_of("time"))
+
+
 def _call_fields(line: str, mode: str) -> list[Column]:
     parts = F.split(line, ",")
     to_time = F.to_timestamp if mode == "failfast" else F.try_to_timestamp

@@ -110,6 +110,35 @@ def summary(
     return joined.select(name, "samples", "total", "mean", "p0", *SUMMARY, "p100")
 
 
+SKETCH_K = 400
+"""Size of a sketch; the rank of a quantile is off by under 1 % then, with high probability."""
+
+
+def sketched(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys samples sum least most sketch``: what of the samples can be merged later, in a few kilobytes for each group.
+
+    Written per second and name it replaces the raw samples: see :func:`merged_summary`.
+    """
+    number = F.col(value).cast("double")
+    return samples.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(value).alias("samples"), F.sum(number).alias("sum"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.kll_sketch_agg_double(number, F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def merged_summary(sketches: DataFrame, name: str) -> DataFrame:
+    """:func:`summary` of all groups of :func:`sketched` with the same name, without their samples.
+
+    Counts, mean and extremes are exact; percentiles are values whose rank is within 1 % of the exact one.
+    """
+    merged = sketches.groupBy(name).agg(
+        F.sum("samples").alias("samples"), (F.sum("sum") / F.sum("samples")).alias("mean"), F.min("least").alias("p0"), F.max("most").alias("p100"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("_sketch"),
+    )
+    percentiles = [F.kll_sketch_get_quantile_double("_sketch", F.lit(p)).alias(c) for c, p in SUMMARY.items()]
+    return merged.select(name, "samples", "mean", "p0", *percentiles, "p100")
+
+
 def summary_json(summaries: DataFrame, name: str) -> DataFrame:
     """Each summary as the JSON text the original writes to a file."""
     labels = {"samples": "samples", "total": "total", "mean": "mean", "p0": "0", **{p: p[1:] for p in SUMMARY}, "p100": "100"}

@@ -368,9 +368,14 @@ def _trimmed(table: str) -> str:
   SELECT * REPLACE (CASE WHEN t < floor(last * 0.3::DOUBLE) OR t > ceil(last - last * 0.2::DOUBLE) THEN NULL ELSE value END AS value) FROM lasts)"""
 
 
+# Sums to nine decimals, in any order.
+SUM = "CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE)"
+MEAN = f"{SUM} / count(value)"
+
+
 def _nodes(table: str, parameter: str, aggregate: str, more: str = "") -> str:
     return f"""SELECT parameter, variant, rep, {more} rate, {aggregate} AS value FROM (
-  SELECT parameter, variant, rep, {more} rate, node, sum(value) / count(value) AS value FROM {table}
+  SELECT parameter, variant, rep, {more} rate, node, {MEAN} AS value FROM {table}
   WHERE parameter = '{parameter}' GROUP BY ALL) GROUP BY parameter, variant, rep, {more} rate"""
 
 
@@ -416,8 +421,8 @@ FROM shifted""",
     CASE WHEN parameter = 'latency-raw' THEN value / 1000
          WHEN variant = 'CUSTOM-FCFS' AND parameter IN ('throughput', 'sink-throughput') THEN value / 30 ELSE value END AS value
   FROM trimmed)
-{_nodes('ready', 'throughput', r('sum(value)', 4))}
-UNION ALL {_nodes('ready', 'latency', r('avg(value)', 4))}
+{_nodes('ready', 'throughput', r(SUM, 4))}
+UNION ALL {_nodes('ready', 'latency', r(MEAN, 4))}
 UNION ALL SELECT 'max-latency' AS parameter, * EXCLUDE (parameter) FROM ({_nodes('ready', 'latency', r('max(value)', 4))})""",
     ),
     "ana_latency_percentiles": _with(
@@ -428,13 +433,13 @@ UNION ALL SELECT 'max-latency' AS parameter, * EXCLUDE (parameter) FROM ({_nodes
   UNION ALL SELECT experiment, rate, variant, 'latency-sampled-p999', {_interpolated(0.999)} FROM lists)
 SELECT experiment, rate, variant, parameter, CAST(1 AS INT) AS rep, 'default' AS node, CAST(1 AS INT) AS t, {r('value', 4)} AS value FROM both_p""",
     ),
-    "ana_two_level_mean": _with(MET, _nodes("m", "latency", r("avg(value)", 4))),
-    "ana_two_level_sum": _with(MET + _trimmed("m"), _nodes("trimmed", "throughput", r("sum(value)", 4))),
+    "ana_two_level_mean": _with(MET, _nodes("m", "latency", r(MEAN, 4))),
+    "ana_two_level_sum": _with(MET + _trimmed("m"), _nodes("trimmed", "throughput", r(SUM, 4))),
     "ana_two_level_spe": _with(
         MET,
         f""", named AS (SELECT * REPLACE (CASE WHEN rep = 2 THEN 'taskmanager.a' ELSE node END AS node),
   CASE WHEN rep = 2 THEN 'Flink' ELSE 'Storm' END AS spe FROM m)
-{_nodes('named', 'throughput', r('avg(value)', 4), 'spe,')}""",
+{_nodes('named', 'throughput', r(MEAN, 4), 'spe,')}""",
     ),
     "ana_max_latency": _with(
         MET,
