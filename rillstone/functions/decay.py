@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.lineage import saved
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, union_all, with_carry
+from rillstone.functions.piecewise import Map, average_of, composed, value_at
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, with_carry
 
 # A weight of e^-68 is no weight: it is below the precision of a sum.
 NO_WEIGHT = 68
-ARRAY_ENTRIES = 1024
 
 # Fixed values of the average: age 86400 samples, warm-up level 10.
 AVERAGE_AGE = 86_400.0
 WARM_UP = 10.0
 
-SAFE = 2 * WARM_UP
-MAX_PARTS = 16
+# Blocks of the moving average that one task combines.
+SPAN = 256
+MAP_COLUMNS = "_blk long, lo array<double>, slope array<double>, add array<double>"
 
 
 def rate_constant(beta: float) -> float:
@@ -161,50 +163,53 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
-def affine_carries(blocks: DataFrame, levels: int = 2) -> DataFrame:
-    """State at the start of each block, for blocks that map the state a to a * keep + add, from 0.
+def _map_of(row) -> Map:
+    return np.asarray(row.lo), np.asarray(row.slope), np.asarray(row.add)
 
-    ``blocks`` has the columns ``_blk keep add``. Runs of ``ARRAY_ENTRIES`` block numbers are combined into
-    one block of the level above, so no task holds more than that many entries except the last fold, which
-    sees one entry per ``ARRAY_ENTRIES ** levels`` blocks.
+
+def _map_row(blk: int, line: Map) -> pd.DataFrame:
+    return pd.DataFrame({"_blk": [blk], "lo": [line[0]], "slope": [line[1]], "add": [line[2]]})
+
+
+def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The map of a run of consecutive blocks, as the block ``_up`` of the level above."""
+    lines = [_map_of(row) for row in pdf.sort_values("_blk").itertuples()]
+    return _map_row(int(pdf["_up"].iloc[0]), reduce(composed, lines))
+
+
+def _through(blocks: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """The state before each block of a run that is entered with the state of ``before``."""
+    state, carries = float(before["carry"].iloc[0]), []
+    blocks = blocks.sort_values("_blk")
+    for row in blocks.itertuples():
+        carries.append(state)
+        state = value_at(_map_of(row), state)
+    return pd.DataFrame({"_blk": blocks["_blk"], "carry": carries})
+
+
+def block_starts(maps: DataFrame, start: float, span: int = SPAN, levels: int = 2) -> DataFrame:
+    """``_blk carry``: the state before each block, from the maps ``_blk lo slope add`` of the blocks.
+
+    Runs of ``span`` block numbers are combined into one block of the level above, so no task holds more than that
+    many maps, except the last fold, which sees one map for ``span ** levels`` blocks.
     """
-    entry = F.struct("_blk", "keep", "add")
-    start = F.lit(0.0)
-    if levels == 0:
-        grouped = blocks.groupBy().agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        grouped = grouped.withColumn("_in", start)
-    else:
-        upper = F.floor(F.col("_blk") / F.lit(ARRAY_ENTRIES)).cast("long")
-        grouped = blocks.groupBy(upper.alias("_up")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        summary = grouped.select(
-            F.col("_up").alias("_blk"),
-            F.aggregate("_entries", F.lit(1.0), lambda a, e: a * e["keep"]).alias("keep"),
-            F.aggregate("_entries", start, lambda a, e: a * e["keep"] + e["add"]).alias("add"),
-        )
-        inputs = affine_carries(summary, levels - 1).select(F.col("_blk").alias("_up"), F.col("carry").alias("_in"))
-        grouped = grouped.join(inputs, "_up")
-    empty = F.array().cast("array<struct<_blk:bigint,carry:double>>")
-    state = F.struct(F.col("_in").alias("a"), empty.alias("out"))
-    walked = F.aggregate(
-        "_entries",
-        state,
-        lambda s, e: F.struct(
-            (s["a"] * e["keep"] + e["add"]).alias("a"),
-            F.concat(s["out"], F.array(F.struct(e["_blk"].alias("_blk"), s["a"].alias("carry")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return grouped.select(F.inline(walked))
+    up = F.floor(F.col("_blk") / F.lit(span)).cast("long") if levels else F.lit(0).cast("long")
+    placed = maps.withColumn("_up", up)
+    if levels:
+        upper = placed.groupBy("_up").applyInPandas(_whole, MAP_COLUMNS)
+        entered = block_starts(upper, start, span, levels - 1).withColumnRenamed("_blk", "_up")
+        return placed.groupBy("_up").cogroup(entered.groupBy("_up")).applyInPandas(_through, "_blk long, carry double")
+    first = pd.DataFrame({"carry": [start]})
+    return placed.groupBy("_up").applyInPandas(lambda pdf: _through(pdf, first), "_blk long, carry double")
 
 
-def _literal_average(age: float, start: float):
-    """The average exactly as defined, sample by sample, for the few rows of the first block."""
-    decay = 2.0 / (age + 1.0)
+def _sample_by_sample(decay: float):
+    """The average exactly as defined, for the rows of one block."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seq")
-        state, out = start, []
-        for x in pdf["_x"]:
+        state, out = float(before["carry"].iloc[0]), []
+        for x in pdf["_x"].tolist():
             if state < WARM_UP:
                 state += x
             elif state == WARM_UP:
@@ -217,98 +222,39 @@ def _literal_average(age: float, start: float):
     return run
 
 
-def block_carries(blocks: DataFrame, state: float, max_blocks: int) -> tuple[DataFrame, bool]:
-    """State at the start of each block, given the state before the first one, and whether all stay warm.
-
-    The block table has one row per ``block_rows`` rows. Up to ``max_blocks`` of them are folded here and
-    handed on as a broadcast table, beyond that they are combined on the cluster. ``least`` is the lowest
-    state in a block that is entered with ``SAFE``; entered with more, the block stays above that.
-    """
-    spark = blocks.sparkSession
-    table = blocks.limit(max_blocks + 1).toArrow()
-    if table.num_rows > max_blocks:
-        seed = spark.createDataFrame([(-1, 0.0, state)], "_blk long, keep double, add double")
-        linear = blocks.select("_blk", "keep", "add")
-        return affine_carries(linear.unionByName(seed)).filter("_blk >= 0"), False
-    pdf = table.to_pandas().sort_values("_blk")
-    carries, warm = [], bool((pdf["least"] > WARM_UP).all())
-    for keep, add in zip(pdf["keep"], pdf["add"]):
-        carries.append(state)
-        warm = warm and state >= SAFE
-        state = state * keep + add
-    rows = pd.DataFrame({"_blk": pdf["_blk"].astype("int64").to_numpy(), "carry": pd.Series(carries, dtype="float64")})
-    return F.broadcast(spark.createDataFrame(rows, "_blk long, carry double")), warm
-
-
-def _linear_stretch(tail: DataFrame, decay: float, start: float, block_rows: int, max_blocks: int) -> tuple[DataFrame, bool]:
-    """``_seq _state`` of rows that follow the linear rule from the warm state ``start``, and whether all do."""
-    keep = math.log1p(-decay)
-    in_block = Window.partitionBy("_blk").orderBy("_seq")
-    tail = tail.withColumn("_blk", F.floor(F.col("_seq") / F.lit(block_rows)).cast("long"))
-    tail = tail.withColumn("_n", F.row_number().over(in_block).cast("double"))
-    rise = F.sum(F.col("_x") * decay * F.exp(-keep * F.col("_n"))).over(
-        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = tail.withColumn("_w", F.exp(keep * F.col("_n"))).withColumn("_local", F.col("_w") * rise)
-    blocks = local.groupBy("_blk").agg(
-        F.min("_w").alias("keep"),
-        F.max_by("_local", "_n").alias("add"),
-        F.min(F.col("_local") + F.col("_w") * SAFE).alias("least"),
-    )
-    carries, warm = block_carries(blocks, start, max_blocks)
-    state = (F.col("_local") + F.col("carry") * F.col("_w")).alias("_state")
-    return local.join(carries, "_blk").select("_seq", state), warm
-
-
 def global_average(
     df: DataFrame, seq: str, value: str, name: str = "average", age: float = AVERAGE_AGE,
-    block_rows: int = 1_048_576, head_rows: int = 65_536, max_blocks: int = 1_000_000,
-    start: float = 0.0, state: str | None = None,
+    block_rows: int = 4096, span: int = SPAN, start: float = 0.0, state: str | None = None,
 ) -> DataFrame:
     """Exponential moving average of ``value`` over all rows in ``seq`` order: columns ``seq`` and ``name``.
 
     Samples are added up until the sum reaches 10; a sum of exactly 10 turns into 1 and swallows the next
     sample; afterwards a <- x * d + a * (1 - d) with d = 2 / (age + 1). A state up to 10 reads as 0, and is
-    in the warm-up again. ``seq`` and the values are not negative. ``start`` is the state before the first
-    row; ``state`` names a column that tells the state after each row.
-
-    ``head_rows`` sequence numbers at a time follow that rule sample by sample until the state is warm. From
-    then on the rule is linear in the state, so blocks are summed independently and joined through their
-    summaries. Should the state fall back to 10, the rows from there on are done anew in the same way.
+    in the warm-up again. ``seq`` and the values are not negative; a null counts as 0. ``start`` is the state before the
+    first row; ``state`` names a column that tells the state after each row.
+
+    What a block of ``block_rows`` sequence numbers does to the state is a straight line by pieces, however often
+    it falls back into the warm-up. Blocks find their maps in parallel, the maps are combined by runs of ``span``,
+    and each block is walked from the state before it. Nothing runs while the DataFrame is built. A block has a few
+    pieces if the average stays warm, and up to one for each row if it is always about to fall back. A decayed state that
+    is 10 but for rounding may be taken for either side at the border of two blocks.
     """
     decay = 2.0 / (age + 1.0)
-    slim = df.select(F.col(seq).cast("long").alias("_seq"), F.col(value).cast("double").alias("_x"))
-    rest, parts = slim, []
-    low, high = slim.agg(F.min("_seq"), F.max("_seq")).first()
-    if low is None:
-        low = high = 0
-    while True:
-        # A border in terms of the sequence column reaches the scan as a pushed filter.
-        border = low + head_rows
-        head = (
-            rest.filter(F.col("_seq") < border)
-            .groupBy(F.lit(0).cast("long").alias("_blk"))
-            .applyInPandas(_literal_average(age, start), "_seq long, _state double")
-        )
-        parts.append(head)
-        tail = slim.filter(F.col("_seq") >= border)
-        if high < border:
-            break
-        start, rest = float(head.agg(F.max_by("_state", "_seq")).first()[0]), tail
-        if start > WARM_UP:
-            later, warm = _linear_stretch(tail, decay, start, block_rows, max_blocks)
-            cold = None if warm else later.filter(F.col("_state") <= WARM_UP).agg(F.min_by(F.struct("*"), "_seq")).first()[0]
-            if cold is None:
-                parts.append(later)
-                break
-            parts.append(later.filter(F.col("_seq") <= cold["_seq"]))
-            start, rest = cold["_state"], slim.filter(F.col("_seq") > cold["_seq"])
-            if cold["_seq"] == high:
-                break
-        low = rest.agg(F.min("_seq")).first()[0]
-        if len(parts) >= MAX_PARTS:
-            parts = [saved(union_all(parts))]
-    states = union_all(parts)
+    # Weights within a block stay above e^-8.
+    rows = min(block_rows, max(1, int(8 / -math.log1p(-decay)))) if decay < 1 else 1
+
+    def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_seq")["_x"].to_numpy()
+        return _map_row(int(pdf["_blk"].iloc[0]), average_of(x, decay, WARM_UP))
+
+    samples = df.select(
+        F.col(seq).cast("long").alias("_seq"),
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
+        F.floor(F.col(seq) / F.lit(rows)).cast("long").alias("_blk"),
+    )
+    by_block_number = samples.groupBy("_blk")
+    starts = block_starts(by_block_number.applyInPandas(block_map, MAP_COLUMNS), start, span)
+    states = by_block_number.cogroup(starts.groupBy("_blk")).applyInPandas(_sample_by_sample(decay), "_seq long, _state double")
     shown = F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state"))
     more = [F.col("_state").alias(state)] if state else []
     return states.select(F.col("_seq").alias(seq), shown.alias(name), *more)

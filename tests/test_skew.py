@@ -125,7 +125,7 @@ def literal_average(values, decay):
 
 
 @pytest.mark.parametrize("head", [[3, 7, 500], [0, 0, 4, 20], [10, 5, 9, 40], [1] * 30 + [50], [300]])
-@pytest.mark.parametrize("blocks", [{"head_rows": 64, "block_rows": 32}, {"head_rows": 64, "block_rows": 8, "max_blocks": 3}, {}])
+@pytest.mark.parametrize("blocks", [{"block_rows": 32}, {"block_rows": 8, "span": 3}, {}])
 def test_global_average(spark, head, blocks):
     draw = random.Random(5)
     values = head + [draw.randrange(20, 900) for _ in range(300)]
@@ -139,12 +139,12 @@ def test_global_average_of_nothing(spark):
     assert global_average(spark.createDataFrame([], "seq long, x int"), "seq", "x", "a").count() == 0
 
 
-@pytest.mark.parametrize("blocks", [{"block_rows": 1000}, {"block_rows": 1000, "max_blocks": 2}])
+@pytest.mark.parametrize("blocks", [{"block_rows": 1000}, {"block_rows": 700, "span": 2}])
 def test_global_average_that_cools_down(spark, blocks):
     draw = random.Random(8)
     values = [11] + [0] * 6000 + [draw.randrange(0, 3) for _ in range(9000)] + [400] * 10
     df = spark.createDataFrame(list(enumerate(values)), "seq long, x int")
-    got = [r["a"] for r in global_average(df, "seq", "x", "a", head_rows=3000, **blocks).orderBy("seq").collect()]
+    got = [r["a"] for r in global_average(df, "seq", "x", "a", **blocks).orderBy("seq").collect()]
     want = literal_average(values, 2 / 86401)
     assert sum(w == 0 for w in want) > 100 and len(got) == len(want)
     assert all(math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, want))
@@ -153,7 +153,7 @@ def test_global_average_that_cools_down(spark, blocks):
 def test_global_average_before_it_is_warm(spark):
     values = [0] * 500 + [5] + [0] * 500 + [1_000_000, 20, 30]
     df = spark.createDataFrame(list(enumerate(values)), "seq long, x int")
-    got = [r["a"] for r in global_average(df, "seq", "x", "a", head_rows=50).orderBy("seq").collect()]
+    got = [r["a"] for r in global_average(df, "seq", "x", "a", block_rows=50).orderBy("seq").collect()]
     want = literal_average(values, 2 / 86401)
     assert len(got) == len(want) and all(math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, want))
 

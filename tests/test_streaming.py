@@ -118,7 +118,7 @@ def test_rated_calls(spark, records, tmp_path):
 
 def test_global_average_sink(spark, records, tmp_path):
     calls, schema, path = records
-    sink = svs.GlobalAverageSink(str(tmp_path / "acd"), block_rows=64, head_rows=32)
+    sink = svs.GlobalAverageSink(str(tmp_path / "acd"), block_rows=64)
     query = read(spark, schema, path).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp"))
     query = query.trigger(availableNow=True).start()
     query.awaitTermination(240)
