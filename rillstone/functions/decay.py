@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,9 +20,10 @@ NO_WEIGHT = 68
 AVERAGE_AGE = 86_400.0
 WARM_UP = 10.0
 
-# Blocks of the moving average that one task combines.
+# Blocks of the moving average that one task combines, and the pieces a map may have.
 SPAN = 256
-MAP_COLUMNS = "_blk long, lo array<double>, slope array<double>, add array<double>"
+MOST_PIECES = 64
+PART_COLUMNS = "lo array<double>, slope array<double>, add array<double>, x array<double>"
 
 
 def rate_constant(beta: float) -> float:
@@ -163,63 +163,83 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
-def _map_of(row) -> Map:
-    return np.asarray(row.lo), np.asarray(row.slope), np.asarray(row.add)
+def _line_of(row) -> Map | None:
+    return None if row.lo is None else (np.asarray(row.lo), np.asarray(row.slope), np.asarray(row.add))
 
 
-def _map_row(blk: int, line: Map) -> pd.DataFrame:
-    return pd.DataFrame({"_blk": [blk], "lo": [line[0]], "slope": [line[1]], "add": [line[2]]})
+def _parts(lines: list[tuple[Map | None, object]], **keys: list[int]) -> pd.DataFrame:
+    """Rows of parts: a map, or the samples themselves where a map would have too many pieces."""
+    columns = {c: [None if line is None else line[k] for line, _ in lines] for k, c in enumerate(("lo", "slope", "add"))}
+    return pd.DataFrame({**keys, **columns, "x": [x if line is None else None for line, x in lines]})
 
 
-def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The map of a run of consecutive blocks, as the block ``_up`` of the level above."""
-    lines = [_map_of(row) for row in pdf.sort_values("_blk").itertuples()]
-    return _map_row(int(pdf["_up"].iloc[0]), reduce(composed, lines))
-
+def _sample_by_sample(x: Sequence[float], state: float, decay: float) -> list[float]:
+    """The average after each sample, exactly as defined."""
+    out = []
+    for value in x:
+        if state < WARM_UP:
+            state += value
+        elif state == WARM_UP:
+            state = state / WARM_UP
+        else:
+            state = value * decay + state * (1.0 - decay)
+        out.append(state)
+    return out
 
-def _through(blocks: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    """The state before each block of a run that is entered with the state of ``before``."""
-    state, carries = float(before["carry"].iloc[0]), []
-    blocks = blocks.sort_values("_blk")
-    for row in blocks.itertuples():
-        carries.append(state)
-        state = value_at(_map_of(row), state)
-    return pd.DataFrame({"_blk": blocks["_blk"], "carry": carries})
 
+def _after(row, state: float, decay: float) -> float:
+    """The state after a part that is entered with ``state``."""
+    line = _line_of(row)
+    return _sample_by_sample(row.x.tolist(), state, decay)[-1] if line is None else value_at(line, state)
 
-def block_starts(maps: DataFrame, start: float, span: int = SPAN, levels: int = 2) -> DataFrame:
-    """``_blk carry``: the state before each block, from the maps ``_blk lo slope add`` of the blocks.
 
-    Runs of ``span`` block numbers are combined into one block of the level above, so no task holds more than that
-    many maps, except the last fold, which sees one map for ``span ** levels`` blocks.
-    """
-    up = F.floor(F.col("_blk") / F.lit(span)).cast("long") if levels else F.lit(0).cast("long")
-    placed = maps.withColumn("_up", up)
-    if levels:
-        upper = placed.groupBy("_up").applyInPandas(_whole, MAP_COLUMNS)
-        entered = block_starts(upper, start, span, levels - 1).withColumnRenamed("_blk", "_up")
-        return placed.groupBy("_up").cogroup(entered.groupBy("_up")).applyInPandas(_through, "_blk long, carry double")
-    first = pd.DataFrame({"carry": [start]})
-    return placed.groupBy("_up").applyInPandas(lambda pdf: _through(pdf, first), "_blk long, carry double")
+def _combined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A run of consecutive blocks with as few parts as possible, in order."""
+    lines: list[tuple[Map | None, object]] = []
+    for row in pdf.sort_values("_blk").itertuples():
+        line = _line_of(row)
+        if line is not None and lines and lines[-1][0] is not None:
+            both = composed(lines[-1][0], line)
+            if len(both[0]) <= MOST_PIECES:
+                lines[-1] = (both, None)
+                continue
+        lines.append((line, row.x))
+    return _parts(lines, _up=[int(pdf["_up"].iloc[0])] * len(lines), _part=list(range(len(lines))))
 
 
-def _sample_by_sample(decay: float):
-    """The average exactly as defined, for the rows of one block."""
+def block_starts(blocks: DataFrame, start: float, decay: float, span: int = SPAN) -> DataFrame:
+    """``_blk carry``: the state before each block, from the rows ``_blk lo slope add x`` of the blocks.
 
-    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq")
-        state, out = float(before["carry"].iloc[0]), []
-        for x in pdf["_x"].tolist():
-            if state < WARM_UP:
-                state += x
-            elif state == WARM_UP:
-                state = state / WARM_UP
-            else:
-                state = x * decay + state * (1.0 - decay)
-            out.append(state)
-        return pdf[["_seq"]].assign(_state=out)
+    Runs of ``span`` block numbers are combined in parallel. The runs are gone through in order by one task that reads
+    them as a stream and holds one at a time: a run is one row if its blocks have maps, and the samples of the blocks
+    that have none. Within the runs the states are found in parallel again.
+    """
 
-    return run
+    def through_runs(batches):
+        state, last = start, None
+        for pdf in batches:
+            ups, carries = [], []
+            for row in pdf.itertuples():
+                if row.up != last:
+                    last = row.up
+                    ups.append(last)
+                    carries.append(state)
+                state = _after(row, state, decay)
+            yield pd.DataFrame({"_up": pd.Series(ups, dtype="int64"), "carry": pd.Series(carries, dtype="float64")})
+
+    def through_blocks(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        state, carries = float(before["carry"].iloc[0]), []
+        pdf = pdf.sort_values("_blk")
+        for row in pdf.itertuples():
+            carries.append(state)
+            state = _after(row, state, decay)
+        return pd.DataFrame({"_blk": pdf["_blk"], "carry": carries})
+
+    runs = blocks.withColumn("_up", F.floor(F.col("_blk") / F.lit(span)).cast("long")).groupBy("_up")
+    parts = runs.applyInPandas(_combined, f"_up long, _part int, {PART_COLUMNS}")
+    in_order = parts.repartition(1).sortWithinPartitions("_up", "_part").withColumnRenamed("_up", "up")
+    entered = in_order.mapInPandas(through_runs, "_up long, carry double")
+    return runs.cogroup(entered.groupBy("_up")).applyInPandas(through_blocks, "_blk long, carry double")
 
 
 def global_average(
@@ -233,11 +253,12 @@ def global_average(
     in the warm-up again. ``seq`` and the values are not negative; a null counts as 0. ``start`` is the state before the
     first row; ``state`` names a column that tells the state after each row.
 
-    What a block of ``block_rows`` sequence numbers does to the state is a straight line by pieces, however often
-    it falls back into the warm-up. Blocks find their maps in parallel, the maps are combined by runs of ``span``,
-    and each block is walked from the state before it. Nothing runs while the DataFrame is built. A block has a few
-    pieces if the average stays warm, and up to one for each row if it is always about to fall back. A decayed state that
-    is 10 but for rounding may be taken for either side at the border of two blocks.
+    What a block of ``block_rows`` sequence numbers does to the state is a straight line by pieces: a few if the
+    average stays warm, so blocks are mapped in parallel, combined by runs of ``span``, and walked from the state before
+    them. A block in which the average is about to fall back takes more than ``MOST_PIECES``; its samples
+    are handed on in place of a map, and one task reads them in order, as a stream. Nothing runs while
+    the DataFrame is built, and the number of jobs does not depend on how often the average falls back. A decayed
+    state that is 10 but for rounding may be taken for either side at the border of two blocks.
     """
     decay = 2.0 / (age + 1.0)
     # Weights within a block stay above e^-8.
@@ -245,16 +266,20 @@ def global_average(
 
     def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_seq")["_x"].to_numpy()
-        return _map_row(int(pdf["_blk"].iloc[0]), average_of(x, decay, WARM_UP))
+        return _parts([(average_of(x, decay, WARM_UP, MOST_PIECES), x)], _blk=[int(pdf["_blk"].iloc[0])])
+
+    def walk(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_seq")
+        states = _sample_by_sample(pdf["_x"].tolist(), float(before["carry"].iloc[0]), decay)
+        return pdf[["_seq"]].assign(_state=states)
 
     samples = df.select(
         F.col(seq).cast("long").alias("_seq"),
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
         F.floor(F.col(seq) / F.lit(rows)).cast("long").alias("_blk"),
-    )
-    by_block_number = samples.groupBy("_blk")
-    starts = block_starts(by_block_number.applyInPandas(block_map, MAP_COLUMNS), start, span)
-    states = by_block_number.cogroup(starts.groupBy("_blk")).applyInPandas(_sample_by_sample(decay), "_seq long, _state double")
+    ).groupBy("_blk")
+    starts = block_starts(samples.applyInPandas(block_map, f"_blk long, {PART_COLUMNS}"), start, decay, span)
+    states = samples.cogroup(starts.groupBy("_blk")).applyInPandas(walk, "_seq long, _state double")
     shown = F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state"))
     more = [F.col("_state").alias(state)] if state else []
     return states.select(F.col("_seq").alias(seq), shown.alias(name), *more)

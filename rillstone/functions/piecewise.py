@@ -46,11 +46,11 @@ def composed(first: Map, then: Map) -> Map:
     return _tidy(start, outer[piece] * slope[own], outer[piece] * add[own] + shift[piece])
 
 
-def average_of(x: np.ndarray, decay: float, warm_up: float) -> Map:
+def average_of(x: np.ndarray, decay: float, warm_up: float, most: int | None = None) -> Map | None:
     """What the samples ``x`` do to an average that is added up below ``warm_up`` and decays above it.
 
     At ``warm_up`` exactly it is divided by ``warm_up``, and that sample is not used. A piece of states follows one rule
-    until one of its ends gets to the other side; there it is cut.
+    until one of its ends gets to the other side; there it is cut. None if more than ``most`` pieces come about.
     """
     n, keep = len(x), 1.0 - decay
     weight = np.append(1.0, keep ** np.arange(1, n + 1))
@@ -59,6 +59,8 @@ def average_of(x: np.ndarray, decay: float, warm_up: float) -> Map:
     done: list[tuple[float, float, float]] = []
     work = [(0.0, TOP, 1.0, 0.0, 0, None)]
     while work:
+        if most is not None and len(done) + len(work) > most:
+            return None
         lo, hi, slope, add, i, side = work.pop()
         while i < n:
             low, high = slope * lo + add, slope * hi + add
