@@ -65,9 +65,13 @@ def write_kafka(lines: DataFrame, host: str, topic: str, checkpoint: str, ts_ms:
 def source(
     kind: str, spark: SparkSession, path: str = "", host: str = "", topic: str = "", rate: int = 0, limit: int | None = None
 ) -> DataFrame:
-    """Stream of ``ts_ms line ts_ext_ms`` by kind: "" a file, "local" a file at a fixed rate, "kafka" a topic."""
+    """Stream of ``ts_ms line ts_ext_ms`` by kind: "" a file, "local" a file at a fixed rate, "kafka" a topic, "envelopes" a folder of messages."""
     if kind == "kafka":
         return read_kafka(spark, host, topic)
+    if kind == "envelopes":
+        from rillstone.sources.envelopes import read_envelopes
+
+        return read_envelopes(spark, path, streaming=True).select("ts_ms", "line", "ts_ext_ms")
     if kind == "local":
         return replay_stream(read_lines(spark, path), rate)
     if kind == "":
