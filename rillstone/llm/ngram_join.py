@@ -12,7 +12,8 @@ Two documents link if the Jaccard similarity of their sets of ``width``-word shi
    prefix shingles. Then documents that still share prefix shingles across different components are compared with each
    other.
 4. *Filters and verification.* A pair must agree in size, in as many prefix shingles under the first order as a link
-   needs, and in a prefix shingle under each of the other orders, before its whole sets are intersected.
+   needs, and in a prefix shingle under each of the other orders. The filters are intersected on prefixes alone; only the texts
+   of pairs that pass all of them are brought together and compared.
 
 Pairs within a component that is already known are never formed: no link between different components is lost.
 
@@ -117,13 +118,49 @@ def _prefixes(rows: DataFrame, width: int, percent: int, level) -> DataFrame:  #
     return rows.mapInArrow(run, "token bigint, doc_id bigint")
 
 
+def _held(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The different texts of the documents in ``pairs``: of equal rows, one. ``doc_id, row, text``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return shared.written(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "row"]))
+
+
+def _other_orders(held: DataFrame, width: int, percent: int, level) -> DataFrame:  # noqa: ANN001
+    """``doc_id, row, n, orders``: the size of each text's set and its prefix under each order but the first.
+
+    32 bits of a shingle stand for it here: two prefixes that share a shingle share its bits.
+    """
+    schema = "doc_id bigint, row bigint, n bigint, orders array<array<int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, stop, texts in words.documents(batch["text"], lower=True):
+                sets = [words.shingles(h, width) for h in texts]
+                firsts = [(prefix(s, o, level.value, percent) >> U64(32)).astype(np.uint32).view(np.int32) for s in sets for o in ORDERS[1:]]
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts)))
+                orders = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * len(ORDERS[1:]), pa.int32()), inner)
+                own = [batch["doc_id"].slice(at, stop - at), batch["row"].slice(at, stop - at)]
+                yield pa.record_batch([*own, pa.array([len(x) for x in sets], pa.int64()), orders], ["doc_id", "row", "n", "orders"])
+
+    return held.mapInArrow(run, schema)
+
+
+def _candidates(pairs: DataFrame, held: DataFrame, width: int, percent: int, level) -> DataFrame:  # noqa: ANN001
+    """``a, row_a, b, row_b``: texts of ``pairs`` that agree in size and share a prefix shingle under every order."""
+    found = shared.written(_other_orders(held, width, percent, level))
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("row", "n", "orders")]), side)
+    fits = F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100
+    for k in range(len(ORDERS) - 1):
+        fits &= F.arrays_overlap(F.col("orders_a")[k], F.col("orders_b")[k])
+    return shared.written(pairs.filter(fits).select("a", "row_a", "b", "row_b"))
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level) -> DataFrame:  # noqa: ANN001
-    """Those of ``pairs`` (``a, b``) whose texts link."""
+    """Those of ``pairs`` (``a, b``, which share prefix shingles under the first order) whose texts link.
 
-    def held(side: str) -> DataFrame:
-        """The different texts of the documents on one side: of equal rows, one."""
-        own = rows.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"), F.xxhash64("text").alias("row"))
-        return own.join(pairs.select(side).distinct(), side, "left_semi").dropDuplicates([side, "row"]).drop("row")
+    The prefixes under the other orders are intersected first; texts travel for the pairs that are left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
@@ -135,16 +172,16 @@ def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level)
                     ahead += next(second)[2]
                 for k, (x, y) in enumerate(zip(texts, ahead), at):
                     x, y = words.shingles(x, width), words.shingles(y, width)
-                    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                        continue
-                    if all(len(np.intersect1d(prefix(x, o, level.value, percent), prefix(y, o, level.value, percent))) for o in ORDERS[1:]):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
                 ahead = ahead[stop - at :]
             yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    texts = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "text_a", "text_b")
-    return texts.mapInArrow(run, "a bigint, b bigint")
+    held = _held(pairs, rows)
+    texts = _candidates(pairs, held, width, percent, level)
+    for side in ("a", "b"):
+        texts = texts.join(held.toDF(side, f"row_{side}", f"text_{side}"), [side, f"row_{side}"])
+    return texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

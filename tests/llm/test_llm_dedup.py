@@ -5,12 +5,14 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpora  # noqa: E402
 
-from rillstone.llm import catalog, components, ngram_join, substrings  # noqa: E402
+from rillstone.llm import catalog, components, ngram_join, shared, substrings  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -71,8 +73,6 @@ def test_join_of_odd_rows(spark):
 
 def test_every_order_keeps_links():
     """Linked sets share a prefix shingle under each order."""
-    import numpy as np
-
     rnd, level = np.random.default_rng(4), np.zeros(ngram_join.counters(0), np.uint8)
     for n in [1, 2, 3, 4, 7, 20, 101]:
         a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
@@ -112,3 +112,38 @@ def test_substrings_of_odd_rows(spark):
     want = [(i, n, gone, digest(kept)) for i, n, gone, kept in corpora.removed([(r[0], r[1]) for r in corpora.odd_rows()])]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert substrings.digests(corpora.empty(spark)).count() == 0
+
+
+def sharing(passage_words, passages):
+    """500 unrelated documents, each around one of the passages, and near copies (ids from 1000) of every tenth."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    held = [[word() for _ in range(passage_words)] for _ in range(passages)]
+    rows = [(i, " ".join([word() for _ in range(60)] + held[i % passages] + [word() for _ in range(60)])) for i in range(500)]
+    return rows + [(1000 + i, rows[i][1] + " tail") for i in range(0, 500, 10)]
+
+
+def test_orders_are_intersected_before_texts_move(spark):
+    """The four shingles of a short passage are seldom in the prefixes of all orders; near copies always share some."""
+    docs = spark.createDataFrame(sharing(8, 25), "doc_id long, text string").repartition(4)
+    level = spark.sparkContext.broadcast(np.zeros(ngram_join.counters(0), np.uint8))
+    every = docs.filter("doc_id < 500").select(F.col("doc_id").alias("a"))
+    pairs = every.join(docs.select(F.col("doc_id").alias("b")), F.expr("b < 500 AND b > a AND b % 25 = a % 25 OR b = a + 1000"))
+    pairs = shared.written(pairs)
+    left = ngram_join._candidates(pairs, ngram_join._held(pairs, docs), 5, 75, level)
+    assert {(r.a, r.b) for r in left.filter("b >= 1000").collect()} == {(i, i + 1000) for i in range(0, 500, 10)}
+    assert 0 < left.filter("b < 500").count() < 0.65 * pairs.filter("b < 500").count()
+
+
+def test_a_passage_of_many_documents_makes_no_pairs(spark, monkeypatch):
+    rows, met, real = sharing(80, 1), [], ngram_join._candidates
+
+    def counted(pairs, *rest):
+        out = real(pairs, *rest)
+        met.append((pairs.filter("b - a <> 1000").count(), out.filter("b - a <> 1000").count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    got = joined(spark, rows)
+    assert {k: v[1] for k, v in got.items()} == {k: k - 1000 if k >= 1000 else k for k, _ in rows}
+    assert len(met) == 2 and sum(formed for formed, _ in met) <= 50 and sum(left for _, left in met) == 0
