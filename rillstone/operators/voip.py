@@ -187,12 +187,12 @@ def scores(fofirs: DataFrame, urls: DataFrame, acds: DataFrame, semantics: str =
     spec: for calls that have all three as numbers. as_run: one row per feature message, in order of calls, and of
     fofir, url, acd within a call. Messages of a caller and second share one entry. While it lacks a feature a message
     is kept in it and gives 0; once it is full it stays as it is, and all later messages give its sum. The first call
-    to a new callee fills it, as only such calls have a url and an acd.
+    to a new callee whose acd is a number fills it: only such calls have a url and an acd, and NaN leaves it open.
     """
     joined = fofirs.join(urls.select("call_id", "url"), "call_id").join(acds.select("call_id", "acd"), "call_id")
     value = total_score(F.col("fofir"), F.col("url"), F.col("acd"))
     if semantics == "as_run":
-        entry = joined.groupBy("caller", "answer_ts").agg(
+        entry = joined.filter(~F.isnan(value)).groupBy("caller", "answer_ts").agg(
             F.min("call_id").alias("_full"), F.min_by(value, F.col("call_id")).alias("_sum")
         )
         parts = [(fofirs, "fofir"), (urls, "url"), (acds, "acd")]

@@ -268,7 +268,7 @@ FROM rates r JOIN received v USING (call_id)""",
   SELECT call_id, caller, answer_ts, 'fofir' AS source FROM est UNION ALL SELECT call_id, caller, answer_ts, 'url' FROM est WHERE new_callee
   UNION ALL SELECT call_id, caller, answer_ts, 'acd' FROM est WHERE new_callee
 ), sums AS (SELECT *, fofir * 2 + url * 3 + acd * 3 AS score FROM ratios)
-SELECT m.call_id, m.source, {r("coalesce((SELECT arg_min(s.score, s.call_id) FROM sums s WHERE s.caller = m.caller AND s.answer_ts = m.answer_ts AND s.call_id < m.call_id), 0)")} AS score
+SELECT m.call_id, m.source, {r("coalesce((SELECT arg_min(s.score, s.call_id) FROM sums s WHERE s.caller = m.caller AND s.answer_ts = m.answer_ts AND s.call_id < m.call_id AND NOT isnan(s.score)), 0)")} AS score
 FROM messages m""",
     ),
 }

@@ -76,6 +76,16 @@ def test_failed_calls_move_the_global_average_only(spark):
     assert plan.default(df).count() == 2
 
 
+def test_entry_without_a_number_stays_open(spark):
+    """The first call has an acd of 0 / 0, so the second one fills the entry and the messages of the third give its sum."""
+    df = calls(spark, [("a", "b", 0, 0, True), ("a", "c", 0, 300, True), ("a", "d", 0, 5, True)])
+    spec = {r["call_id"]: r["score"] for r in plan.default(df).collect()}
+    ids = sorted(r["call_id"] for r in df.collect())
+    assert sorted(spec) == ids[1:]
+    shown = [(r["call_id"], r["score"]) for r in plan.default(df, "as_run").orderBy("call_id").collect()]
+    assert shown == [(i, 0.0) for i in ids[:2] for _ in range(3)] + [(ids[2], spec[ids[1]])] * 3 and spec[ids[1]] > 0
+
+
 def test_no_talk_and_no_average_gives_no_score(spark):
     df = calls(spark, [("a", "b", 0, 0, True)])
     assert math.isnan(voip.acd(voip.caller_features(df), voip.global_acd(df)).first()["acd"])
