@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.quantiles import exact_quantiles
-from rillstone.functions.skew import DEFAULT_SKEW, Skew
+from rillstone.functions.skew import DEFAULT_SKEW, Skew, row_numbers
 
 # Fixed values of the analysis.
 WARM_UP_SHARE = 0.3
@@ -293,11 +293,21 @@ def relative_table(samples: DataFrame, parameter: str) -> DataFrame:
     return means.join(base, "rate").select("baseline", "variant", "rate", text.alias("relative"))
 
 
-def rolling_mean(samples: DataFrame, keys: Sequence[str] = ("parameter", "variant", "rate"), rows: int = ROLLING_ROWS) -> DataFrame:
-    """Mean per second, smoothed over the last ``rows`` seconds that have values."""
+def rolling_mean(
+    samples: DataFrame, keys: Sequence[str] = ("parameter", "variant", "rate"), rows: int = ROLLING_ROWS, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
+    """Mean per second, smoothed over the last ``rows`` seconds that have values.
+
+    Seconds of a key are cut into blocks; the last ``rows - 1`` of a block are also read by the next one.
+    """
     per = samples.filter("value is not null").groupBy(*keys, "t").agg(F.avg("value").alias("value"))
-    window = Window.partitionBy(*keys).orderBy("t").rowsBetween(-(rows - 1), Window.currentRow)
-    return per.withColumn("value", F.avg("value").over(window))
+    size = max(skew.block_rows, rows)
+    place = F.col("_n") - 1
+    own = F.floor(place / size)
+    readers = F.when(place % size > size - rows, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = row_numbers(per, keys, "t", "_n", skew).select("*", own.alias("_own"), F.explode(readers).alias("_block"))
+    window = Window.partitionBy(*keys, "_block").orderBy("t").rowsBetween(-(rows - 1), Window.currentRow)
+    return placed.withColumn("value", F.avg("value").over(window)).filter("_own = _block").select(*keys, "t", "value")
 
 
 def rate_range(samples: DataFrame, low: float = float("-inf"), high: float = float("inf")) -> DataFrame:

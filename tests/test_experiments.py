@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rillstone.functions.skew import Skew
 from rillstone.operators import experiments as ex
 
 SCHEMA = "seq long, experiment string, variant string, parameter string, rate int, rep int, node string, t long, value double"
@@ -130,6 +131,21 @@ def test_rolling(spark):
     assert got[0] == 0.0 and got[29] == 14.5 and got[39] == 24.5
 
 
+@pytest.mark.parametrize("width", [1, 2, 30, 100])
+def test_rolling_in_blocks(spark, width):
+    data = [("x", v, 1, rep, "a", t * t % 997, float(t % 13)) for v in ("OS", None) for rep in (1, 2) for t in range(600)]
+    table = samples(spark, data + [("x", "few", 1, 1, "a", 5, 2.0)])
+    names = ["parameter", "variant", "rate", "t", "value"]
+    whole = rows(ex.rolling_mean(table, rows=width), *names)
+    per = table.groupBy("variant", "t").agg(F.avg("value").alias("value")).orderBy("t").collect()
+    for variant in ("OS", None, "few"):
+        held = [r["value"] for r in per if r["variant"] == variant]
+        want = [sum(held[max(0, i - width + 1) : i + 1]) / min(i + 1, width) for i in range(len(held))]
+        got = [r[4] for r in sorted((r for r in whole if r[1] == variant), key=lambda r: r[3])]
+        assert len(got) == len(want) and all(math.isclose(g, w, abs_tol=1e-9) for g, w in zip(got, want))
+    assert rows(ex.rolling_mean(table, rows=width, skew=Skew(min_rows=50, block_rows=32)), *names) == whole
+
+
 def test_order(spark):
     table = samples(spark, [("x", v, r, 1, "a", 1, 1.0) for v, r in [("OS", 1), ("NEW-OS", 2), ("NEW", 3)]])
     assert rows(ex.variant_order(table, ["OS", "NEW"]), "variant", "position") == [("NEW", 1), ("NEW-OS", 0), ("OS", 0)]
