@@ -196,7 +196,7 @@ def assess_tolls(
     joined = entries.join(lav, cell, "left").join(previous, cell, "left")
     lav_value = F.coalesce("lav", F.lit(0))
     toll = toll_formula(lav_value, F.coalesce("cars", F.lit(0)), lav_threshold, car_threshold)
-    return joined.select("seq", "vid", lav_value.cast("int").alias("speed"), toll.alias("toll"))
+    return joined.select("seq", "vid", lav_value.cast("int").alias("speed"), toll.cast("int").alias("toll"))
 
 
 def with_accident_time(accidents: DataFrame, lateness: str = LATENESS) -> DataFrame:

@@ -147,3 +147,14 @@ def test_parse_positions(spark):
 def test_minutes_of_a_long_stream(spark):
     far = spark.createDataFrame([(2_000_000,), (3_000_000_00,)], "time long").select(lr.minute_of("time").alias("m"))
     assert [r["m"] for r in far.collect()] == [33_334, 5_000_001]
+
+
+def test_a_toll_over_an_int(spark):
+    """40 000 cars: 2 * 39 950^2 does not fit an int, neither as the notification nor as what is owed."""
+    pos = reports(spark, [(100_000, 60, 1, 10, 0, 0, 7)])
+    cell = ["0 as xway", "cast(0 as smallint) as direction", "cast(7 as smallint) as segment"]
+    lav = spark.range(1).selectExpr("2 as minute", *cell, "10 as lav")
+    counts = spark.range(1).selectExpr("1 as minute", *cell, "40000 as count")
+    tolls = lr.toll_notification_pos(pos, lav, counts)
+    assert got(tolls, "vid", "toll") == [(1, 3_192_005_000)]
+    assert got(lr.last_toll(tolls, pos), "vid", "toll") == [(1, 3_192_005_000)]
