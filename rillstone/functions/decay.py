@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.piecewise import Map, average_of, composed, value_at
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, with_carry
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, row_numbers, split_hot, spread, tasks_for, with_carry
 
 # A weight of e^-68 is no weight: it is below the precision of a sum.
 NO_WEIGHT = 68
@@ -136,13 +136,16 @@ def decayed_sums(
     features: Mapping[str, tuple[str, float]],
     skew: Skew = DEFAULT_SKEW,
     hot: Hot = FIND,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add, per key, ln(1/beta) * sum of q * beta^(seconds since), over the rows up to and with this one.
 
     ``features`` maps the new column to (quantity column, beta). Rows count in order of (``t``, ``seq``).
+    ``tasks``: among how many tasks ordinary keys are dealt; without it rows are counted.
     """
+    tasks = tasks_for(df.count()) if tasks is None else tasks
     ordinary, heavy = split_hot(df, keys, hot_or_find(df, keys, skew, hot))
-    out = decay_plain(ordinary.repartition(*keys), keys, t, seq, features)
+    out = decay_plain(spread(ordinary, keys, tasks), keys, t, seq, features)
     if heavy is None:
         return out
     return out.unionByName(decay_hot(heavy, keys, t, seq, features, skew))
@@ -244,14 +247,15 @@ def block_starts(blocks: DataFrame, start: float, decay: float, span: int = SPAN
 
 def global_average(
     df: DataFrame, seq: str, value: str, name: str = "average", age: float = AVERAGE_AGE,
-    block_rows: int = 4096, span: int = SPAN, start: float = 0.0, state: str | None = None,
+    block_rows: int = 4096, span: int = SPAN, start: float = 0.0, state: str | None = None, tasks: int = 1,
 ) -> DataFrame:
     """Exponential moving average of ``value`` over all rows in ``seq`` order: columns ``seq`` and ``name``.
 
     Samples are added up until the sum reaches 10; a sum of exactly 10 turns into 1 and swallows the next
     sample; afterwards a <- x * d + a * (1 - d) with d = 2 / (age + 1). A state up to 10 reads as 0, and is
     in the warm-up again. ``seq`` and the values are not negative; a null counts as 0. ``start`` is the state before the
-    first row; ``state`` names a column that tells the state after each row.
+    first row; ``state`` names a column that tells the state after each row. ``tasks``: among how many the blocks are dealt;
+    with 1, Spark decides.
 
     What a block of ``block_rows`` sequence numbers does to the state is a straight line by pieces: a few if the
     average stays warm, so blocks are mapped in parallel, combined by runs of ``span``, and walked from the state before
@@ -277,7 +281,8 @@ def global_average(
         F.col(seq).cast("long").alias("_seq"),
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
         F.floor(F.col(seq) / F.lit(rows)).cast("long").alias("_blk"),
-    ).groupBy("_blk")
+    )
+    samples = spread(samples, ["_blk"], tasks).groupBy("_blk") if tasks > 1 else samples.groupBy("_blk")
     starts = block_starts(samples.applyInPandas(block_map, f"_blk long, {PART_COLUMNS}"), start, decay, span)
     states = samples.cogroup(starts.groupBy("_blk")).applyInPandas(walk, "_seq long, _state double")
     shown = F.when(F.col("_state") <= WARM_UP, 0.0).otherwise(F.col("_state"))

@@ -9,6 +9,7 @@ row that sorts first in the block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -35,6 +36,8 @@ FIND = "find"
 Hot = DataFrame | str | None
 """Hot keys given to an operator: a table, None for "there are none", or FIND to look them up."""
 BROADCAST_ROWS = 100_000
+TASK_ROWS = 262_144
+"""Rows that :func:`spread` gives to a task, on average."""
 FNS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -60,6 +63,20 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> tupl
     return ordinary.select(df.columns), heavy.select(df.columns)
 
 
+def tasks_for(rows: int) -> int:
+    """The tasks among which so many rows are dealt."""
+    return max(1, math.ceil(rows / TASK_ROWS))
+
+
+def spread(df: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its rows need.
+
+    Left alone, Spark puts shuffle partitions together by their compressed bytes. Narrow rows compress well, so a task
+    would get millions of them, and its sorts and windows gigabytes.
+    """
+    return df.repartition(*keys) if tasks == 1 else df.repartition(tasks, *keys)
+
+
 def _in_pieces(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.decay import decay_hot, decay_plain, decayed_sums, divide, global_average, score
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, split_hot
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, hot_or_find, split_hot, spread, tasks_for
 
 # Fixed values of the benchmark.
 BETA = 0.9672
@@ -50,7 +50,7 @@ def _flag_hot(calls: DataFrame) -> DataFrame:
 def new_callee(calls: DataFrame, skew: Skew = DEFAULT_SKEW, hot: Hot = FIND) -> DataFrame:
     """Add ``new_callee``: whether this is the first call of the caller to the callee, established or not."""
     ordinary, heavy = split_hot(calls, ["caller"], hot_or_find(calls, ["caller"], skew, hot))
-    out = _flag_plain(ordinary.repartition("caller"))
+    out = _flag_plain(spread(ordinary, ["caller"], tasks_for(calls.count())))
     return out if heavy is None else out.unionByName(_flag_hot(heavy).select(out.columns))
 
 
@@ -71,8 +71,8 @@ def caller_features(
         )
 
     ordinary, heavy = split_hot(calls, ["caller"], hot_or_find(calls, ["caller"], skew, hot))
-    spread = quantities(_flag_plain(ordinary.repartition("caller")))
-    out = decay_plain(spread, ["caller"], "answer_ts", "call_id", features)
+    dealt = quantities(_flag_plain(spread(ordinary, ["caller"], tasks_for(calls.count()))))
+    out = decay_plain(dealt, ["caller"], "answer_ts", "call_id", features)
     if heavy is not None:
         hot = decay_hot(quantities(_flag_hot(heavy)), ["caller"], "answer_ts", "call_id", features, skew)
         out = out.unionByName(hot.select(out.columns))
@@ -92,7 +92,9 @@ def ecr24(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
 
 def _call_rate(calls: DataFrame, name: str, beta: float, skew: Skew, hot: Hot) -> DataFrame:
     one = calls.filter("established").withColumn("_one", F.lit(1))
-    return decayed_sums(one, ["caller"], "answer_ts", "call_id", {name: ("_one", beta)}, skew, hot).drop("_one")
+    return decayed_sums(
+        one, ["caller"], "answer_ts", "call_id", {name: ("_one", beta)}, skew, hot, tasks_for(calls.count())
+    ).drop("_one")
 
 
 def encr(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
@@ -135,14 +137,15 @@ def rcr(calls: DataFrame, semantics: str = "spec", skew: Skew = DEFAULT_SKEW) ->
     )
     if semantics == "as_run":
         events = events.withColumn("_add", F.when(F.col("_self"), 1).otherwise(F.col("_add")))
-    rated = decayed_sums(events, ["number"], "answer_ts", "_order", {"rcr": ("_add", BETA)}, skew)
+    tasks = tasks_for(2 * calls.count())
+    rated = decayed_sums(events, ["number"], "answer_ts", "_order", {"rcr": ("_add", BETA)}, skew, tasks=tasks)
     reads = rated.filter("_add = 0")
     return reads.select("call_id", F.col("number").alias("caller"), "answer_ts", "rcr")
 
 
 def global_acd(calls: DataFrame, **blocks: int) -> DataFrame:
     """Moving average of the duration over all calls, established or not, as of each call."""
-    return global_average(calls, "call_id", "duration", "global_acd", **blocks)
+    return global_average(calls, "call_id", "duration", "global_acd", tasks=tasks_for(calls.count()), **blocks)
 
 
 def fofir_score(ecr_rate: Column, rcr_rate: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, find_hot
+from rillstone.functions.skew import DEFAULT_SKEW, FIND, Hot, Skew, find_hot, spread, tasks_for
 from rillstone.operators import voip
 
 # Message tags of the original job.
@@ -55,10 +55,9 @@ def forwarding(calls: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
         "call_id", F.lit(SOURCES["global_acd"]).alias("source"), F.col("global_acd").alias("rate")
     )
     names = [*rates, "rcr", "global_acd"]
+    messages = spread(tagged.unionByName(received).unionByName(averages), ["call_id"], tasks_for(2 * calls.count()))
     collected = (
-        tagged.unionByName(received)
-        .unionByName(averages)
-        .groupBy("call_id")
+        messages.groupBy("call_id")
         .agg(*[F.max(F.when(F.col("source") == SOURCES[n], F.col("rate"))).alias(n) for n in names])
         .dropna(subset=names)
     )

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rillstone.functions import sketches
+from rillstone.functions import skew, sketches
 from rillstone.functions.decay import decayed_sums, score
 from rillstone.operators import parsing, voip
 from rillstone.plans import voip as plan
@@ -167,3 +167,15 @@ def test_sketched_rate_is_above_and_near_the_exact_one(spark, tiny):
     want = {r["call_id"]: r["s"] for r in exact.collect()}
     assert got.keys() == want.keys() and all(got[k] >= want[k] - 1e-12 for k in want)
     assert sum(got[k] - want[k] < 1e-9 for k in want) > 0.95 * len(want)
+
+
+def test_tasks_follow_the_rows(spark, tiny, monkeypatch):
+    """Rows are dealt by their number, not by their bytes, and the scores stay as they are."""
+    records = fx.calls(spark, tiny)
+    want = {tuple(r) for r in plan.forwarding(records).select("call_id", F.round("score", 9)).collect()}
+    monkeypatch.setattr(skew, "TASK_ROWS", 40)
+    n = -(-records.count() // 40)
+    assert voip.caller_features(records).rdd.getNumPartitions() == n > 8
+    assert voip.global_acd(records).rdd.getNumPartitions() == n
+    scored = plan.forwarding(records).select("call_id", F.round("score", 9))
+    assert {tuple(r) for r in scored.collect()} == want != set()
