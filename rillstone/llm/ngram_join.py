@@ -3,7 +3,8 @@
 Two documents link if the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` / 100.
 
 1. *Sets.* One pass gives each document's number of shingles and a 128-bit digest of its set, and a table of counters
-   of all shingles, one for 64 shingles, 2^24 at most (16 MB of levels in each task). Documents with equal sets are one class and need no comparison.
+   of all shingles, one for 64 shingles, 2^24 at most (16 MB of levels in each task). A task hands its counters on as
+   compressed blocks of 65 536, a few bits each. Documents with equal sets are one class and need no comparison.
 2. *Orders.* An order sorts shingles by the level of their counter, so that frequent ones come last, and then by a hash
    of the order's own. Of n shingles the first ``n - ceil(percent n / 100) + 1`` are the prefix: linked sets share a prefix
    shingle under every order.
@@ -13,7 +14,8 @@ Two documents link if the Jaccard similarity of their sets of ``width``-word shi
    other.
 4. *Filters and verification.* A pair must agree in size, in as many prefix shingles under the first order as a link
    needs, and in a prefix shingle under each of the other orders. The filters are intersected on prefixes alone; only the texts
-   of pairs that pass all of them are brought together and compared.
+   of pairs that pass all of them are brought together and compared. A filter of bits, one hash for each id, keeps
+   most other texts from moving at all.
 
 Pairs within a component that is already known are never formed: no link between different components is lost.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +40,14 @@ from rillstone.llm.components import components
 
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 24
 SHINGLES_PER_COUNTER = 64
+BLOCK = 1 << 16
+"""Counters in one row of a task's table."""
 CHARS_PER_WORD = 6
 ORDERS = (0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142)
 HEADS = 2
 """A document is compared with so many of the smallest documents of its prefix shingles; the second step has the rest."""
+BITS_PER_PAIR, MOST_BITS = 32, 1 << 27
+"""Bits of the filter of ids in front of the texts: 16 for each id of a pair; beyond 16 MB it lets more texts pass."""
 U64 = np.uint64
 
 
@@ -54,13 +61,22 @@ def counter(tokens: np.ndarray, size: int) -> np.ndarray:
     return (words.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(65 - size.bit_length())).astype(np.int64)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
     """Level of each counter: 0 for what chance explains, else the binary logarithm of the count."""
-    mean = counts.mean()
     high = counts > mean + 8 * np.sqrt(mean) + 16
     return np.where(high, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest one needs (told by the first byte), compressed."""
+    width = next(w for w in (1, 2, 4) if int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + pa.compress(counts.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], n * data[0], "zstd", asbytes=True), f"<u{data[0]}")
+
+
 def prefix(tokens: np.ndarray, order: int, level: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a set under an order; as many as a linked set cannot do without."""
     n = len(tokens)
@@ -70,9 +86,8 @@ def prefix(tokens: np.ndarray, order: int, level: np.ndarray, percent: int) -> n
 
 
 def _sets(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """One row for each text (``doc_id, n, a, b``), and after each task its counters (``a`` counter, ``n`` count)."""
-    schema = "kind tinyint, doc_id bigint, n bigint, a bigint, b bigint"
-    names = ["kind", "doc_id", "n", "a", "b"]
+    """One row for each text (``doc_id, n, a, b``), and after each task its counters (block ``a``, ``counts``)."""
+    names = ["doc_id", "n", "a", "b", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
@@ -84,15 +99,33 @@ def _sets(rows: DataFrame, width: int, size: int) -> DataFrame:
                 b = np.array([words.mix(s ^ U64(ORDERS[1])).sum() for s in sets], U64)
                 met, times = np.unique(counter(np.concatenate(sets), size), return_counts=True)
                 counts[met] += times.astype(np.uint32)
-                columns = [pa.array(np.zeros(len(n), np.int8)), batch["doc_id"].slice(at, stop - at)]
-                columns += [pa.array(x) for x in (n, a.view(np.int64), b.view(np.int64))]
-                yield pa.record_batch(columns, names)
-        used = np.flatnonzero(counts)
-        if len(used):
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.record_batch([pa.array(np.ones(len(used), np.int8)), none, pa.array(counts[used].astype(np.int64)), pa.array(used), none], names)
+                columns = [batch["doc_id"].slice(at, stop - at), *[pa.array(x) for x in (n, a.view(np.int64), b.view(np.int64))]]
+                yield pa.record_batch([*columns, pa.nulls(len(n), pa.binary())], names)
+        for k in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
+            block = packed(counts[k * BLOCK : (k + 1) * BLOCK])
+            none = pa.nulls(1, pa.int64())
+            yield pa.record_batch([none, none, pa.array([int(k)]), none, pa.array([block], pa.binary())], names)
+
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, counts binary")
+
+
+def _levels(sets: DataFrame, size: int) -> np.ndarray:
+    """Level of each counter. Blocks are summed in Spark, and come back as levels of one byte."""
+    mean = (sets.filter("counts IS NULL").agg(F.sum("n")).first()[0] or 0) / size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch["a"].to_pylist(), batch["counts"].to_pylist()):
+                total[k] = total.get(k, 0) + unpacked(data, BLOCK).astype(np.int64)
+        for k, counts in total.items():
+            yield pa.record_batch([pa.array([k]), pa.array([levels(counts, mean).tobytes()], pa.binary())], ["a", "level"])
 
-    return rows.mapInArrow(run, schema)
+    blocks = sets.filter("counts IS NOT NULL").select("a", "counts").repartition("a").mapInArrow(run, "a bigint, level binary")
+    level = np.zeros(size, np.uint8)
+    for row in blocks.collect():
+        level[row.a * BLOCK : (row.a + 1) * BLOCK] = np.frombuffer(row.level, np.uint8)
+    return level
 
 
 def _prefixes(rows: DataFrame, width: int, percent: int, level) -> DataFrame:  # noqa: ANN001
@@ -118,10 +151,44 @@ def _prefixes(rows: DataFrame, width: int, percent: int, level) -> DataFrame:  #
     return rows.mapInArrow(run, "token bigint, doc_id bigint")
 
 
+def _marks(ids: DataFrame, size: int) -> np.ndarray:
+    """One bit for each hash of the ids, ``size`` bits in all. Blocks of bits are put together in Spark."""
+    per_block = min(size, 8 * BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, slots = batch["block"].to_numpy(), batch["slot"].to_numpy()
+            for k in np.unique(blocks).tolist():
+                found.setdefault(k, np.zeros(per_block, bool))[slots[blocks == k]] = True
+        for k, bits in found.items():
+            yield pa.record_batch([pa.array([k]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
+
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    placed = ids.select(F.floor(slot / per_block).cast("long").alias("block"), (slot % per_block).cast("long").alias("slot"))
+    bits = np.zeros(size // 8, np.uint8)
+    for row in placed.repartition("block").mapInArrow(run, "block bigint, bits binary").collect():
+        bits[row.block * per_block // 8 : (row.block + 1) * per_block // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def _marked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is in no pair, before their texts move; only the ids go to Python."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_PAIR * pairs.count()).bit_length()))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    bits = rows.sparkSession.sparkContext.broadcast(_marks(ids, size))
+
+    def met(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return rows.filter(F.pandas_udf(met, "boolean")(F.pmod(F.xxhash64("doc_id"), F.lit(size))))
+
+
 def _held(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The different texts of the documents in ``pairs``: of equal rows, one. ``doc_id, row, text``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    named = _marked(rows, pairs).select("doc_id", F.xxhash64("text").alias("row"), "text")
     return shared.written(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "row"]))
 
 
@@ -190,11 +257,8 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = counters(rows.agg(F.sum(F.length("text"))).first()[0] or 0)
     sets = shared.written(_sets(rows, width, size))
-    counts = np.zeros(size)
-    for batch in sets.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        counts[batch["a"].to_numpy()] = batch["n"].to_numpy()
-    level = spark.sparkContext.broadcast(levels(counts))
-    sizes = sets.filter("kind = 0").select("doc_id", "n", "a", "b")
+    level = spark.sparkContext.broadcast(_levels(sets, size))
+    sizes = sets.filter("counts IS NULL").select("doc_id", "n", "a", "b")
 
     known = sizes.filter("doc_id IS NOT NULL AND n > 0")
     classes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))

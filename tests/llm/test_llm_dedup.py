@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,27 @@ def test_a_passage_of_many_documents_makes_no_pairs(spark, monkeypatch):
     got = joined(spark, rows)
     assert {k: v[1] for k, v in got.items()} == {k: k - 1000 if k >= 1000 else k for k, _ in rows}
     assert len(met) == 2 and sum(formed for formed, _ in met) <= 50 and sum(left for _, left in met) == 0
+
+
+def test_counters_travel_in_blocks(spark):
+    """A task hands on one row for 65 536 counters, and their sum gives the levels of one table of all shingles."""
+    size, texts = 1 << 18, [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(40)] + [" ".join("same words again and again".split() * 9)] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = ngram_join._sets(docs, 5, size).cache()
+    assert len(texts) < sets.count() <= len(texts) + 4 * size // ngram_join.BLOCK
+    counts = np.zeros(size)
+    for text in texts:
+        found = ngram_join.words.shingles(next(ngram_join.words.documents(pa.array([text]), lower=True))[2][0])
+        np.add.at(counts, ngram_join.counter(found, size), 1)
+    level = ngram_join._levels(sets, size)
+    assert (level == ngram_join.levels(counts, counts.mean())).all() and level.any()
+    for block in (counts[: 1 << 16], np.arange(1 << 16), np.arange(1 << 16) * 9):
+        assert (ngram_join.unpacked(ngram_join.packed(block), len(block)) == block).all()
+
+
+def test_texts_outside_all_pairs_stay(spark):
+    rows = spark.range(20_000).selectExpr("id - 10000 as doc_id", "cast(id as string) as text")
+    pairs = spark.range(100).selectExpr("id * 7 as a", "-id * 3 as b")
+    left = {r.doc_id for r in ngram_join._marked(rows, pairs).collect()}
+    wanted = {r.doc_id for r in ngram_join._held(pairs, rows).collect()}
+    assert wanted == {i * 7 for i in range(100)} | {-i * 3 for i in range(100)} <= left and len(left) < 2000
