@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,38 +150,19 @@ def _prefixes(rows: DataFrame, width: int, percent: int, level) -> DataFrame:  #
     return rows.mapInArrow(run, "token bigint, doc_id bigint")
 
 
-def _marks(ids: DataFrame, size: int) -> np.ndarray:
-    """One bit for each hash of the ids, ``size`` bits in all. Blocks of bits are put together in Spark."""
-    per_block = min(size, 8 * BLOCK)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            blocks, slots = batch["block"].to_numpy(), batch["slot"].to_numpy()
-            for k in np.unique(blocks).tolist():
-                found.setdefault(k, np.zeros(per_block, bool))[slots[blocks == k]] = True
-        for k, bits in found.items():
-            yield pa.record_batch([pa.array([k]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
-
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    placed = ids.select(F.floor(slot / per_block).cast("long").alias("block"), (slot % per_block).cast("long").alias("slot"))
-    bits = np.zeros(size // 8, np.uint8)
-    for row in placed.repartition("block").mapInArrow(run, "block bigint, bits binary").collect():
-        bits[row.block * per_block // 8 : (row.block + 1) * per_block // 8] = np.frombuffer(row.bits, np.uint8)
-    return bits
-
-
 def _marked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``doc_id`` is in no pair, before their texts move; only the ids go to Python."""
-    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_PAIR * pairs.count()).bit_length()))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    bits = rows.sparkSession.sparkContext.broadcast(_marks(ids, size))
-
-    def met(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy()
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    """``rows`` without most of those whose ``doc_id`` is in no pair, before their texts move.
 
-    return rows.filter(F.pandas_udf(met, "boolean")(F.pmod(F.xxhash64("doc_id"), F.lit(size))))
+    One bit for each hash of the ids in ``pairs``, as broadcast bitmaps of 4 KB; built-in expressions only.
+    """
+    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_PAIR * pairs.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size)) + 1
+    block, place = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(block.alias("_block"), place.alias("_place"))
+    bits = ids.groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    met = rows.withColumns({"_block": block, "_place": place}).join(F.broadcast(bits), "_block")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_place div 8 + 1 as int), 1)), 16, 10) as bigint)")
+    return met.filter(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).select(rows.columns)
 
 
 def _held(pairs: DataFrame, rows: DataFrame) -> DataFrame:
