@@ -1,7 +1,8 @@
 """License scans by diagonal voting, in built-in expressions only (operator 12).
 
-A template is a notice as a row of words. Every run of ``k`` consecutive words of every text is hashed and joined to the
-hashes of the templates' runs; a pair that meets is compared word by word. If the run stands at word i of the text and at
+A template is a notice as a row of words. Every run of ``k`` consecutive words of every text that begins with a word with which
+a run of a template begins is hashed and joined to the hashes of the templates' runs; a pair that meets is compared word by
+word. If the run stands at word i of the text and at
 word j of the template, it votes for the *diagonal* i - j: an unchanged copy has all its votes on one diagonal, and each
 inserted or deleted word moves the rest of it to the next one. So votes are added up by text, template and diagonal,
 diagonals that are at most ``shift`` apart are merged, and the merged *span* is verified: the share of the template's words
@@ -31,6 +32,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRETCH = 2
 BROADCAST_WORDS = 200_000
+MOST_FIRST = 10_000
+"""With more different first words, runs are hashed wherever they begin."""
 
 
 class Template(NamedTuple):
@@ -79,22 +82,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
-def _runs(words: Column, k: int) -> Column:
-    """``i`` (from 0) and ``hash`` of each run of ``k`` words."""
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice(words, i + 1, k)).alias("hash")))
+def _starts(words: Column, first: Sequence[str] | None) -> Column:
+    """Words (from 0) at which a run may begin: those in ``first``, or all."""
+    places = F.transform(words, lambda w, i: i if first is None else F.when(w.isin(*first), i))
+    return F.filter(places, lambda i: i.isNotNull())
+
+
+def _runs(words: Column, starts: Column, k: int) -> Column:
+    """``i`` (from 0), ``k``, ``gram`` and its ``hash`` of each run of ``k`` words that begins at one of ``starts``."""
+    whole = F.filter(starts, lambda i: i <= F.size(words) - k)
+    grams = F.transform(whole, lambda i: F.struct(i.alias("i"), F.slice(words, i + 1, k).alias("gram")))
+    return F.transform(grams, lambda g: F.struct(g["i"].alias("i"), F.lit(k).alias("k"), g["gram"].alias("gram"), F.xxhash64(F.lit(k), g["gram"]).alias("hash")))
 
 
 def _template_runs(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
     """``hash, template, j, gram`` of each run of the templates."""
     fixed = [F.struct(F.lit(n).alias("template"), F.split(F.lit(t.words), " ").alias("words"), F.lit(t.k).alias("k")) for n, t in enumerate(templates)]
     rows = spark.range(1).select(F.inline(F.array(*fixed)))
-    parts = [rows.filter(F.col("k") == k).select("template", "words", F.inline(_runs(F.col("words"), k)))
+    parts = [rows.filter(F.col("k") == k).select("template", F.inline(_runs(F.col("words"), _starts(F.col("words"), None), k)))
              for k in sorted({t.k for t in templates})]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.select("hash", "template", F.col("i").alias("j"), F.slice("words", F.col("i") + 1, F.col("k")).alias("gram"))
+    return out.select("hash", "template", F.col("i").alias("j"), "gram")
 
 
 def votes(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
@@ -103,10 +113,12 @@ def votes(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
     fixed = _template_runs(spark, templates)
     if sum(len(t.words.split(" ")) for t in templates) <= BROADCAST_WORDS:
         fixed = F.broadcast(fixed)
+    first = sorted({w for t in templates for w in t.words.split(" ")[: 1 - t.k or None]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("words"))
-    runs = F.concat(*[_runs(F.col("words"), k) for k in sorted({t.k for t in templates})])
-    met = rows.select("doc_id", "row", "words", F.inline(runs)).join(fixed, "hash")
-    met = met.filter(F.slice("words", F.col("i") + 1, F.col("k")) == F.col("gram"))
+    rows = rows.withColumn("starts", _starts(F.col("words"), first if len(first) <= MOST_FIRST else None))
+    runs = F.concat(*[_runs(F.col("words"), F.col("starts"), k) for k in sorted({t.k for t in templates})])
+    met = rows.select("doc_id", "row", F.inline(runs)).join(fixed.withColumnRenamed("gram", "words"), "hash")
+    met = met.filter(F.col("gram") == F.col("words"))
     return met.select("doc_id", "row", "template", "i", "j").distinct()
 
 

@@ -96,3 +96,15 @@ def test_native(spark, tiny):
     """No Python worker, and the runs of the texts meet the templates before anything is shuffled."""
     plan = licenses.scanned(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "BroadcastHashJoin" in plan
+
+
+def test_only_first_words_of_runs_are_hashed(spark, monkeypatch):
+    """A text without them gives no runs to the join; with them, and without the list, votes are the same."""
+    docs = spark.createDataFrame([(1, "plain words " * 50), (2, "Released under the MIT license, all rights reserved")], "doc_id long, text string")
+    templates = [*licenses.PHRASES, *licenses.NOTICES]
+    first = sorted({w for t in templates for w in t.words.split()[: 1 - t.k or None]})
+    starts = docs.select(licenses._starts(licenses.words_of(docs.text), first).alias("s")).collect()
+    assert [r.s for r in starts] == [[], [0, 1, 2, 4, 5, 6]]
+    want = set(licenses.votes(docs, templates).collect())
+    monkeypatch.setattr(licenses, "MOST_FIRST", 0)
+    assert set(licenses.votes(docs, templates).collect()) == want != set()
