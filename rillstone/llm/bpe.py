@@ -6,11 +6,12 @@ walks the trie of the vocabulary and, where a token ends, may go back to the roo
 it. ``Transducer`` determinises it as bytes come in: a state is the set of live paths, as the tokens not yet given out
 and the place in the trie; a token goes out once all live paths agree on it, which takes a bounded lookahead. States
 and steps are kept in a table that is emptied when it is full, so its size is bounded and its content has no effect.
-Pieces are kept with their ids in decimals and their decoded bytes, in two generations: a full one becomes the older one,
-and what is met again moves to the younger one.
+Pieces are kept with their ids as packed integers, in two generations: a full one becomes the older one, and what is met
+again moves to the younger one. A worker process keeps its encoder from task to task.
 
-Decoding. ``Utf8Stream`` takes tokens as they come and gives out text. Bytes of an unfinished code point wait in a
-state machine; ill-formed bytes become U+FFFD, as ``bytes.decode(errors="replace")`` has it.
+Decoding. The bytes of many ids are taken from one Arrow array. ``Utf8Stream`` takes tokens or their bytes as they come and
+gives out text. Bytes of an unfinished code point wait in a state machine; ill-formed bytes become U+FFFD, as
+``bytes.decode(errors="replace")`` has it.
 
 Cases: null text is empty and has no tokens; equal texts give equal rows; texts of any length are cut into pieces in
 batches, so memory follows the text and not its tokens; other columns of the input are not read, whatever their names.
@@ -20,10 +21,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
-from operator import itemgetter
+from itertools import islice
+from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from rillstone.llm.splitting import Splitter, tiktoken_class
 
 ROOT = 0
-TOKENS, DECIMALS, BYTES = (itemgetter(k) for k in range(3))
+ID_BYTES = 4
 Path = tuple[tuple[int, ...], int]
 
 
@@ -177,7 +182,7 @@ class Transducer:
 
 
 class Pieces(dict):
-    """``(tokens, their ids with a comma after each, their bytes)`` of pieces; short ones are kept.
+    """Tokens of pieces as packed 32-bit integers; short ones are kept.
 
     A whole piece that is a token is that token. Once ``limit`` pieces are held they become the older generation, of which only
     what is met again is kept on.
@@ -187,13 +192,12 @@ class Pieces(dict):
         self.ids, self.limit, self.older = ids, limit, {}
         self.transducer = Transducer(Vocabulary(ids))
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         entry = self.older.pop(piece, None)
         if entry is None:
             data = piece.encode()
             whole = self.ids.get(data)
-            tokens = (whole,) if whole is not None else tuple(self.transducer.encode(data))
-            entry = (tokens, b"%d," * len(tokens) % tokens, b"".join(map(self.transducer.vocabulary.bytes_of.__getitem__, tokens)))
+            entry = array("i", (whole,) if whole is not None else self.transducer.encode(data)).tobytes()
         if len(piece) <= 48:
             if len(self) >= self.limit:
                 self.older = dict(self)
@@ -207,21 +211,44 @@ class Encoder:
 
     def __init__(self, ids: dict[bytes, int], pattern: str) -> None:
         self.splitter, self.pieces = Splitter(pattern, tiktoken_class(ids)), Pieces(ids)
+        self.decimals = Strings({i: b"%d," % i for i in ids.values()})
+        self.bytes = Strings({i: b for b, i in ids.items()})
 
     def stream(self, text: str, batch: int = 65_536) -> Iterator[list[int]]:
         """Runs of tokens, each from at most ``batch`` pieces."""
-        for entries in self.entries(text, batch):
-            yield list(chain.from_iterable(map(TOKENS, entries)))
+        for run in self.runs(text, batch):
+            yield unpacked(run).tolist()
 
-    def entries(self, text: str, batch: int = 65_536) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
-        """Runs of at most ``batch`` pieces, as the table of pieces has them."""
+    def runs(self, text: str, batch: int = 65_536) -> Iterator[bytes]:
+        """Packed runs of tokens, each from at most ``batch`` pieces."""
         entry_of = self.pieces.__getitem__
         if len(text) <= batch:
-            yield list(map(entry_of, self.splitter.pieces(text)))
+            yield b"".join(map(entry_of, self.splitter.pieces(text)))
             return
         found = self.splitter.stream(text)
-        while part := list(map(entry_of, islice(found, batch))):
-            yield part
+        while part := list(islice(found, batch)):
+            yield b"".join(map(entry_of, part))
+
+
+def unpacked(run: bytes) -> np.ndarray:
+    return np.frombuffer(run, np.int32)
+
+
+class Strings:
+    """A byte string for each id, to be joined for many ids at a time."""
+
+    def __init__(self, string_of: dict[int, bytes]) -> None:
+        self.table = pa.array([string_of.get(i) for i in range(max(string_of, default=-1) + 1)], pa.large_binary())
+
+    def joined(self, runs: list[bytes]) -> Iterator[memoryview]:
+        """The strings of each packed run, joined."""
+        ids = unpacked(b"".join(runs))
+        if not len(ids):
+            return (memoryview(b"") for _ in runs)
+        _, offsets, data = self.table.take(pa.array(ids)).buffers()
+        ends = np.cumsum([len(run) // ID_BYTES for run in runs])
+        ends, data = np.frombuffer(offsets, np.int64, len(ids) + 1)[ends].tolist(), memoryview(data)
+        return (data[a:b] for a, b in zip([0, *ends], ends))
 
 
 def _utf8_classes() -> list[list[int]]:
@@ -275,27 +302,40 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple[str, str], tuple[Encoder, dict[int, bytes]]] = {}
+def kept() -> dict:
+    """What this process keeps from task to task. Functions that travel by value have new globals in every task."""
+    name = "_rillstone_llm_bpe_kept"
+    return sys.modules.setdefault(name, ModuleType(name)).__dict__
 
 
 def encoder(path: str, pattern: str) -> tuple[Encoder, dict[int, bytes]]:
-    """One encoder for each worker process and vocabulary."""
-    if (path, pattern) not in _ENCODERS:
+    """One encoder for each worker process, vocabulary file as it is now, and pattern."""
+    file = os.stat(path)
+    key, found = (path, file.st_mtime_ns, file.st_size, pattern), kept()
+    if key not in found:
         ids = ranks(path)
-        _ENCODERS[path, pattern] = (Encoder(ids, pattern), {i: b for b, i in ids.items()})
-    return _ENCODERS[path, pattern]
+        found[key] = (Encoder(ids, pattern), {i: b for b, i in ids.items()})
+    return found[key]
+
 
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", most: int = 1 << 24) -> DataFrame:
+    """``key`` and ``tokens``, the ids of each whole text. ``path`` is a file that every executor has.
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and ``tokens``, the ids of each whole text. ``path`` is a file that every executor has."""
+    Rows go out 256 at a time, or once their ids fill ``most`` bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, _ = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [list(chain.from_iterable(found.stream(x or ""))) for x in part["text"].to_pylist()]
-                yield pa.record_batch([part["key"], pa.array(rows, pa.list_(pa.int32()))], ["key", "tokens"])
+            done, size, rows = 0, 0, []
+            for at, text in enumerate(batch["text"], 1):
+                rows.append(b"".join(found.runs(text.as_py() or "")))
+                size += len(rows[-1])
+                if size >= most or len(rows) >= 256 or at == batch.num_rows:
+                    ends = np.cumsum([0, *map(len, rows)]) // ID_BYTES
+                    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(unpacked(b"".join(rows))))
+                    yield pa.record_batch([batch["key"].slice(done, len(rows)), tokens], ["key", "tokens"])
+                    done, size, rows = at, 0, []
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -318,31 +358,43 @@ def decode(tokens: DataFrame, path: str, column: str = "tokens", chunk: int = 40
     return run(tokens[column])
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, most: int = 1 << 20) -> DataFrame:
     """Round trip of every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Each text is encoded and decoded run by run, so neither its ids nor its second copy is held whole. Null is empty.
+    Texts are encoded run by run. Once the runs of some texts, or of a part of one, fill ``most`` bytes, they are written as
+    decimals and decoded together, so neither a long text's ids nor its second copy is held whole. Null is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, bytes_of = encoder(path, pattern)
+
+        def add(states: list[list], runs: list[bytes]) -> None:
+            for state, own, digits, data in zip(states, runs, found.decimals.joined(runs), found.bytes.joined(runs)):
+                n, ids, back, stream = state
+                if n and own:
+                    ids.update(b",")
+                ids.update(digits[:-1])
+                back.update(stream.push_bytes(data).encode())
+                state[0] = n + len(own) // ID_BYTES
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts, ids_digests, text_digests = [], [], []
-                for text in part["text"].to_pylist():
-                    n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-                    stream = Utf8Stream(bytes_of)
-                    for entries in found.entries(text or ""):
-                        decimals = b"".join(map(DECIMALS, entries))
-                        ids.update((b"," if n and decimals else b"") + decimals[:-1])
-                        n += decimals.count(b",")
-                        back.update(stream.push_bytes(b"".join(map(BYTES, entries))).encode())
+                rows = [[0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(bytes_of)] for _ in range(part.num_rows)]
+                states, runs, size = [], [], 0
+                for state, text in zip(rows, part["text"]):
+                    for own in found.runs(text.as_py() or ""):
+                        states.append(state)
+                        runs.append(own)
+                        size += len(own)
+                        if size >= most:
+                            add(states, runs)
+                            states, runs, size = [], [], 0
+                add(states, runs)
+                for _, _, back, stream in rows:
                     back.update(stream.end().encode())
-                    counts.append(n)
-                    ids_digests.append(ids.hexdigest())
-                    text_digests.append(back.hexdigest())
-                columns = [part["doc_id"], pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)]
+                counts, ids, back, _ = zip(*rows)
+                columns = [part["doc_id"], pa.array(counts, pa.int64()), *(pa.array([x.hexdigest() for x in k]) for k in (ids, back))]
                 yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

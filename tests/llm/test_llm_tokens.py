@@ -8,6 +8,7 @@ from pathlib import Path
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -92,6 +93,33 @@ def test_odd_rows(spark, library):
     assert bpe.digests(corpora.empty(spark), MULTI, PATTERN).count() == 0
 
 
+def test_tasks_of_a_process_share_the_encoder():
+    """Each task gets the functions anew, by value; what they have learned of the vocabulary stays."""
+    first, second = (cloudpickle.loads(cloudpickle.dumps(bpe.encoder)) for _ in range(2))
+    assert first is not second
+    assert first(MULTI, PATTERN)[0] is second(MULTI, PATTERN)[0]
+
+
+def test_a_changed_vocabulary_is_read_again(tmp_path):
+    path = tmp_path / "own.tiktoken"
+    path.write_text("YQ== 0\nYg== 1\n")
+    assert list(bpe.encoder(str(path), PATTERN)[0].stream("ab")) == [[0, 1]]
+    path.write_text("YQ== 0\nYg== 1\nYWI= 2\n")
+    assert list(bpe.encoder(str(path), PATTERN)[0].stream("ab")) == [[2]]
+
+
+def test_runs_are_cut_anywhere(spark, library):
+    """Whatever is written and decoded together, and wherever a long text is cut."""
+    rows = [(k, text) for k, text in enumerate([None, "", "a", " zwei Wörter 日本 " * 9000, "", "🙂 " * 40_000, None, "end"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {k: expected_digests(library, text) for k, text in rows}
+    for most in (1, 4, 100_000, 1 << 20):
+        got = bpe.digests(docs, MULTI, PATTERN, most=most).collect()
+        assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+        got = bpe.encode(docs, MULTI, PATTERN, most=most).collect()
+        assert [(r.doc_id, r.tokens) for r in got] == [(k, library.encode_ordinary(text or "")) for k, text in rows]
+
+
 def test_operator_round_trip(spark):
     tokens = bpe.encode(corpora.odd(spark), MULTI, PATTERN)
     back = tokens.select(bpe.decode(tokens, MULTI).alias("text"))
