@@ -5,7 +5,7 @@ and each two neighbours are the result of theirs. So the results are the paths o
 walks the trie of the vocabulary and, where a token ends, may go back to the root if the token follows the one before
 it. ``Transducer`` determinises it as bytes come in: a state is the set of live paths, as the tokens not yet given out
 and the place in the trie; a token goes out once all live paths agree on it, which takes a bounded lookahead. States
-and steps are kept in a table that is emptied when it is full, so its size is bounded and its content has no effect.
+and steps are kept in arrays that are emptied when they are full, so their size is bounded and their content has no effect.
 Pieces are kept with their ids as packed integers, in two generations: a full one becomes the older one, and what is met
 again moves to the younger one. A worker process keeps its encoder from task to task.
 
@@ -25,6 +25,7 @@ import os
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 from types import ModuleType
 
@@ -53,17 +54,18 @@ class Vocabulary:
         self.ids = ids
         self.bytes_of = {i: b for b, i in ids.items()}
         self._last: dict[int, tuple[int, ...] | None] = {}
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        self.child: dict[int, int] = {}
+        self.inner, self.token = bytearray(1), array("i", (-1,))
         for text, i in ids.items():
             node = ROOT
             for byte in text:
-                below = self.children[node]
-                if byte not in below:
-                    below[byte] = len(self.children)
-                    self.children.append({})
+                below = self.child.get(node << 8 | byte)
+                if below is None:
+                    below = self.child[node << 8 | byte] = len(self.token)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.token.append(-1)
-                node = below[byte]
+                node = below
             self.token[node] = i
 
     def merged(self, text: bytes, stop: int = 1) -> list[int]:
@@ -112,31 +114,131 @@ class Vocabulary:
                 return True
 
 
+class Numbers:
+    """Integers by integers that are not negative, 16 bytes a place; full at three quarters of its places."""
+
+    def __init__(self, places: int) -> None:
+        self.mask = (1 << (places - 1).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.keys, self.values = 0, array("q", (-1,)) * (self.mask + 1), array("q", (0,)) * (self.mask + 1)
+
+    def full(self) -> bool:
+        return 4 * self.n >= 3 * self.mask
+
+    def _place(self, key: int) -> int:
+        keys, mask = self.keys, self.mask
+        at = (key ^ key >> 29) * 0x9E3779B1 >> 11 & mask
+        while keys[at] != key and keys[at] >= 0:
+            at = at + 1 & mask
+        return at
+
+    def get(self, key: int) -> int:
+        """-1 for none."""
+        at = self._place(key)
+        return self.values[at] if self.keys[at] == key else -1
+
+    def put(self, key: int, value: int) -> None:
+        at = self._place(key)
+        self.n += self.keys[at] != key
+        self.keys[at], self.values[at] = key, value
+
+
+class States:
+    """Live paths and the token given out before them, numbered, as integers in one array. The path at the root comes first."""
+
+    def __init__(self, most: int) -> None:
+        self.flat, self.ends = array("i"), array("q", (0,))
+        self.places = array("i", (-1,)) * (1 << (2 * most).bit_length())
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def integers(self, number: int) -> array:
+        return self.flat[self.ends[number] : self.ends[number + 1]]
+
+    def add(self, own: array) -> int:
+        """The number of the state, a new one if it has none."""
+        mask = len(self.places) - 1
+        at = hash(own.tobytes()) & mask
+        while (number := self.places[at]) >= 0:
+            if self.integers(number) == own:
+                return number
+            at = at + 1 & mask
+        self.places[at] = number = len(self)
+        self.flat += own
+        self.ends.append(len(self.flat))
+        return number
+
+    def __getitem__(self, number: int) -> tuple[list[Path], int]:
+        flat, at, paths = self.integers(number).tolist(), 1, []
+        while at < len(flat):
+            end = at + 1 + flat[at]
+            paths.append((tuple(flat[at + 1 : end]), flat[end]))
+            at = end + 1
+        return paths, flat[0]
+
+    def at_root(self, number: int) -> array:
+        """Tokens that wait on the path at the root."""
+        start = self.ends[number]
+        return self.flat[start + 2 : start + 2 + self.flat[start + 1]]
+
+
+def state(paths: list[Path], given: int) -> array:
+    own = [given]
+    for waiting, node in paths:
+        own += (len(waiting), *waiting, node)
+    return array("i", own)
+
+
 class Transducer:
-    """Bytes in, tokens out; determinised as it goes, with at most ``max_states`` states at a time."""
+    """Bytes in, tokens out; determinised as it goes, with at most ``max_states`` states at a time.
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000) -> None:
-        self.vocabulary, self.max_states = vocabulary, max_states
-        self.neighbours: dict[int, bool] = {}
-        self._clear()
+    States and steps lie in arrays, some 140 bytes a state with its steps. ``steps`` has those of late as objects.
+    """
 
-    def _clear(self) -> None:
-        start = ((((), ROOT),), -1)
-        self.number = {start: 0}
-        self.states = [start]
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000, late: int = 65_536) -> None:
+        self.vocabulary, self.max_states, self.late = vocabulary, max_states, late
+        self.neighbours = Numbers(max_states)
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        if len(self.neighbours) > self.max_states:
-            self.neighbours.clear()
+        self._clear()
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        (paths, given), vocabulary = self.states[state], self.vocabulary
-        children, token_at, known = vocabulary.children, vocabulary.token, self.neighbours
+    def _clear(self) -> None:
+        self.steps.clear()  # the same table, as encode() is reading it
+        self.states = self.stored = None  # their memory goes before that of the next ones comes
+        self.states, self.stored = States(self.max_states), Numbers(3 * self.max_states)
+        self.outs: list[tuple[int, ...]] = []
+        self.out_number: dict[tuple[int, ...], int] = {}
+        self.states.add(state([((), ROOT)], -1))
+
+    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        if len(self.states) >= self.max_states or self.stored.full():
+            own = self.states.integers(number)
+            self._clear()
+            number = self.states.add(own)
+        if len(self.steps) >= self.late:
+            self.steps.clear()
+        stored = self.stored.get(number << 8 | byte)
+        if stored < 0:
+            target, out = self._determinised(number, byte)
+            at = self.out_number.setdefault(out, len(self.outs))
+            if at == len(self.outs):
+                self.outs.append(out)
+            stored = target << 32 | at
+            self.stored.put(number << 8 | byte, stored)
+        step = self.steps[number << 8 | byte] = (stored >> 32, self.outs[stored & 0xFFFFFFFF])
+        return step
+
+    def _determinised(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        (paths, given), vocabulary = self.states[number], self.vocabulary
+        child, inner, token_at, known = vocabulary.child, vocabulary.inner, vocabulary.token, self.neighbours
         moved: list[Path] = []
         for waiting, node in paths:
-            below = children[node].get(byte)
+            below = child.get(node << 8 | byte)
             if below is None:
                 continue
-            if children[below]:
+            if inner[below]:
                 moved.append((waiting, below))
             token = token_at[below]
             if token >= 0:
@@ -145,11 +247,13 @@ class Transducer:
                     fits = vocabulary.reachable(token)
                 else:
                     fits = known.get(before << 32 | token)
-                    if fits is None:
+                    if fits < 0:
+                        if known.full():
+                            known.clear()
                         fits = vocabulary.reachable(token) and vocabulary.follows(before, token)
-                        known[before << 32 | token] = fits
+                        known.put(before << 32 | token, fits)
                 if fits:
-                    moved.append(((*waiting, token), ROOT))
+                    moved.insert(0, ((*waiting, token), ROOT))
         first, agreed = moved[0][0], 0
         if len(moved) == 1:
             agreed = len(first)
@@ -160,24 +264,16 @@ class Transducer:
         out = first[:agreed]
         if agreed:
             moved, given = [(w[agreed:], n) for w, n in moved], out[-1]
-        key = (tuple(moved), given if any(not w for w, _ in moved) else -1)
-        target = self.number.get(key)
-        if target is None:
-            target = self.number[key] = len(self.states)
-            self.states.append(key)
-        self.steps[state << 8 | byte] = (target, out)
-        return target, out
+        return self.states.add(state(moved, given if any(not w for w, _ in moved) else -1)), out
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
-            self._clear()
-        state, out, known = 0, [], self.steps.get
+        number, out, known = 0, [], self.steps.get
         for byte in piece:
-            state, tokens = known(state << 8 | byte) or self._step(state, byte)
+            number, tokens = known(number << 8 | byte) or self._step(number, byte)
             if tokens:
                 out += tokens
         # If the input ends here, the one path that stands at the end of a token is the result.
-        out += next(waiting for waiting, node in self.states[state][0] if node == ROOT)
+        out += self.states.at_root(number)
         return out
 
 
@@ -210,9 +306,15 @@ class Encoder:
     """Tokens of whole texts; each match of the pattern is encoded on its own."""
 
     def __init__(self, ids: dict[bytes, int], pattern: str) -> None:
-        self.splitter, self.pieces = Splitter(pattern, tiktoken_class(ids)), Pieces(ids)
-        self.decimals = Strings({i: b"%d," % i for i in ids.values()})
-        self.bytes = Strings({i: b for b, i in ids.items()})
+        self.ids, self.splitter, self.pieces = ids, Splitter(pattern, tiktoken_class(ids)), Pieces(ids)
+
+    @cached_property
+    def decimals(self) -> Strings:
+        return Strings({i: b"%d," % i for i in self.ids.values()})
+
+    @cached_property
+    def bytes(self) -> Strings:
+        return Strings({i: b for b, i in self.ids.items()})
 
     def stream(self, text: str, batch: int = 65_536) -> Iterator[list[int]]:
         """Runs of tokens, each from at most ``batch`` pieces."""
@@ -313,8 +415,8 @@ def encoder(path: str, pattern: str) -> tuple[Encoder, dict[int, bytes]]:
     file = os.stat(path)
     key, found = (path, file.st_mtime_ns, file.st_size, pattern), kept()
     if key not in found:
-        ids = ranks(path)
-        found[key] = (Encoder(ids, pattern), {i: b for b, i in ids.items()})
+        made = Encoder(ranks(path), pattern)
+        found[key] = (made, made.pieces.transducer.vocabulary.bytes_of)
     return found[key]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 from pathlib import Path
 
 import public_tokenizers
@@ -56,6 +57,28 @@ def test_a_full_table_of_states_changes_nothing(library):
         assert transducer.encode(word.encode()) == library.encode_ordinary(word)
 
 
+def test_the_table_is_emptied_within_a_piece(library):
+    rnd = random.Random(8)
+    transducer = bpe.Transducer(bpe.Vocabulary(IDS), max_states=50)
+    for _ in range(20):
+        piece = "".join(rnd.choice("etaoinshrdluäé日本") for _ in range(300))
+        assert transducer.encode(piece.encode()) == library._encode_single_piece(piece)
+        assert len(transducer.states) <= 50
+
+
+def test_states_and_steps_take_little_memory(library):
+    """A worker has a table of its own, and keeps it."""
+    rnd, vocabulary = random.Random(9), bpe.Vocabulary(IDS)
+    tracemalloc.start()
+    transducer = bpe.Transducer(vocabulary, max_states=100_000)
+    while len(transducer.states) < 90_000:
+        transducer.encode(bytes(rnd.choice(b"etaoinshrdlucmfwyp") for _ in range(12)))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 350 * len(transducer.states)
+    assert transducer.encode(b" tokenization") == library.encode_ordinary(" tokenization")
+
+
 def test_emission_does_not_wait_for_the_end():
     """What waits for agreement stays short on a long piece."""
     transducer = bpe.Transducer(bpe.Vocabulary(IDS))
