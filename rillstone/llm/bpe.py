@@ -198,7 +198,7 @@ class Transducer:
     States and steps lie in arrays, some 140 bytes a state with its steps. ``steps`` has those of late as objects.
     """
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000, late: int = 65_536) -> None:
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000, late: int = 32_768) -> None:
         self.vocabulary, self.max_states, self.late = vocabulary, max_states, late
         self.neighbours = Numbers(max_states)
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -284,7 +284,7 @@ class Pieces(dict):
     what is met again is kept on.
     """
 
-    def __init__(self, ids: dict[bytes, int], limit: int = 250_000) -> None:
+    def __init__(self, ids: dict[bytes, int], limit: int = 100_000) -> None:
         self.ids, self.limit, self.older = ids, limit, {}
         self.transducer = Transducer(Vocabulary(ids))
 
@@ -438,6 +438,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
                     tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(unpacked(b"".join(rows))))
                     yield pa.record_batch([batch["key"].slice(done, len(rows)), tokens], ["key", "tokens"])
                     done, size, rows = at, 0, []
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
