@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm import shared
 from rillstone.llm.splitting import Splitter, tiktoken_class
 
 ROOT = 0
@@ -440,6 +441,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
                     done, size, rows = at, 0, []
         pa.default_memory_pool().release_unused()
 
+    shared.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, tokens array<int>").select(F.col("key").alias(key), "tokens")
@@ -500,5 +502,6 @@ def digests(docs: DataFrame, path: str, pattern: str, most: int = 1 << 20) -> Da
                 columns = [part["doc_id"], pa.array(counts, pa.int64()), *(pa.array([x.hexdigest() for x in k]) for k in (ids, back))]
                 yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    shared.bounded_batches(docs.sparkSession)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, schema)

@@ -234,6 +234,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, level)
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document."""
     spark = docs.sparkSession
+    shared.bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = counters(rows.agg(F.sum(F.length("text"))).first()[0] or 0)
     sets = shared.written(_sets(rows, width, size))

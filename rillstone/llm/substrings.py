@@ -101,6 +101,7 @@ def _windows_of(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, row, cuts``: the removal intervals of ``rows`` (``doc_id, row, text``) in windows, not yet merged."""
+    shared.bounded_batches(rows.sparkSession)
     known = rows.filter("doc_id IS NOT NULL")
     all_runs = shared.written(_runs_of(known, length))
     docs_of = all_runs.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))

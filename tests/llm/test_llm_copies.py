@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpora  # noqa: E402
 import public_tokenizers  # noqa: E402
 
-from rillstone.llm import graph_search, ngram_join, resampling, shared, substrings, token_counts, words  # noqa: E402
+from rillstone.llm import bpe, graph_search, ngram_join, resampling, shared, substrings, token_counts, words  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -164,3 +164,36 @@ def test_tables_are_deleted(spark):
         path = Local(shared._TABLES[-1].removeprefix("file:"))
         assert path.exists()
     assert kept == 3 and not path.exists()
+
+
+OPERATORS = {
+    "ngram_join": ngram_join.linked_components,
+    "substrings": substrings.deduplicated,
+    "bpe_encode": lambda docs: bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    "bpe_digests": lambda docs: bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+}
+
+
+def largest_batch(rows):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["bytes"])
+
+    return rows.mapInArrow(run, "bytes bigint").agg(F.max("bytes")).first()[0]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_texts_reach_python_in_bounded_batches(spark, name):
+    docs = spark.newSession().range(200, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 12500) AS text")
+    assert largest_batch(docs) > 2 * shared.BATCH_BYTES
+    assert OPERATORS[name](docs).count() == 200
+    assert largest_batch(docs) < 1.1 * shared.BATCH_BYTES
+
+
+def test_a_limit_of_the_session_holds(spark):
+    own = spark.newSession()
+    own.conf.set(shared.BATCH_LIMIT, "1m")
+    shared.bounded_batches(own)
+    assert own.conf.get(shared.BATCH_LIMIT) == "1m"
